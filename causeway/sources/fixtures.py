@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import ordered
+from causeway.operators import graph
 from causeway.session import ensure_checkpoint_dir
 
 VARS = ["view", "click", "signup", "error", "purchase"]
@@ -300,3 +301,9 @@ def key_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .unionByName(item)
     )
     return (cnodes.withColumn("graph_id", F.lit("keys")), cedges.withColumn("graph_id", F.lit("keys")))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dependence graph of the event trace, as a stored table."""
+    t, kw = trace(spark, sf_dir), fit(spark, sf_dir)
+    return stored(spark, sf_dir, "edges", lambda: graph.dependence_graph(t.steps, t.snapshots, t.calls, t.blocks, **kw))
