@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def number(c: Column | str) -> Column:
-    """The value as a double, or null when it is not a number."""
+    """The value as a double, or null when it is not a number (``1d`` is not)."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.try_cast("double")
+    return F.when(~c.rlike(r"[0-9.][dDfF]\s*$"), c.try_cast("double"))
 
 
 def repr_size(c: Column) -> Column:

@@ -19,9 +19,11 @@ EDGES = (
     "run_id string, src long, dst long, kind string, var string, src_version int, "
     "dst_version int, metadata map<string,string>"
 )
+#: A fact with more evidence than one chunk of steps continues in rows with
+#: ``part`` above 0; all other columns repeat.
 FACTS = (
-    "run_id string, kind string, subject string, description string, evidence array<long>, "
-    "confidence double, metadata map<string,string>"
+    "run_id string, fact_id string, kind string, subject string, description string, evidence array<long>, "
+    "part long, confidence double, metadata map<string,string>"
 )
 CNODES = (
     "graph_id string, node_id string, file_path string, line_number int, code_content string, "

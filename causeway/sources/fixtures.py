@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from causeway.functions import ordered
 from causeway.operators import graph
+from causeway.operators.facts import extract_facts
+from causeway.operators.prepare import step_diff
 from causeway.session import ensure_checkpoint_dir
 
 VARS = ["view", "click", "signup", "error", "purchase"]
@@ -307,3 +309,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dependence graph of the event trace, as a stored table."""
     t, kw = trace(spark, sf_dir), fit(spark, sf_dir)
     return stored(spark, sf_dir, "edges", lambda: graph.dependence_graph(t.steps, t.snapshots, t.calls, t.blocks, **kw))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the event trace, as a stored table."""
+    t, kw = trace(spark, sf_dir), fit(spark, sf_dir)
+    return stored(spark, sf_dir, "facts", lambda: extract_facts(
+        t.steps, t.snapshots, edges(spark, sf_dir), step_diff(t.snapshots, t.steps), **kw))
+
+
+def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step-to-step changes of the event trace, as a stored table."""
+    t = trace(spark, sf_dir)
+    return stored(spark, sf_dir, "diff", lambda: step_diff(t.snapshots, t.steps))

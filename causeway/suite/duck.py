@@ -105,17 +105,17 @@ def cte(body: str, recursive: bool = False, **extra: str) -> str:
     """``body`` preceded by the common table expressions it names."""
     known = {**CTES, **extra}
     needed: list[str] = []
+    entered: set[str] = set()
 
     def visit(text: str) -> None:
         for name in known:
-            if name not in needed and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+            if name not in entered and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+                entered.add(name)
                 visit(known[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(body)
     if not needed:
         return body
-    # a query of its own recursion keeps its definition inside its body
     head = ", ".join(f"{n} AS ({known[n]})" for n in needed)
     return f"WITH {'RECURSIVE ' if recursive else ''}{head} {body}"

@@ -61,7 +61,7 @@ def d6(spark, sf):
       AND (d.change = 'new' OR (d.change = 'changed' AND d.n.memory_id <> d.o.memory_id))) WHERE rn = 1""", df=DF))
 def d7(spark, sf):
     t = X.trace(spark, sf)
-    return G.return_bindings(t.calls, P.step_diff(t.snapshots, t.steps), **X.fit(spark, sf))
+    return G.return_bindings(t.calls, X.diff(spark, sf), **X.fit(spark, sf))
 
 
 VW = "SELECT run_id, step, var, n.value AS value, row_number() OVER (PARTITION BY run_id, var ORDER BY step) AS n FROM df WHERE change IN ('new', 'changed')"
@@ -79,7 +79,7 @@ VG = {"df": DF, "vw": VW, "vr": VR, "ve": VE}
 
 def version_graph(spark, sf):
     t = X.trace(spark, sf)
-    return G.version_graph(t.steps, t.snapshots, P.step_diff(t.snapshots, t.steps), **X.fit(spark, sf))
+    return G.version_graph(t.steps, t.snapshots, X.diff(spark, sf), **X.fit(spark, sf))
 
 
 @query("d8_version_graph", cte("SELECT * FROM ve", **VG))
