@@ -81,9 +81,10 @@ def reach(
     seeds = read_twice(seeds).select(*[F.col(c).alias(c) for c in (key, "seed", "node", "var")])
     edges = edges.join(seeds.select(key).distinct(), key, "left_semi")
 
+    # the key of every seed counts, also where it has no edges
     sizes = (
-        edges.groupBy(key).agg(F.count("*").alias("_e"))
-        .join(seeds.groupBy(key).agg(F.count("*").alias("_s")), key)
+        seeds.groupBy(key).agg(F.count("*").alias("_s"))
+        .join(edges.groupBy(key).agg(F.count("*").alias("_e")), key, "left").na.fill(0, ["_e"])
     )
     large = sizes.filter(F.col("_e") * F.col("_s") > local_work).select(key)
     counts = sizes.agg(
