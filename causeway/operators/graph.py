@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from causeway.functions import code as C
 from causeway.functions import ordered
 
-_NO_META = F.create_map().cast("map<string,string>")
+def _no_meta() -> Column:
+    return F.create_map().cast("map<string,string>")
 
 
 def accesses(steps: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def data_edges(steps: DataFrame, snapshots: DataFrame | None = None, **kw) -> Da
     return reads.select(
         "run_id", F.col("write_before").alias("src"), F.col("step").alias("dst"), F.lit("data").alias("kind"), "var",
         F.col("version_before").cast("int").alias("src_version"),
-        F.col("version_before").cast("int").alias("dst_version"), _NO_META.alias("metadata"))
+        F.col("version_before").cast("int").alias("dst_version"), _no_meta().alias("metadata"))
 
 
 def _plain(df: DataFrame, src: Column, dst: Column, kind: str, var: Column | None = None,
@@ -63,7 +64,7 @@ def _plain(df: DataFrame, src: Column, dst: Column, kind: str, var: Column | Non
     return df.select(
         "run_id", src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"),
         (F.lit("") if var is None else var).alias("var"), F.lit(None).cast("int").alias("src_version"),
-        F.lit(None).cast("int").alias("dst_version"), (_NO_META if meta is None else meta).alias("metadata"))
+        F.lit(None).cast("int").alias("dst_version"), (_no_meta() if meta is None else meta).alias("metadata"))
 
 
 def control_edges(steps: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from causeway.functions import ordered
 from causeway.operators import graph
 from causeway.operators.facts import extract_facts
+from causeway.operators.identity import identify
 from causeway.operators.prepare import step_diff
 from causeway.session import ensure_checkpoint_dir
 
@@ -322,3 +323,9 @@ def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step-to-step changes of the event trace, as a stored table."""
     t = trace(spark, sf_dir)
     return stored(spark, sf_dir, "diff", lambda: step_diff(t.snapshots, t.steps))
+
+
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archetypes of the event trace, as a stored table."""
+    t, kw = trace(spark, sf_dir), fit(spark, sf_dir)
+    return stored(spark, sf_dir, "identities", lambda: identify(t.steps, t.snapshots, facts(spark, sf_dir), **kw))
