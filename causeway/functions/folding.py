@@ -25,11 +25,14 @@ def fold_runs(
     fn: Callable[[pd.DataFrame, str], tuple[pd.DataFrame, str]],
     schema: str,
     chunk: int | None = CHUNK,
+    keep_state: bool = False,
 ) -> DataFrame:
     """Apply ``fn(rows, state) -> (rows, state)`` along each key in step order.
 
     Chunks are taken in rounds, all keys together; as many rounds run as the
     longest key has chunks. ``schema`` describes the rows ``fn`` returns.
+    ``keep_state`` is for rows that are not dense: the state of a key then
+    outlives chunks in which it has no rows.
     """
     last_chunk = 0 if chunk is None else df.agg(F.max(chunk_of(step, chunk)).alias("m")).first()["m"] or 0
 
@@ -53,7 +56,9 @@ def fold_runs(
         if last_chunk:
             done = checkpointed(done)
             fresh = done.filter("_state IS NOT NULL").select(*keys, "_state")
-            # keys without rows in this chunk keep no state: steps are dense
+            if state is not None and keep_state:
+                fresh = fresh.unionByName(state.join(fresh.select(*keys), keys, "left_anti"))
+                fresh = checkpointed(fresh)
             state = fresh
         pieces.append(done.filter("_state IS NULL").drop("_state"))
     out = pieces[0]

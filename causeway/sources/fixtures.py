@@ -36,15 +36,18 @@ class Trace:
     blocks: DataFrame
 
 
+def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    ensure_checkpoint_dir(spark)
+    return "/".join([spark.sparkContext.getCheckpointDir(), "tables", f"{sf_dir.strip('/').replace('/', '-')}-{name}"])
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table, written once per application to the shared checkpoint folder.
 
     Trace tables are inputs to every operator, so they are kept as Parquet with
     its pruning and pushdown, not derived again inside each query.
     """
-    ensure_checkpoint_dir(spark)
-    sc = spark.sparkContext
-    path = "/".join([sc.getCheckpointDir(), "tables", f"{sf_dir.strip('/').replace('/', '-')}-{name}"])
+    path = stored_path(spark, sf_dir, name)
     if path not in _STORED:
         build().write.mode("overwrite").parquet(path)
         _STORED.add(path)
