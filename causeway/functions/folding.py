@@ -41,8 +41,11 @@ def fold_runs(
         state = state if isinstance(state, str) else ""
         rows, state = fn(pdf.drop(columns=["_state"]).sort_values(step, ignore_index=True), state)
         # the state rides on one marker row that holds nothing else but the key
-        marker = pdf[keys].iloc[[0]].assign(_state=state)
-        return pd.concat([rows.assign(_state=None), marker], ignore_index=True)[out_cols]
+        marker = pd.DataFrame({c: pd.Series([None], dtype=object) for c in out_cols})
+        for k in keys:
+            marker.at[0, k] = pdf[k].iloc[0]
+        marker.at[0, "_state"] = state
+        return pd.concat([rows.astype(object).assign(_state=None), marker], ignore_index=True)[out_cols]
 
     fields = [part.split()[0] for part in _split(schema)]
     out_cols = [*fields, "_state"]

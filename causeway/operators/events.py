@@ -321,9 +321,12 @@ def best_matches(found: DataFrame, chunk: int | None = None) -> DataFrame:
     if chunk is None:
         return best.groupBy("run_id", "pattern").applyInPandas(settle, _MATCH)
 
-    best = ordered.read_twice(best)
-    levels = [r[0] for r in best.select("confidence").distinct().orderBy(F.col("confidence").desc()).collect()]
-    kept = None
+    # the few scores a pattern can have, ranked per pattern: as many rounds as the richest has
+    scores = best.select("pattern", "confidence").distinct()
+    ranked = scores.withColumn("_level", F.dense_rank().over(Window.partitionBy("pattern").orderBy(F.col("confidence").desc())))
+    best = ordered.read_twice(best.join(ranked, ["pattern", "confidence"]))
+    rounds = best.agg(F.max("_level")).first()[0] or 0
+    kept = best.select(*_COLS).limit(0)
 
     def along(pdf: pd.DataFrame, state: str):
         last = json.loads(state) if state else -1
@@ -335,12 +338,11 @@ def best_matches(found: DataFrame, chunk: int | None = None) -> DataFrame:
                 last = int(b)
         return pdf.iloc[rows][_COLS], json.dumps(last)
 
-    for level in levels:
-        part = best.filter(F.col("confidence") == level)
-        if kept is not None:
+    for level in range(1, rounds + 1):
+        part = best.filter(F.col("_level") == level).select(*_COLS)
+        if level > 1:
             part = part.join(_overlapping(part, kept), ["run_id", "pattern", "start_step", "end_step"], "left_anti")
-        done = fold_runs(part.select(*_COLS), ["run_id", "pattern"], "start_step", along, _MATCH, chunk, keep_state=True)
-        kept = done if kept is None else kept.unionByName(done)
+        kept = kept.unionByName(fold_runs(part.select(*_COLS), ["run_id", "pattern"], "start_step", along, _MATCH, chunk, keep_state=True))
     return kept
 
 

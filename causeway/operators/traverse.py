@@ -27,7 +27,9 @@ def _search(key, seeds: pd.DataFrame, adjacency, max_depth, carry):
     """Layered search from every seed of one key.
 
     With ``carry`` a node is reached together with a variable, and only edges
-    of that variable (or any, when it is empty) are followed on data edges.
+    of that variable (or any, when it is empty) are followed on data edges. Of
+    the arrivals in one layer the one from the smallest node counts, data edges
+    before others.
     """
     rows = []
     for seed, group in seeds.groupby("seed", sort=False):
@@ -46,10 +48,10 @@ def _search(key, seeds: pd.DataFrame, adjacency, max_depth, carry):
                     if to in seen or (carry and is_data and var and edge_var != var):
                         continue
                     via = edge_var if carry and is_data else ""
-                    parent, best = coming.get(to, (node, via))
-                    coming[to] = (min(parent, node), min(best, via))
+                    arrival = (node, not is_data, via)
+                    coming[to] = min(coming.get(to, arrival), arrival)
             seen.update(coming)
-            layer = coming
+            layer = {to: (parent, via) for to, (parent, _, via) in coming.items()}
     return rows
 
 
@@ -135,8 +137,9 @@ def _frontier(edges, seeds, key, max_depth, carry) -> DataFrame:
         if carry:
             step = step.filter("NOT is_data OR held = '' OR held = var").withColumn(
                 "var", F.when(F.col("is_data"), F.col("var")).otherwise(""))
-        coming = step.groupBy(key, "seed", F.col("to_node").alias("node")).agg(
-            F.min("from_node").alias("parent"), F.min("var").alias("var"))
+        arrival = F.min(F.struct(F.col("from_node").alias("parent"), ~F.col("is_data"), "var"))
+        coming = step.groupBy(key, "seed", F.col("to_node").alias("node")).agg(arrival.alias("a")).select(
+            key, "seed", "node", "a.parent", "a.var")
         seen = pieces[0]
         for p in pieces[1:]:
             seen = seen.unionByName(p)

@@ -21,8 +21,8 @@ SCRIPT = "*.{js,ts,jsx,tsx}"
 def read_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Whole files ``(file, text)`` under a folder whose names match a pattern."""
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r?\n$", "").alias("text"))
     )
 
 
