@@ -49,7 +49,7 @@ def match_pairs(fp: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def profiles(fp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct profiles with their number of runs, and the profile of each run."""
-    keyed = with_roles(fp).withColumn("profile", F.sha2(F.to_json(F.struct(*PROFILE)), 256))
+    keyed = with_roles(fp).withColumn("profile", F.xxhash64(*PROFILE))
     distinct = keyed.groupBy("profile").agg(*[F.first(c).alias(c) for c in PROFILE], F.count("*").alias("runs"))
     return distinct, keyed.select("run_id", "profile")
 
