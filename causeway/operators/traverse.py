@@ -441,6 +441,7 @@ def graph_profile(steps, edges, samples: int = 5, **kw) -> DataFrame:
 
 def fact_profile(facts: DataFrame) -> DataFrame:
     """Facts per kind, mean evidence, and distinct subjects per fact."""
+    whole = F.col("part") == 0
     return facts.groupBy("kind").agg(
-        F.count("*").alias("facts"), F.avg(F.size("evidence")).alias("avg_evidence"),
-        (F.approx_count_distinct("subject") / F.count("*")).alias("subject_selectivity"))
+        F.count_if(whole).alias("facts"), (F.sum(F.size("evidence")) / F.count_if(whole)).alias("avg_evidence"),
+        (F.approx_count_distinct("subject") / F.count_if(whole)).alias("subject_selectivity"))
