@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,20 @@ def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "12g")
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_causeway_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="causeway-ship-")) / "causeway.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._causeway_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared checkpoint folder the cluster names.
 
