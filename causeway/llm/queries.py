@@ -22,9 +22,30 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from causeway.llm import sketch_dedup
+from causeway.llm import bpe_reuse, mix_budget, quality, sketch_dedup
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 @query("op3_sketch_dedup")
 def op3(spark, sf_dir):
     return sketch_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op5_bpe_reuse")
+def op5(spark, sf_dir):
+    return bpe_reuse.digests(bpe_reuse.encode(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
+@query("op8_mix_budget")
+def op8(spark, sf_dir):
+    return mix_budget.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
+
+
+@query("op9_quality")
+def op9(spark, sf_dir):
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
