@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from causeway.llm import bpe_reuse, mix_budget, quality, sketch_dedup
+from causeway.llm import bpe_reuse, license_scan, mix_budget, quality, sketch_dedup, token_coder
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,3 +49,14 @@ def op8(spark, sf_dir):
 @query("op9_quality")
 def op9(spark, sf_dir):
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op6_license_scan")
+def op6(spark, sf_dir):
+    return license_scan.license_labels(read(spark, sf_dir, "documents"))
+
+
+@query("op10_token_coder")
+def op10(spark, sf_dir):
+    segments = token_coder.write_segments(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return token_coder.with_checksums(token_coder.read_segments(segments))
