@@ -119,6 +119,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> Da
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, k: int, size: int) -> DataFrame:
     """The candidate pairs that the full sets confirm, as a written table."""
     near = cut(_estimated(pairs, classes, percent, k))
+    if near.isEmpty():
+        return near
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id")))
     sets = docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, set binary")
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb"))
@@ -194,7 +196,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, size: int =
     release(met)
 
     links = _links(_star_pairs(lists, percent), classes, base, percent, k, size)
-    left = cut(_open_lists(lists, components(links)))
+    comp = components(links)
+    left = cut(_open_lists(lists, comp))
     few = left.filter(F.col("df") <= hot)
     links = links.union(_links(_cross_pairs(few.filter("not major"), few, percent, True), classes, base, percent, k, size))
     # every pair across components has an end outside the list's largest one: those ends are the hubs, in rounds of bounded output
@@ -203,7 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, size: int =
     total = sizes.agg(F.sum(F.col("m") * F.col("h"))).first()[0] or 0
     rounds = min(TURNS, -(-total // PAIRS))
     for r in range(rounds):
-        comp = components(links)
+        comp = components(links) if r else comp
         now = many.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
         turn = now.filter(~F.col("major") & (F.col("turn") % rounds == r))
         links = links.union(_links(_cross_pairs(turn, now.withColumn("major", F.lit(True)), percent, False), classes, base, percent, k, size))
