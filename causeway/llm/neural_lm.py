@@ -26,8 +26,8 @@ OUTPUTS = TOP + TAILS
 START = OUTPUTS
 DIMS = 16
 NOISE = 64
-BATCH = 4096
-RATE = 0.15
+BATCH = 2048
+RATE = 0.4
 ROUNDS = 1
 SEED = 7
 SMOOTH = 0.1
@@ -131,6 +131,16 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(top[order], order.astype(np.int64), unigram, size, int(unigram.sum()), int(size.sum()) + len(first))
 
 
+def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the rows at each place."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[at[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
 class Model:
     """score(w | a, b) = (r_a A + r_b B) q_w + bias_w, with a the nearer word."""
 
@@ -170,15 +180,9 @@ class Model:
             up = 1 / (1 + np.exp((h * qt).sum(axis=1) + self.bias[t] - log_kp[t]))  # 1 - P(data | word)
             down = -1 / (1 + np.exp(-(h @ qn.T + self.bias[n] - log_kp[n])))  # - P(data | noise)
             dh = up[:, None] * qt + down @ qn
-            grads = [np.zeros_like(p) for p in self.parameters()]
-            into = dh @ self.a.T, dh @ self.b.T
-            side = up[:, None] * h
-            for d in range(DIMS):
-                grads[0][:, d] = np.bincount(x, into[0][:, d], OUTPUTS + 1) + np.bincount(y, into[1][:, d], OUTPUTS + 1)
-                grads[1][:, d] = np.bincount(t, side[:, d], OUTPUTS)
+            grads = [_summed(np.concatenate([x, y]), np.concatenate([dh @ self.a.T, dh @ self.b.T]), OUTPUTS + 1), _summed(t, up[:, None] * h, OUTPUTS),
+                     rx.T @ dh, ry.T @ dh, np.bincount(t, up, OUTPUTS).astype(np.float32)]
             np.add.at(grads[1], n, down.T @ h)
-            grads[2][...], grads[3][...] = rx.T @ dh, ry.T @ dh
-            grads[4][...] = np.bincount(t, up, OUTPUTS)
             np.add.at(grads[4], n, down.sum(axis=0))
             for p, g, s in zip(self.parameters(), grads, squares, strict=True):
                 g /= len(t)
@@ -187,7 +191,7 @@ class Model:
 
     def log_probabilities(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all outputs; each distinct context is normalised once, in blocks."""
-        context, at = np.unique(a * (OUTPUTS + 1) + b, return_inverse=True)
+        context, at = np.unique(a.astype(np.int64) * (OUTPUTS + 1) + b, return_inverse=True)
         h = self.hidden(context // (OUTPUTS + 1), context % (OUTPUTS + 1))
         z = np.empty(len(context), np.float32)
         for i in range(0, len(context), 1024):
@@ -203,7 +207,7 @@ class Model:
 
 def _contexts(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest and second nearest output before each token of its own text."""
-    a, b = np.full(len(tokens), START), np.full(len(tokens), START)
+    a, b = np.full_like(tokens, START), np.full_like(tokens, START)
     a[1:], b[2:] = tokens[:-1], tokens[:-2]
     starts = np.cumsum(lengths) - lengths
     a[starts] = b[starts] = START
@@ -231,7 +235,7 @@ def _fit(chunks: DataFrame, vocabulary: Vocabulary) -> Model:
             for batch in batches:
                 for row in batch.to_pylist():
                     held, lengths, tokens, hashes, tails = _cells(row, "held", "lengths", "tokens", "hashes", "tails")
-                    w = v.outputs(hashes, tails)[tokens]
+                    w = v.outputs(hashes, tails)[tokens].astype(np.int16)
                     a, b = _contexts(w, lengths)
                     use = np.repeat(held == 0, lengths)
                     rng = np.random.default_rng((SEED, turn, row["chunk"]))
@@ -292,7 +296,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             k = out[rest]
             share[rest] = np.log10((c[rest] + SMOOTH) / (v.unigram[k] + SMOOTH * (v.size[k - TOP] + 1)))
             plain = np.log10((c + SMOOTH) / (v.tokens + SMOOTH * (v.words + 1)))
-            w = out[tokens]
+            w = out[tokens].astype(np.int16)
             a, b = _contexts(w, lengths)
             per = m.log_probabilities(a, b, w) / np.log(10) + share[tokens]
             starts = np.cumsum(lengths) - lengths

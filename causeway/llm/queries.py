@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from causeway.llm import bpe_reuse, license_scan, mix_budget, quality, sketch_dedup, token_coder
+from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, quality, sketch_dedup, token_coder
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,3 +60,8 @@ def op6(spark, sf_dir):
 def op10(spark, sf_dir):
     segments = token_coder.write_segments(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return token_coder.with_checksums(token_coder.read_segments(segments))
+
+
+@query("op4_neural_lm")
+def op4(spark, sf_dir):
+    return neural_lm.scores(read(spark, sf_dir, "documents"))
