@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, quality, sketch_dedup, token_coder
+from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, pivot_search, quality, sketch_dedup, token_coder, vector_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,3 +65,33 @@ def op10(spark, sf_dir):
 @query("op4_neural_lm")
 def op4(spark, sf_dir):
     return neural_lm.scores(read(spark, sf_dir, "documents"))
+
+
+@query("op2_projection_dedup", """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+          AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0 AND len([e FOR e IN embedding IF e <> 0]) > 0),
+    pairs AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+        WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+    tops AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+    links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+    SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+    FROM embeddings e JOIN tops ON tops.a = e.vec_id LEFT JOIN links ON links.a = e.vec_id""")
+def op2(spark, sf_dir):
+    return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query("op7_pivot_search", """
+    WITH v AS (
+        SELECT vec_id, [floor(256 * e::DOUBLE)::BIGINT FOR e IN embedding] AS x FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0),
+    s AS (
+        SELECT q.vec_id AS query_id, v.vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.x, v.x)])::BIGINT AS score
+        FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op7(spark, sf_dir):
+    return pivot_search.top_k(read(spark, sf_dir, "embeddings"))
