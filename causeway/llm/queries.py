@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from causeway.llm.common import read
 
@@ -22,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, pivot_search, quality, sketch_dedup, token_coder, vector_dedup
+from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, pivot_search, quality, sketch_dedup, token_coder, tool_calls, vector_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -95,3 +96,27 @@ def op2(spark, sf_dir):
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op7(spark, sf_dir):
     return pivot_search.top_k(read(spark, sf_dir, "embeddings"))
+
+
+@query("op1_tool_calls", """
+    WITH t AS (SELECT conv_id::VARCHAR AS conv_id, turn, role, text FROM conversations),
+    system AS (SELECT conv_id, min(turn) AS first FROM t WHERE role = 'system' GROUP BY conv_id),
+    calls AS (
+        SELECT t.conv_id, t.conv_id || '-' || turn AS call_id, turn, role,
+               CASE WHEN role = 'user' AND first < turn THEN t.conv_id || '-' || first END AS setup, text
+        FROM t LEFT JOIN system ON system.conv_id = t.conv_id WHERE role IN ('system', 'user')),
+    results AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, turn, text FROM t WHERE role IS NULL OR role NOT IN ('system', 'user'))
+    SELECT conv_id, call_id, 'call' AS kind, turn, CASE WHEN setup IS NULL THEN 0 ELSE 1 END AS level,
+           CASE WHEN EXISTS (SELECT 1 FROM results r WHERE r.conv_id = c.conv_id AND r.call_id = c.call_id) THEN 'linked' ELSE 'unanswered' END AS status,
+           CASE WHEN role = 'user' AND length(text) > 400 THEN '$.prompt: too long' WHEN length(text) = 0 THEN '$.' || CASE role WHEN 'user' THEN 'prompt' ELSE 'instructions' END || ': too short' ELSE '' END AS errors,
+           CASE role WHEN 'system' THEN '{"arguments":{"instructions":' || to_json(text)::VARCHAR || '},"id":"' || call_id || '","name":"configure","type":"call"}'
+           ELSE '{"arguments":{"prompt":' || to_json(text)::VARCHAR || CASE WHEN setup IS NULL THEN '' ELSE ',"setup":{"$ref":"' || setup || '"}' END || ',"turn":' || turn
+                || '},"id":"' || call_id || '","name":"respond","type":"call"}' END AS message
+    FROM calls c
+    UNION ALL
+    SELECT r.conv_id, r.call_id, 'result', r.turn, CASE WHEN c.call_id IS NOT NULL THEN CASE WHEN setup IS NULL THEN 0 ELSE 1 END END,
+           CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'linked' END, '', '{"content":' || to_json(r.text)::VARCHAR || ',"id":"' || r.call_id || '","type":"result"}'
+    FROM results r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.call_id = r.call_id""")
+def op1(spark, sf_dir):
+    calls, results = tool_calls.turns_as_calls(read(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(calls, results, tool_calls.TURN_SCHEMAS).withColumn("errors", F.array_join("errors", "; "))
