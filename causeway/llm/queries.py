@@ -59,8 +59,8 @@ def op6(spark, sf_dir):
 
 @query("op10_token_coder")
 def op10(spark, sf_dir):
-    segments = token_coder.write_segments(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
-    return token_coder.with_checksums(token_coder.read_segments(segments))
+    blocks = token_coder.write_blocks(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return token_coder.with_checksums(token_coder.read_blocks(blocks))
 
 
 @query("op4_neural_lm")

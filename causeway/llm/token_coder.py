@@ -1,12 +1,13 @@
 """Token ids in a binary format, packed by an adaptive context-mixing range coder.
 
-A segment holds the ids of whole documents in blocks of equal length. Every
-block starts from fresh models and its own coder state and carries a
-checksum, so blocks are coded side by side, one numpy lane per block. For
-each id, the last ids seen after the same two ids and after the same id
-predict it; the range is shared among these two predictions and the order-0
-model by how often each was right at the same confidence. The order-0 model
-is an adaptive tree over the four-bit digits of the id.
+A block holds the ids of whole documents, about a million. It starts from
+fresh models, carries a checksum and can be read without any other block.
+Inside a block, lanes of consecutive ids have coder states of their own and
+advance together, one numpy lane each, over models they share: the last id
+seen after the same two ids and the last one after the same id predict the
+next; the range is divided among these two predictions and the order-0 model
+by how often each was right at the same confidence. All models learn from
+what the block has held so far.
 """
 
 from __future__ import annotations
@@ -23,101 +24,104 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import as_bytes, cut, shuffle_width
 
-BLOCK = 2048
-#: Ids of a segment after which a new one starts; a longer document makes a longer segment.
-SEGMENT = 1 << 20
+#: Ids after which a block ends with the document; a longer document makes a longer block.
+BLOCK = 1 << 20
+LANES = 2048
+#: Least ids of a lane, so that short blocks have few.
+STEPS = 512
+#: Steps between two updates of the order-0 model, and the weight of an id seen.
+EVERY, WEIGHT = 16, 32
 END = 1
-MAGIC = b"TIDX\x01"
-_HEAD = struct.Struct("<5sBHIIQ")
+MAGIC = b"TIDX\x02"
+_HEAD = struct.Struct("<5sxHIIQII")
 MEMORY = 500_000
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 32)
 _W16, _W48, _LOW32 = _U(16), _U(48), _U((1 << 32) - 1)
-_SLOTS1, _SLOTS2 = 10, 11
-
-
-class _Lanes:
-    """Models and coder states of all blocks of a segment."""
-
-    def __init__(self, lanes: int, digits: int, steps: int, words: np.ndarray | None = None):
-        self.n, self.digits = lanes, digits
-        self.at = np.arange(lanes)
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.flags = np.ones((lanes, 32, 4), np.uint16)
-        self.flags[:, :, 2] = 4
-        self.flags[:, :, 3] = 0
-        self.tree = np.ones((lanes, 17 + 256 * max(0, digits - 2), 16), np.uint16)
-        self.last1, self.sure1 = np.zeros((lanes, 1 << _SLOTS1), np.uint32), np.zeros((lanes, 1 << _SLOTS1), np.uint8)
-        self.last2, self.sure2 = np.zeros((lanes, 1 << _SLOTS2), np.uint32), np.zeros((lanes, 1 << _SLOTS2), np.uint8)
-        self.words = words
+_SLOTS1, _SLOTS2 = 17, 20
+_FLAGS = 1 << 20
+
+
+class _Coder:
+    """Shared models of a block and the coder states of its lanes."""
+
+    def __init__(self, lanes: int, steps: int, symbols: int, words: np.ndarray | None = None):
+        self.lanes, self.symbols, self.at = lanes, symbols, np.arange(lanes)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+        self.flags = np.tile(np.array([1, 1, 4], np.int64), (32, 1))
+        self.last1, self.sure1 = np.zeros(1 << _SLOTS1, np.uint32), np.zeros(1 << _SLOTS1, np.uint8)
+        self.last2, self.sure2 = np.zeros(1 << _SLOTS2, np.uint32), np.zeros(1 << _SLOTS2, np.uint8)
+        self.counts, self.seen = np.ones(symbols, np.int64), []
+        self._cumulate()
+        self.words, self.pos = words, np.full(lanes, 0 if words is None else 4, np.int64)
         if words is None:
-            self.out, self.pos = np.zeros((lanes, steps * (digits + 2) + 8), np.uint16), np.zeros(lanes, np.int64)
+            self.out = np.zeros((lanes, 3 * steps + 16), np.uint16)
         else:
-            self.pos = np.full(lanes, 4, np.int64)
             self.code = sum(words[:, i].astype(np.uint64) << _U(48 - 16 * i) for i in range(4))
 
-    def _shift(self, at: np.ndarray) -> None:
-        """Move settled 16-bit words out of (or into) the states of the lanes ``at``."""
-        while len(at):
-            low, rng = self.low[at], self.range[at]
+    def _cumulate(self) -> None:
+        self.ends = np.cumsum(self.counts)
+
+    def _narrow(self, at: np.ndarray | slice, start: np.ndarray, count: np.ndarray, rng: np.ndarray) -> None:
+        """Give the lanes ``at`` their part of the range and move settled 16-bit words out of (or into) their states."""
+        low, rng = self.low[at] + start.astype(np.uint64) * rng, rng * count.astype(np.uint64)
+        while True:
             same = (low ^ (low + rng)) < _TOP
-            go = same | (rng < _BOT)
-            if not go.any():
-                return
-            at, low, rng, same = at[go], low[go], rng[go], same[go]
-            rng = np.where(same, rng, (~low + _U(1)) & _LOW32)
+            go = np.flatnonzero(same | (rng < _BOT))
+            if not len(go):
+                break
+            lanes, l = self.at[at][go], low[go]
+            r = np.where(same[go], rng[go], (~l + _U(1)) & _LOW32)
             if self.words is None:
-                self.out[at, self.pos[at]] = (low >> _W48).astype(np.uint16)
+                self.out[lanes, self.pos[lanes]] = (l >> _W48).astype(np.uint16)
             else:
-                self.code[at] = (self.code[at] << _W16) | self.words[at, self.pos[at]].astype(np.uint64)
-            self.pos[at] += 1
-            self.low[at], self.range[at] = low << _W16, rng << _W16
-
-    def _symbol(self, table: np.ndarray, ctx: np.ndarray, at: np.ndarray, symbol: np.ndarray | None, step: int, limit: int) -> np.ndarray:
-        """Code one symbol per lane of ``at`` by the counts ``table[lane, ctx]`` and raise its count."""
-        counts = table[at, ctx]
-        ends = counts.cumsum(axis=1, dtype=np.uint64)
-        total = ends[:, -1]
-        rng = self.range[at] // total
-        i = np.arange(len(at))
-        if symbol is None:
-            value = np.minimum((self.code[at] - self.low[at]) // rng, total - _U(1))
-            symbol = (ends <= value[:, None]).sum(axis=1)
-        count = counts[i, symbol]
-        self.low[at] += (ends[i, symbol] - count) * rng
-        self.range[at] = rng * count
-        table[at, ctx, symbol] = count + np.uint16(step)
-        full = total > limit
-        if full.any():
-            a, c = at[full], ctx[full]
-            table[a, c] -= table[a, c] >> 1
-        self._shift(at)
-        return symbol
+                self.code[lanes] = (self.code[lanes] << _W16) | self.words[lanes, self.pos[lanes]].astype(np.uint64)
+            self.pos[lanes] += 1
+            low[go], rng[go] = l << _W16, r << _W16
+        self.low[at], self.range[at] = low, rng
 
     def step(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Code the next id of every lane after the ids ``b, a`` (``a`` is the nearer one)."""
-        at = self.at
-        one = ((a * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS1)).astype(np.int64)
-        two = (((a * np.uint32(0x85EBCA6B)) ^ (b * np.uint32(0xC2B2AE35))) * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOTS2)).astype(np.int64)
-        p1, p2, s1, s2 = self.last1[at, one], self.last2[at, two], self.sure1[at, one], self.sure2[at, two]
+        one = (a * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS1)
+        two = ((a * np.uint32(0x85EBCA6B)) ^ (b * np.uint32(0xC2B2AE35))) * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOTS2)
+        p1, p2, s1, s2 = self.last1[one], self.last2[two], self.sure1[one], self.sure2[two]
         ctx = s2.astype(np.int64) * 8 + s1 * 2 + (p1 == p2)
-        kind = None if ids is None else np.where(p2 == ids + np.uint32(1), 0, np.where(p1 == ids + np.uint32(1), 1, 2))
-        kind = self._symbol(self.flags, ctx, at, kind, 24, 2000)
-        out = np.where(kind == 0, p2, p1) - np.uint32(1) if ids is None else ids.copy()
+        flags = self.flags
+        ends = np.cumsum(flags, axis=1)
+        rng = self.range // ends[ctx, 2].astype(np.uint64)
+        if ids is None:
+            value = ((self.code - self.low) // rng).astype(np.int64)
+            kind = (value >= ends[ctx, 0]).astype(np.int64) + (value >= ends[ctx, 1])
+            out = np.where(kind == 0, p2, p1) - np.uint32(1)
+        else:
+            out = ids
+            new = ids + np.uint32(1)
+            kind = np.where(p2 == new, 0, np.where(p1 == new, 1, 2))
+        count = flags[ctx, kind]
+        self._narrow(slice(None), ends[ctx, kind] - count, count, rng)
+        flags += np.bincount(ctx * 3 + kind, minlength=96).reshape(32, 3)
+        if ends[:, 2].max() > _FLAGS:
+            flags[ends[:, 2] > _FLAGS] = (flags[ends[:, 2] > _FLAGS] + 1) >> 1
         rest = np.flatnonzero(kind == 2)
         if len(rest):
-            node, value = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.uint32)
-            for d in range(self.digits):
-                digit = None if ids is None else ((ids[rest] >> np.uint32(4 * (self.digits - 1 - d))) & np.uint32(15)).astype(np.int64)
-                digit = self._symbol(self.tree, node, rest, digit, 24, 4000)
-                value = (value << np.uint32(4)) | digit.astype(np.uint32)
-                node = 1 + digit if d == 0 else 17 + 256 * (d - 1) + (value & np.uint32(255)).astype(np.int64)
-            out[rest] = value
+            total = int(self.ends[-1])
+            rng = self.range[rest] // _U(total)
+            if ids is None:
+                value = np.minimum(((self.code[rest] - self.low[rest]) // rng).astype(np.int64), total - 1)
+                symbol = np.searchsorted(self.ends, value, side="right")
+                out[rest] = symbol
+            else:
+                symbol = ids[rest]
+            count = self.counts[symbol]
+            self._narrow(rest, self.ends[symbol] - count, count, rng)
         new = out + np.uint32(1)
-        for last, sure, slot, p, s in ((self.last1, self.sure1, one, p1, s1), (self.last2, self.sure2, two, p2, s2)):
-            last[at, slot] = new
-            sure[at, slot] = np.where(p == new, np.minimum(s + 1, 3), 0)
+        self.last1[one], self.sure1[one] = new, np.where(p1 == new, np.minimum(s1 + 1, 3), 0)
+        self.last2[two], self.sure2[two] = new, np.where(p2 == new, np.minimum(s2 + 1, 3), 0)
+        self.seen.append(out)
+        if len(self.seen) == EVERY:
+            self.counts += WEIGHT * np.bincount(np.concatenate(self.seen), minlength=self.symbols)
+            self._cumulate()
+            self.seen = []
         return out
 
     def finish(self) -> list[bytes]:
@@ -129,66 +133,68 @@ class _Lanes:
 
 
 def _layout(n: int) -> tuple[int, int]:
-    """Blocks and their length for ``n`` ids."""
-    return (-(-n // BLOCK), min(n, BLOCK)) if n else (0, 0)
+    """Lanes of a block of ``n`` ids and their length."""
+    lanes = min(LANES, -(-n // STEPS))
+    return (lanes, -(-n // lanes)) if n else (0, 0)
 
 
-def pack(ids: np.ndarray) -> tuple[int, list[bytes], list[int]]:
-    """Digits per id, coded blocks and their checksums (crc32 of little-endian unsigned 32-bit ids)."""
+def pack(ids: np.ndarray) -> tuple[int, list[bytes], int]:
+    """Number of symbols, coded lanes and the checksum (crc32 of little-endian unsigned 32-bit ids)."""
     ids = ids.astype(np.uint32)
-    lanes, steps = _layout(len(ids))
+    check, (lanes, steps) = zlib.crc32(ids.astype("<u4").tobytes()), _layout(len(ids))
     if not lanes:
-        return 1, [], []
-    digits = max(1, (int(ids.max()).bit_length() + 3) // 4)
+        return 1, [], check
+    if int(ids.max()) >= 1 << 20:
+        raise ValueError("ids reach beyond 2**20")
+    symbols = int(ids.max()) + 1
     full = np.zeros(lanes * steps, np.uint32)
     full[:len(ids)] = ids
-    rows = full.reshape(lanes, steps)
-    coder, a, b = _Lanes(lanes, digits, steps), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    columns = np.ascontiguousarray(full.reshape(lanes, steps).T)
+    coder, a, b = _Coder(lanes, steps, symbols), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     with np.errstate(over="ignore"):
-        for t in range(steps):
-            a, b = coder.step(a, b, np.ascontiguousarray(rows[:, t])), a
-    return digits, coder.finish(), [zlib.crc32(r.astype("<u4").tobytes()) for r in rows]
+        for column in columns:
+            a, b = coder.step(a, b, column), a
+    return symbols, coder.finish(), check
 
 
-def unpack(n: int, digits: int, blocks: list[bytes], checks: list[int]) -> np.ndarray:
-    """The ids of ``pack``; raises ``ValueError`` where a block doesn't match its checksum."""
+def unpack(n: int, symbols: int, coded: list[bytes], check: int) -> np.ndarray:
+    """The ids of ``pack``; raises ``ValueError`` where they don't match the checksum."""
     lanes, steps = _layout(n)
-    if lanes != len(blocks):
-        raise ValueError("segment holds a wrong number of blocks")
-    if not lanes:
-        return np.zeros(0, np.uint32)
-    words = np.zeros((lanes, max(map(len, blocks)) // 2 + 8), np.uint16)
-    for i, block in enumerate(blocks):
-        words[i, :len(block) // 2] = np.frombuffer(block, np.uint16)
-    coder, a, b = _Lanes(lanes, digits, steps, words), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    rows = np.zeros((lanes, steps), np.uint32)
-    try:
-        with np.errstate(over="ignore", divide="raise"):
-            for t in range(steps):
-                a, b = coder.step(a, b, None), a
-                rows[:, t] = a
-    except (IndexError, FloatingPointError) as e:
-        raise ValueError("damaged block") from e
-    bad = [i for i, r in enumerate(rows) if zlib.crc32(r.astype("<u4").tobytes()) != checks[i]]
-    if bad:
-        raise ValueError(f"checksum of block {bad[0]} differs")
-    return rows.reshape(-1)[:n]
-
-
-def to_segment(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """Magic, digits, counts; then per document its id, whether it has one and its length; per block checksum and size; blocks."""
-    digits, blocks, checks = pack(ids)
+    if lanes != len(coded):
+        raise ValueError("block holds a wrong number of lanes")
+    words = np.zeros((lanes, max(map(len, coded), default=0) // 2 + 3 * steps + 16), np.uint16)
+    for i, lane in enumerate(coded):
+        words[i, :len(lane) // 2] = np.frombuffer(lane, np.uint16)
+    out = np.zeros((steps, lanes), np.uint32)
+    if lanes:
+        coder, a, b = _Coder(lanes, steps, symbols, words), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        try:
+            with np.errstate(over="ignore", divide="raise"):
+                for t in range(steps):
+                    a, b = coder.step(a, b, None), a
+                    out[t] = a
+        except (IndexError, FloatingPointError, ValueError) as e:
+            raise ValueError("damaged block") from e
+    ids = out.T.reshape(-1)[:n]
+    if zlib.crc32(ids.astype("<u4").tobytes()) != check:
+        raise ValueError("checksum of block differs")
+    return ids
+
+
+def to_block(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """Magic, counts and checksum; then per document its id, whether it has one and its length; per lane its size; lanes."""
+    symbols, coded, check = pack(ids)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     keys = np.array([d or 0 for d in doc_ids], "<i8")
-    return b"".join([_HEAD.pack(MAGIC, digits, 0, len(doc_ids), len(blocks), len(ids)), keys.tobytes(), known.tobytes(), lengths.astype("<u4").tobytes(),
-                     np.array(checks, "<u4").tobytes(), np.array(list(map(len, blocks)), "<u4").tobytes(), *blocks])
+    return b"".join([_HEAD.pack(MAGIC, len(coded), len(doc_ids), symbols, len(ids), check, 0), keys.tobytes(), known.tobytes(), lengths.astype("<u4").tobytes(),
+                     np.array(list(map(len, coded)), "<u4").tobytes(), *coded])
 
 
-def from_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """Document ids, lengths and all ids of a segment."""
-    magic, digits, _, docs, n_blocks, n = _HEAD.unpack_from(data)
+def from_block(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+    """Document ids, lengths and all ids of a block."""
+    magic, lanes, docs, symbols, n, check, _ = _HEAD.unpack_from(data)
     if magic != MAGIC:
-        raise ValueError("not a token segment")
+        raise ValueError("not a block of tokens")
     at = _HEAD.size
 
     def take(kind: str, count: int) -> np.ndarray:
@@ -197,13 +203,12 @@ def from_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         at += out.nbytes
         return out
 
-    keys, known, lengths = take("<i8", docs), take("u1", docs), take("<u4", docs)
-    checks, sizes = take("<u4", n_blocks), take("<u4", n_blocks)
-    blocks = []
+    keys, known, lengths, sizes = take("<i8", docs), take("u1", docs), take("<u4", docs), take("<u4", lanes)
+    coded = []
     for size in sizes.tolist():
-        blocks.append(data[at:at + size])
+        coded.append(data[at:at + size])
         at += size
-    return [k if v else None for k, v in zip(keys.tolist(), known.tolist(), strict=True)], lengths, unpack(n, digits, blocks, checks.tolist())
+    return [k if v else None for k, v in zip(keys.tolist(), known.tolist(), strict=True)], lengths, unpack(n, symbols, coded, check)
 
 
 class Words:
@@ -235,8 +240,8 @@ class Words:
         return [np.frombuffer(b"".join([known[w] for w in r]), np.uint32) for r in runs]
 
 
-def write_segments(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """Encode ``docs`` in ascending order of their id and write segments: a table ``shard, seq, before, n_ids, data``.
+def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
+    """Encode ``docs`` in ascending order of their id and write blocks: a table ``shard, seq, before, n_ids, data``.
 
     ``path`` is a tokenizer file that drops white space. Each document's ids
     are followed by ``end``. Null texts count as empty; null ids come first;
@@ -248,9 +253,9 @@ def write_segments(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         words, seq, before = Words(path), 0, 0
         ids, lengths, parts, size = [], [], [], 0
 
-        def segment():
+        def block():
             nonlocal ids, lengths, parts, size, seq, before
-            data = to_segment(ids, np.array(lengths), np.concatenate(parts))
+            data = to_block(ids, np.array(lengths), np.concatenate(parts))
             row = pa.RecordBatch.from_pydict({"seq": pa.array([seq], pa.int64()), "before": pa.array([before], pa.int64()),
                                               "n_ids": pa.array([size], pa.int64()), "data": pa.array([data], pa.binary())})
             seq, before = seq + 1, before + size
@@ -266,10 +271,10 @@ def write_segments(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     lengths.append(len(got) + 1)
                     parts += [got, tail]
                     size += len(got) + 1
-                    if size >= SEGMENT:
-                        yield segment()
+                    if size >= BLOCK:
+                        yield block()
         if ids:
-            yield segment()
+            yield block()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
@@ -277,12 +282,12 @@ def write_segments(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return cut(dealt.mapInArrow(run, "seq long, before long, n_ids long, data binary").withColumn("shard", F.spark_partition_id()))
 
 
-def read_segments(segments: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of every document, read from the written segments.
+def read_blocks(blocks: DataFrame) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` of every document, read from the written blocks.
 
     ``start`` counts the ids of all documents before. Damaged data raise an error.
     """
-    totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()  # one row per range of ids
+    totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()  # one row per range of ids
     starts, ahead = {}, 0
     for r in sorted(totals, key=lambda r: r.shard):
         starts[r.shard] = ahead
@@ -291,7 +296,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, before, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-                keys, lengths, ids = from_segment(data.as_buffer().to_pybytes())
+                keys, lengths, ids = from_block(data.as_buffer().to_pybytes())
                 ends = np.cumsum(lengths, dtype=np.int64)
                 first = starts[shard.as_py()] + before.as_py()
                 for at in range(0, len(keys), 1000):
@@ -303,11 +308,11 @@ def read_segments(segments: DataFrame) -> DataFrame:
                         [pa.array(keys[at:to], pa.int64()), pa.array(first + ends[at:to] - lengths[at:to].astype(np.int64)), pa.array(lengths[at:to].astype(np.int64)), column],
                         ["doc_id", "start", "n_tokens", "ids"])
 
-    return segments.select("shard", "before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+    return blocks.select("shard", "before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def with_checksums(read: DataFrame) -> DataFrame:
-    """The rows of ``read_segments`` with the crc32 of each document's ids instead of the ids."""
+    """The rows of ``read_blocks`` with the crc32 of each document's ids instead of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
