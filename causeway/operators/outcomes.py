@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from causeway.functions import ordered
 from causeway.functions.values import round3
 
-# Capacity of the experience and of the concept memory.
-EXPERIENCE, CONCEPTS = 1000, 500
-
 
 def _hours(now: Column, then: Column) -> Column:
     return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 3.6e9
@@ -62,9 +59,9 @@ def adaptive_priorities(actions: DataFrame, executions: DataFrame, now: Column)
     return j.select(*actions.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("adjusted"))
 
 
-def recent(executions: DataFrame, size: int = EXPERIENCE) -> DataFrame:
-    """The experience: the latest outcomes, as many as it holds."""
-    return executions.orderBy(F.col("ts").desc(), F.col("execution_id").desc()).limit(size)
+def recent(executions: DataFrame, size: int | None = None) -> DataFrame:
+    """The experience: all outcomes, or only the latest ones where a size is asked for."""
+    return executions if size is None else executions.orderBy(F.col("ts").desc(), F.col("execution_id").desc()).limit(size)
 
 
 _CONCEPT = ["concept_id", "name", "action_type", "action_template", "confidence", "evidence_count", "success_rate", "tags", "last_used", "lifecycle"]
@@ -79,7 +76,7 @@ def _concept(df, cid, name, kind, template, tags, confidence=None) -> DataFrame:
 
 
 def extract_concepts(executions: DataFrame, now: Column, min_evidence: int = 3, min_success: float = 0.6,
-                     size: int = EXPERIENCE) -> DataFrame:
+                     size: int | None = None) -> DataFrame:
     """Kinds and titles of action that usually work, and kinds that succeed beside each other.
 
     The number of pairs of successes of two kinds is the product of their
@@ -103,10 +100,10 @@ def extract_concepts(executions: DataFrame, now: Column, min_evidence: int = 3,
     return types.unionByName(titles).unionByName(pairs)
 
 
-def remember(known: DataFrame, new: DataFrame, now: Column, size: int = CONCEPTS) -> DataFrame:
+def remember(known: DataFrame, new: DataFrame, now: Column, size: int | None = None) -> DataFrame:
     """Merge new concepts into the known ones: weighted success, more evidence, a little more confidence.
 
-    The memory has a capacity; the longest unused concepts leave it first.
+    Where a capacity is given, the longest unused concepts leave the memory first.
     """
     old = known.select(*[F.col(c).alias(f"k_{c}") for c in _CONCEPT])
     j = old.join(new.select(*_CONCEPT), F.col("k_concept_id") == F.col("concept_id"), "full")
@@ -117,7 +114,7 @@ def remember(known: DataFrame, new: DataFrame, now: Column, size: int = CONCEPTS
         "confidence": F.least(F.lit(0.95), F.col("k_confidence") + 0.01), "evidence_count": total, "success_rate": mean, "last_used": now}
     out = j.select(*[
         (F.when(met, merged[c]).otherwise(F.coalesce(f"k_{c}", c)) if c in merged else F.coalesce(f"k_{c}", c)).alias(c) for c in _CONCEPT])
-    return out.orderBy(F.col("last_used").desc(), "concept_id").limit(size)
+    return out if size is None else out.orderBy(F.col("last_used").desc(), "concept_id").limit(size)
 
 
 def relevant_concepts(concepts: DataFrame, contexts: DataFrame, now: Column, k: int = 5) -> DataFrame:
@@ -129,10 +126,12 @@ def relevant_concepts(concepts: DataFrame, contexts: DataFrame, now: Column, k:
     age = _hours(now, F.col("last_used"))
     base = F.col("confidence") * F.when(age < 24, 1.2).when(age > 168, 0.8).otherwise(1.0) * F.when(F.col("evidence_count") > 10, 1.3).otherwise(1.0)
     c = concepts.select("concept_id", F.col("action_type").alias("c_type"), F.col("tags").alias("c_tags"), base.alias("base"))
-    top = c.orderBy(F.col("base").desc(), "concept_id").limit(k)
+    top = c.orderBy(F.col("base").desc(), "concept_id").limit(k).collect()  # k rows
     by_type = contexts.join(c.withColumn("action_type", F.col("c_type")), "action_type")
     by_tag = contexts.withColumn("tag", F.explode("tags")).join(c.withColumn("tag", F.explode("c_tags")), "tag")
-    always = contexts.withColumn("one", F.lit(1)).join(F.broadcast(top.withColumn("one", F.lit(1))), "one")
+    fixed = F.array(*[F.struct(F.lit(r.concept_id).alias("concept_id"), F.lit(r.c_type).alias("c_type"), F.array(*map(F.lit, r.c_tags)).cast("array<string>").alias("c_tags"),
+                               F.lit(r.base).cast("double").alias("base")) for r in top])
+    always = contexts.withColumn("t", F.explode(fixed)).select("*", "t.*") if top else by_type.limit(0)
     cols = ["context_id", "action_type", "tags", "concept_id", "c_type", "c_tags", "base"]
     met = by_type.select(*cols).unionByName(by_tag.select(*cols)).unionByName(always.select(*cols)).dropDuplicates(["context_id", "concept_id"])
     shared = F.size(F.array_intersect("tags", "c_tags"))
@@ -142,18 +141,26 @@ def relevant_concepts(concepts: DataFrame, contexts: DataFrame, now: Column, k:
         "context_id", "concept_id", "score", "rank")
 
 
+def _starts(text: Column, size: int = 3) -> Column:
+    """Every substring of up to ``size`` characters, the empty one included."""
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.array(*[text.substr(i, F.lit(n)) for n in range(1, size + 1)]))
+    return F.array_distinct(F.concat(F.flatten(at), F.array(F.lit(""))))
+
+
 def matches(items: DataFrame, concepts: DataFrame, item: str) -> DataFrame:
     """Items (``item, action_type, action_title, tags``) and the concepts they fall under.
 
-    By type or tag through equi-joins; by a template inside the title through
-    the concept memory, which holds at most ``CONCEPTS`` rows.
+    By type, by tag, or by a template inside the title. A title holds a
+    template only if it holds the template's first characters, so all three
+    routes are equi-joins.
     """
     c = concepts.select("concept_id", F.col("action_type").alias("c_type"), "action_template", F.col("tags").alias("c_tags"))
     by_type = items.join(c, items["action_type"] == c["c_type"]).select(item, "concept_id")
     by_tag = items.select(item, F.explode("tags").alias("tag")).join(c.select("concept_id", F.explode("c_tags").alias("tag")), "tag").select(item, "concept_id")
-    small = F.broadcast(c.orderBy("concept_id").limit(CONCEPTS).select("concept_id", "action_template"))
-    titles = items.select("action_title").distinct().join(small, F.expr("contains(action_title, action_template)"))
-    by_title = items.join(titles, "action_title").select(item, "concept_id")
+    titles = items.select("action_title").distinct().withColumn("start", F.explode(_starts(F.col("action_title"))))
+    inside = titles.join(c.select("concept_id", "action_template", F.substring("action_template", 1, 3).alias("start")), "start").filter(
+        F.expr("contains(action_title, action_template)")).select("action_title", "concept_id")
+    by_title = items.join(inside, "action_title").select(item, "concept_id")
     return by_type.unionByName(by_tag).unionByName(by_title).distinct()
 
 

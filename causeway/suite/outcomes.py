@@ -15,7 +15,7 @@ EX = """SELECT CAST(event_id AS VARCHAR) AS execution_id, event_type AS action_t
 NOW = "(SELECT max(ts) FROM events)"
 RT = "SELECT action_type, count(*) AS n, avg(CASE WHEN success THEN 1.0::DOUBLE ELSE 0 END) AS rate, max(ts) AS last FROM ex GROUP BY action_type"
 RN = "SELECT action_title, count(*) AS n, avg(CASE WHEN success THEN 1.0::DOUBLE ELSE 0 END) AS rate, max(ts) AS last FROM ex GROUP BY action_title"
-RC = "SELECT * FROM ex ORDER BY ts DESC, execution_id DESC LIMIT 1000"
+RC = "SELECT * FROM ex"
 CO = """
   SELECT 'type:' || action_type AS concept_id, action_type, action_type || ': {title}' AS action_template, rate AS confidence, n AS evidence_count, rate AS success_rate, [action_type] AS tags, last AS last_used, action_type AS name
   FROM (SELECT action_type, count(*) AS n, avg(CASE WHEN success THEN 1.0::DOUBLE ELSE 0 END) AS rate, max(ts) AS last FROM rc GROUP BY action_type) WHERE n >= 3 AND rate >= 0.6
@@ -116,10 +116,10 @@ def l18b(spark, sf):
     SELECT x.context_id, c.concept_id, round(c.confidence * CASE WHEN age < 24 THEN 1.2 WHEN age > 168 THEN 0.8 ELSE 1 END::DOUBLE * CASE WHEN evidence_count > 10 THEN 1.3 ELSE 1 END::DOUBLE
       * CASE WHEN c.action_type = x.action_type THEN 1.5 ELSE 1 END::DOUBLE * (1 + 0.2::DOUBLE * len(list_intersect(c.tags, x.tags))), 3) AS score
     FROM (SELECT *, date_diff('microsecond', last_used, {NOW}) / 3.6e9 AS age FROM co) c,
-      (SELECT 'ctx' || user_id || event_type AS context_id, event_type AS action_type, [event_type, 'specific'] AS tags FROM events WHERE value > 250 GROUP BY user_id, event_type) x)) WHERE rank <= 5""", **ALL))
+      (SELECT 'ctx' || user_id || event_type AS context_id, event_type AS action_type, [event_type, 'specific'] AS tags FROM events GROUP BY user_id, event_type) x)) WHERE rank <= 5""", **ALL))
 def l19(spark, sf):
     t = now(spark, sf)
-    ctx = X.table(spark, sf, "events").filter("value > 250").select("user_id", "event_type").distinct().select(
+    ctx = X.table(spark, sf, "events").select("user_id", "event_type").distinct().select(
         F.concat(F.lit("ctx"), F.col("user_id").cast("string"), "event_type").alias("context_id"), F.col("event_type").alias("action_type"),
         F.array("event_type", F.lit("specific")).alias("tags"))
     return O.relevant_concepts(O.extract_concepts(executions(spark, sf), t), ctx, t)
@@ -154,12 +154,11 @@ def l20b(spark, sf):
 @query("l21_validation", cte(f"""
   SELECT concept_id, round(CASE WHEN age < 1 THEN confidence ELSE confidence * (1 - 0.01::DOUBLE * least(1, age / 168)) END, 4) AS confidence, lost AS counter_examples,
     CASE WHEN lost >= 3 THEN 'invalidated' WHEN evidence_count >= 10 AND success_rate >= 0.7 THEN 'validated' ELSE 'emerging' END AS lifecycle
-  FROM (SELECT c.*, date_diff('microsecond', last_used, {NOW}) / 3.6e9 AS age, (SELECT count(*) FROM ex e WHERE NOT success AND value > 18 AND (e.action_type = c.action_type
-          OR contains(e.action_title, c.action_template) OR list_contains(c.tags, e.action_type)) AND e.action_type = 'view') AS lost FROM co c)""", **ALL))
+  FROM (SELECT c.*, date_diff('microsecond', last_used, {NOW}) / 3.6e9 AS age, (SELECT count(*) FROM ex e WHERE NOT success AND (e.action_type = c.action_type
+          OR contains(e.action_title, c.action_template) OR list_contains(c.tags, e.action_type))) AS lost FROM co c)""", **ALL))
 def l21(spark, sf):
     e = executions(spark, sf)
-    # only narrow failures of one kind count against the concepts
-    return O.validate_concepts(O.extract_concepts(e, now(spark, sf)), e.filter("action_type = 'view' AND (success OR value > 18)"), now(spark, sf)).select(
+    return O.validate_concepts(O.extract_concepts(e, now(spark, sf)), e, now(spark, sf)).select(
         "concept_id", F.round("confidence", 4).alias("confidence"), "counter_examples", "lifecycle")
 
 
