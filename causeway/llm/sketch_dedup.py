@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from causeway.llm.common import as_bytes, cut, mix64, release
 from causeway.llm.components import components
@@ -21,7 +22,7 @@ from causeway.llm.components import components
 SHINGLE = 5
 #: Kept values of a sketch. Two sets with similarity 0.85 share about 27 of 32.
 K = 32
-#: Longer lists are hot: only texts made mostly of hot values are looked up in them.
+#: Longer lists are hot: their members are compared by their full sets.
 HOT = 64
 #: Candidate pairs of hot lists that one round may make; more pairs take more rounds.
 PAIRS = 20_000_000
@@ -86,6 +87,13 @@ def _sets(size: int):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            s = np.frombuffer(data.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), len(s)))], ["v", "rep", "n"])
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,18 +124,20 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> Da
             .filter(hit >= m * p - 6 * F.sqrt(m * (p * (1 - p)))).select("a", "b"))
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, k: int, size: int) -> DataFrame:
-    """The candidate pairs that the full sets confirm, as a written table."""
-    near = cut(_estimated(pairs, classes, percent, k))
-    if near.isEmpty():
-        return near
-    ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id")))
-    sets = docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, set binary")
+def _fetched(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``doc_id, set``, written, of the documents ``ids``; the join is the same at every size."""
+    return cut(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, set binary"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+
+
+def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the full sets confirm, as a written table."""
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb"))
     full = near.join(one, "a").join(two, "b").select("a", "b", "xa", "xb")
-    out = cut(full.mapInArrow(_verified(percent), "a long, b long"))
-    release(near)
-    return out
+    return cut(full.mapInArrow(_verified(percent), "a long, b long"))
 
 
 def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -143,6 +153,27 @@ def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
             .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
 
 
+def _need(n, p: float):
+    """Least number of common values among ``n`` kept ones that the estimate lets pass."""
+    return F.greatest(F.lit(1), F.ceil(n * p - 6 * F.sqrt(n * (p * (1 - p)))))
+
+
+def _prefix_lists(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Inverted lists of the rarest elements of the full sets of ``reps``.
+
+    Elements are ranked by the number of these sets that hold them; two sets
+    of the asked similarity share one of their ``n - ceil(percent n) + 1``
+    first elements.
+    """
+    full = cut(sets.join(reps, "doc_id", "left_semi").distinct().mapInArrow(_elements, "v long, rep long, n long"))
+    ranked = full.join(full.groupBy("v").agg(F.count(F.lit(1)).alias("df")), "v")
+    place = F.row_number().over(W.Window.partitionBy("rep", "n").orderBy("df", "v"))
+    first = ranked.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    out = cut(first.filter("df > 1").select("v", "rep", "n", "df"))
+    release(full)
+    return out
+
+
 def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
     """Lists whose members still belong to several components, with each member's component.
 
@@ -154,14 +185,12 @@ def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
     return named.join(top, "v").withColumn("major", F.col("c") == F.col("top")).drop("top")
 
 
-def _cross_pairs(hubs: DataFrame, members: DataFrame, percent: int, floor: bool) -> DataFrame:
-    """Pairs of a list across components whose sizes and shared kept values allow the similarity."""
-    h = hubs.select("v", F.col("rep").alias("r"), F.col("c").alias("rc"), F.col("n").alias("rn"), F.col("q").alias("rq"))
-    pairs = (members.filter("n > 0").join(h, "v").filter("c <> rc").filter("major or rep > r")
-             .filter(F.least("n", "rn") * 100 >= F.greatest("n", "rn") * percent)
-             .select(F.greatest("rep", "r").alias("a"), F.least("rep", "r").alias("b"), F.least("q", "rq").alias("q")))
-    shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"), F.min("q").alias("q"))
-    return (shared.filter("o >= floor(0.25 * q)") if floor else shared).select("a", "b")
+def _cross_pairs(hubs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list across components whose sizes allow the similarity."""
+    h = hubs.select("v", F.col("rep").alias("r"), F.col("c").alias("rc"), F.col("n").alias("rn"))
+    return (members.join(h, "v").filter("c <> rc").filter("major or rep > r")
+            .filter(F.least("n", "rn") * 100 >= F.greatest("n", "rn") * percent)
+            .select(F.greatest("rep", "r").alias("a"), F.least("rep", "r").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, size: int = SHINGLE, hot: int = HOT, id_col: str = "doc_id",
@@ -175,12 +204,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, size: int =
     set equals that of a row with id. Other columns are ignored.
 
     Texts with equal sets are one class, so copies never meet each other. A
-    list is first linked through its least member per size band; afterwards
-    only pairs across components are compared. A text whose sketch holds at
-    least half rare values is looked up by those alone, since a similar text
-    must share some; the other texts also meet in hot lists, where the
-    members outside the largest component are compared with the whole list,
-    in as many rounds as keep each round's output bounded.
+    text is looked up by the rarest values of its sketch alone, so many that
+    two texts which the estimate lets pass must share one of them. A list is
+    first linked through its least member per size band; afterwards only
+    pairs across components are compared, in short lists at once. Texts
+    whose lookup values include hot ones also meet through the rarest
+    elements of their full sets: there, the members outside a list's largest
+    component are compared with the whole list, in as many rounds as keep
+    each round's output bounded.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = cut(base.mapInArrow(_sketches(k, size), "doc_id long, n long, sig binary, sketch array<long>"))
@@ -190,31 +221,46 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, size: int =
     entries = classes.select(F.explode("sketch").alias("v"), "rep", "n", F.size("sketch").alias("kept"))
     shared = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     met = cut(entries.join(shared, "v"))
-    rare = met.groupBy("rep").agg(F.min("kept").alias("kept"), F.count_if(F.col("df") > hot).alias("n_hot")).select(
-        "rep", (F.col("kept") - F.col("n_hot")).alias("q"), F.expr("2 * n_hot > kept").alias("common"))
-    lists = cut(met.join(rare, "rep").filter(F.col("common") | (F.col("df") <= hot)).select("v", "rep", "n", "df", "q"))
+    mine = W.Window.partitionBy("rep")
+    place = F.col("kept") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "v"))
+    lists = cut(met.withColumn("place", place).filter(F.col("place") <= F.col("kept") - _need(F.col("kept"), percent / 100) + 1).select("v", "rep", "n", "df"))
+    common = cut(lists.filter(F.col("df") > hot).select(F.col("rep").alias("doc_id")).distinct())
     release(met)
 
-    links = _links(_star_pairs(lists, percent), classes, base, percent, k, size)
+    near = cut(_estimated(_star_pairs(lists, percent), classes, percent, k))
+    sets = _fetched(base, _ends(near).union(common), size)
+    links = _links(near, sets, percent)
+    release(near)
     comp = components(links)
-    left = cut(_open_lists(lists, comp))
-    few = left.filter(F.col("df") <= hot)
-    links = links.union(_links(_cross_pairs(few.filter("not major"), few, percent, True), classes, base, percent, k, size))
-    # every pair across components has an end outside the list's largest one: those ends are the hubs, in rounds of bounded output
-    many = left.filter(F.col("df") > hot).withColumn("turn", F.pmod(F.xxhash64("rep"), F.lit(TURNS)))
-    sizes = many.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("major")).alias("h"))
-    total = sizes.agg(F.sum(F.col("m") * F.col("h"))).first()[0] or 0
-    rounds = min(TURNS, -(-total // PAIRS))
-    for r in range(rounds):
-        comp = components(links) if r else comp
-        now = many.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
-        turn = now.filter(~F.col("major") & (F.col("turn") % rounds == r))
-        links = links.union(_links(_cross_pairs(turn, now.withColumn("major", F.lit(True)), percent, False), classes, base, percent, k, size))
-    release(left)
+    left = cut(_open_lists(lists.filter(F.col("df") <= hot), comp))
+    near = cut(_estimated(_cross_pairs(left.filter("not major"), left, percent), classes, percent, k))
+    release(left, lists)
+    if not near.isEmpty():
+        some = _fetched(base, _ends(near), size)
+        links = links.union(_links(near, some, percent))
+        release(some)
+    release(near)
+    if not common.isEmpty():
+        lists = _prefix_lists(sets, common, percent)
+        comp = components(links)
+        # every pair across components has an end outside the list's largest one: those ends are the hubs, in rounds of bounded output
+        many = cut(_open_lists(lists, comp).withColumn("turn", F.pmod(F.xxhash64("rep"), F.lit(TURNS))))
+        sizes = many.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("major")).alias("h"))
+        total = sizes.agg(F.sum(F.col("m") * F.col("h"))).first()[0] or 0
+        rounds = min(TURNS, -(-total // PAIRS))
+        for r in range(rounds):
+            comp = components(links) if r else comp
+            now = many.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
+            turn = now.filter(~F.col("major") & (F.col("turn") % rounds == r))
+            near = cut(_estimated(_cross_pairs(turn, now.withColumn("major", F.lit(True)), percent), classes, percent, k))
+            if not near.isEmpty():
+                links = links.union(_links(near, sets, percent))
+            release(near)
+        release(many, lists)
+    release(sets, common)
     same_id = (named.groupBy("doc_id").agg(F.count_distinct("sig").alias("m")).filter("m > 1").select("doc_id")
                .join(named.select("doc_id", "sig"), "doc_id").join(classes.select("sig", "rep"), "sig").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     comp = components(links.union(same_id))
-    release(lists)
     out = (seen.join(classes.select("sig", "rep"), "sig", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
            .join(comp.withColumnRenamed("node", "rep"), "rep", "left"))
     top = F.coalesce("component", "rep")
