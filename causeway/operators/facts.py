@@ -132,11 +132,10 @@ def _controlled(steps: DataFrame, edges: DataFrame, heads: Column) -> DataFrame:
     return edges.filter("kind = 'control'").select("run_id", "src", "dst").join(head, ["run_id", "src"])
 
 
-def _first(rows: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` controlled steps of each head, as a sorted array."""
-    w = Window.partitionBy("run_id", "src").orderBy("dst")
-    return rows.select("run_id", "src", "dst").distinct().withColumn("_r", F.row_number().over(w)).filter(
-        F.col("_r") <= k).groupBy("run_id", "src").agg(F.array_sort(F.collect_list("dst")).alias("first"))
+def _members(body: DataFrame) -> DataFrame:
+    """All steps of each head, itself included, as evidence in parts."""
+    rows = body.select("run_id", "src", F.explode(F.array("src", "dst")).alias("step"))
+    return _evidence(rows, ["run_id", "src"], "step")
 
 
 def loops(steps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -148,11 +147,11 @@ def loops(steps: DataFrame, edges: DataFrame) -> DataFrame:
     n = inside.groupBy("run_id", "src").agg(
         F.count("*").alias("n"), F.countDistinct("line").alias("lines"), F.first("head_code").alias("head_code"),
         F.countDistinct("dst").alias("body_steps"))
-    n = n.join(_first(body, 5), ["run_id", "src"]).withColumn(
+    n = n.join(_members(body), ["run_id", "src"]).withColumn(
         "iterations", F.floor(F.col("n") / F.greatest(F.lit(1), F.col("lines"))))
     iteration = _facts(n, "loop.iteration", F.col("src"), F.col("head_code"), _say("iteration", "iterations"),
-                       F.concat(F.array("src"), "first"),
-                       {"header_step": F.col("src"), "iterations": F.col("iterations"), "body_steps": F.col("body_steps")})
+                       F.col("evidence"),
+                       {"header_step": F.col("src"), "iterations": F.col("iterations"), "body_steps": F.col("body_steps")}, F.col("part"))
 
     wrote = inside.select("run_id", "src", "dst", F.explode("writes").alias("var")).distinct()
     times = wrote.groupBy("run_id", "src", "var").agg(F.count("*").alias("n")).filter("n >= 2").join(
@@ -172,9 +171,9 @@ def controls(steps: DataFrame, edges: DataFrame) -> DataFrame:
     code = F.col("code")
     body = _controlled(steps, edges, code.startswith("if ") | code.startswith("elif "))
     n = body.groupBy("run_id", "src").agg(F.count("*").alias("n"), F.first("head_code").alias("head_code")).join(
-        _first(body, 3), ["run_id", "src"])
+        _members(body), ["run_id", "src"])
     branch = _facts(n, "control.branch", F.col("src"), F.col("head_code"), _say("branch", F.trim("head_code"), "n"),
-                    F.concat(F.array("src"), "first"), {"condition_step": F.col("src"), "controlled": F.col("n")})
+                    F.col("evidence"), {"condition_step": F.col("src"), "controlled": F.col("n")}, F.col("part"))
     early = steps.filter(code.startswith("return ") & (F.col("indent") > 0))
     return branch.unionByName(_facts(
         early, "control.early_return", F.col("step"), code, _say("early_return", "step", F.trim("code")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from causeway.functions import code as C
 
@@ -47,16 +48,16 @@ def compare(value: Column, op: str, target) -> Column:
 
 
 def fact_field(field: str) -> Column:
-    """A field of a fact, or an entry of its metadata; ``evidence`` is its length."""
+    """A field of a fact, or an entry of its metadata; ``evidence`` is the length of all its parts together."""
     if field == "evidence":
-        return F.size("evidence").cast("string")
+        return F.sum(F.size("evidence")).over(Window.partitionBy("run_id", "fact_id")).cast("string")
     if field in ("kind", "subject", "description", "confidence", "fact_id"):
         return F.col(field).cast("string")
     return F.col("metadata")[field]
 
 
 def filter_facts(facts: DataFrame, field: str, op: str, value) -> DataFrame:
-    return facts.filter(compare(fact_field(field), op, value))
+    return facts.withColumn("_field", fact_field(field)).filter(compare(F.col("_field"), op, value)).drop("_field")
 
 
 def select_facts(facts: DataFrame, pattern: str = "all", limit: int = 20, where: tuple | None = None) -> DataFrame:
@@ -66,12 +67,12 @@ def select_facts(facts: DataFrame, pattern: str = "all", limit: int = 20, where:
     the shuffle.
     """
     p = pattern.lower()
-    rows = facts.filter("part = 0")
+    rows = facts
     if p != "all":
         rows = rows.filter(F.col("kind").contains(p) | F.lower("description").contains(p) | F.lower("subject").contains(p))
     if where:
         rows = filter_facts(rows, *where)
-    return limit_per_run(rows, limit, ["kind", "fact_id"])
+    return limit_per_run(rows.filter("part = 0"), limit, ["kind", "fact_id"])
 
 
 def filter_slice(slice_: DataFrame, predicate: str, value: int | None = None) -> DataFrame:
@@ -82,11 +83,28 @@ def filter_slice(slice_: DataFrame, predicate: str, value: int | None = None) ->
     }[predicate])
 
 
+def sort_keys(df: DataFrame, field: str, desc: bool = False) -> tuple[Column, list[Column]]:
+    """The value to order by, and the order over it (as ``_field``): numbers as numbers, ahead of other texts; missing counts as 0."""
+    if field in df.columns and not (field == "evidence" and "fact_id" in df.columns):
+        value = F.col(field)
+    else:
+        value = fact_field(field)
+    text = isinstance(df.select(value.alias("v")).schema["v"].dataType, T.StringType)
+    value = F.coalesce(value, F.lit("0") if text else F.lit(0).cast(df.select(value.alias("v")).schema["v"].dataType))
+    keys = [F.col("_field").try_cast("double"), F.col("_field")] if text else [F.col("_field")]
+    return value, [k.desc_nulls_last() if desc else k.asc_nulls_last() for k in keys]
+
+
 def sort_rows(df: DataFrame, field: str, desc: bool = False) -> DataFrame:
-    """Order by a column or fact field; missing counts as 0."""
-    value = fact_field(field) if "metadata" in df.columns and field not in df.columns else F.col(field)
-    missing = F.coalesce(value, F.lit(0).cast(df.select(value.alias("v")).schema["v"].dataType))
-    return df.orderBy(missing.desc() if desc else missing.asc())
+    """Order by a column or fact field."""
+    value, keys = sort_keys(df, field, desc)
+    return df.withColumn("_field", value).orderBy(*keys).drop("_field")
+
+
+def ranked_per_run(df: DataFrame, field: str, desc: bool = False, ties: str = "fact_id") -> DataFrame:
+    """Place of each row of a run in the order of ``sort_rows``; ties by ``ties``."""
+    value, keys = sort_keys(df, field, desc)
+    return df.withColumn("_field", value).withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(*keys, ties))).drop("_field")
 
 
 def limit_per_run(df: DataFrame, n: int, order: list, keys=("run_id",)) -> DataFrame:

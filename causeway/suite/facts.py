@@ -59,7 +59,7 @@ LB = """SELECT ce.run_id, ce.src, ce.dst, h.code AS head, b.line, b.code, b.t FR
 FACT_LOOP = """
   SELECT run_id, 'loop.iteration', 'loop.iteration#' || src, any_value(head),
     'Loop executes ' || (count(*) // greatest(1, count(DISTINCT line))) || ' iterations',
-    src || ',' || array_to_string((list(dst ORDER BY dst))[1:5], ',')
+    array_to_string(list_sort(list_distinct(list_append(list(dst), src))), ',')
   FROM lb GROUP BY run_id, src
   UNION ALL
   SELECT run_id, 'loop.accumulation', 'loop.accumulation#' || src || ':' || var, var,
@@ -71,7 +71,7 @@ FACT_LOOP = """
   FROM lb WHERE t = 1"""
 FACT_CTL = """
   SELECT run_id, 'control.branch', 'control.branch#' || src, any_value(code),
-    'Branch `' || any_value(code) || '` controls ' || count(*) || ' steps', src || ',' || array_to_string((list(dst ORDER BY dst))[1:3], ',')
+    'Branch `' || any_value(code) || '` controls ' || count(*) || ' steps', array_to_string(list_sort(list_distinct(list_append(list(dst), src))), ',')
   FROM ce JOIN (SELECT run_id, step AS src, code FROM st WHERE t = 1) USING (run_id, src) GROUP BY run_id, src
   UNION ALL
   SELECT run_id, 'control.early_return', 'control.early_return#' || step, code, 'Early return at step #' || step || ': `' || code || '`',

@@ -132,3 +132,14 @@ def b10(spark, sf):
 @query("b10_error_nodes", cte("SELECT node_id FROM gx WHERE node_type = 'ERROR'", **FUSE))
 def b10b(spark, sf):
     return S.error_nodes(fused_sources(spark, sf)[3]).select("node_id")
+
+
+@query("b5_sort_places", cte("""
+  SELECT run_id, fact_id, 'versions' AS by, row_number() OVER (PARTITION BY run_id ORDER BY total DESC, fact_id) AS place
+  FROM (SELECT run_id, 'variable.evolution#' || var AS fact_id, total FROM evo2)
+  UNION ALL SELECT run_id, fact_id, 'evidence', row_number() OVER (PARTITION BY run_id ORDER BY len(string_split(evidence, ',')), fact_id) FROM fa""", **FACTS))
+def b5_places(spark, sf):
+    f = X.facts(spark, sf)
+    versions = S.ranked_per_run(f.filter("kind = 'variable.evolution' AND part = 0"), "total_versions", desc=True).withColumn("by", F.lit("versions"))
+    evidence = S.ranked_per_run(f, "evidence").filter("part = 0").withColumn("by", F.lit("evidence"))
+    return versions.unionByName(evidence).select("run_id", "fact_id", "by", "place")
