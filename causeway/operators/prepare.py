@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ast
-import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import code as C
 from causeway.functions import ordered
-from causeway.functions.folding import fold_runs
+from causeway.functions.ordered import read_twice
 
 _SNAP = ["value", "type", "memory_id", "container_keys"]
 
@@ -92,32 +90,42 @@ def drop_repeats(steps: DataFrame, **kw) -> DataFrame:
 
 
 # Names that are never counted as variables.
-BUILTINS = frozenset(
-    "range len int str float list dict set tuple bool type isinstance enumerate zip map filter sorted sum min max "
-    "abs print repr round any all next iter open input super True False None self cls".split()
-)
+BUILTINS = {
+    "range", "len", "int", "str", "float", "list", "dict", "set", "tuple", "bool", "type", "isinstance", "enumerate", "zip", "map", "filter",
+    "sorted", "sum", "min", "max", "abs", "print", "repr", "round", "any", "all", "next", "iter", "open", "input", "super", "True", "False",
+    "None", "self", "cls",
+}
+
+
+def _names(nodes: list[ast.AST], kind: type[ast.expr_context]) -> list[str]:
+    """Variables below the nodes that are read (or written), in the order of the text."""
+    found = [n for top in nodes for n in ast.walk(top) if isinstance(n, ast.Name) and isinstance(n.ctx, kind) and n.id not in BUILTINS]
+    return list(dict.fromkeys(n.id for n in sorted(found, key=lambda n: (n.lineno, n.col_offset))))
 
 
 def line_accesses(line: str) -> tuple[list[str], list[str]]:
-    """Names read and written by one line of Python."""
+    """Names read and written by one line of Python.
+
+    A header is parsed with an empty body. Loops and ``with`` headers bind
+    their targets, and loops read what they run over; other headers have no
+    accesses of their own.
+    """
     text = line.strip()
-    loop = re.match(r"for\s+(\w+)\s+in\s+(.+):", text)
-    if loop:
-        target = loop.group(1)
-        names = [n for n in re.findall(r"\b([a-zA-Z_]\w*)\b", loop.group(2)) if n != target and n not in BUILTINS]
-        return list(dict.fromkeys(names)), [] if target in BUILTINS else [target]
-    opened = re.match(r"with\s+.+\s+as\s+(\w+):", text)
-    if opened:
-        return [], [n for n in opened.groups() if n not in BUILTINS]
     try:
-        nodes = list(ast.walk(ast.parse(text)))
+        body = ast.parse(f"{text} pass" if text.endswith(":") else text).body
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return [], []
-    augmented = {id(n.target): n.target.id for n in nodes if isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name)}
-    names = [n for n in nodes if isinstance(n, ast.Name) and n.id not in BUILTINS]
-    reads = dict.fromkeys(n.id for n in names if isinstance(n.ctx, ast.Load) or id(n) in augmented)
-    writes = dict.fromkeys(n.id for n in names if isinstance(n.ctx, ast.Store))
-    return list(reads), list(writes)
+    match body:
+        case [ast.For(target=target, iter=over)]:
+            bound = _names([target], ast.Store)
+            return [n for n in _names([over], ast.Load) if n not in bound], bound
+        case [ast.With(items=items)]:
+            return [], _names([i.optional_vars for i in items if i.optional_vars], ast.Store)
+        case [ast.If() | ast.While() | ast.FunctionDef() | ast.ClassDef()] if text.endswith(":"):
+            return [], []
+    changed = [n.target for top in body for n in ast.walk(top) if isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name)]
+    first = _names(changed, ast.Store)  # read before they are written
+    return first + [n for n in _names(body, ast.Load) if n not in first], _names(body, ast.Store)
 
 
 def reads_writes(lines: DataFrame, text: str = "code") -> DataFrame:
@@ -135,55 +143,44 @@ def with_accesses(steps: DataFrame) -> DataFrame:
     return steps.drop("reads", "writes").join(reads_writes(steps), "code")
 
 
-_BLOCK_ROWS = "run_id string, step long, block_id long, parent_block_id long, block_indent int, condition_step long"
-
-
-def _walk_blocks(pdf: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
-    s = json.loads(state) if state else {
-        "stack": [[0, 0]], "count": 0, "prev": 0, "loop": -1, "first": {}, "ids": {"0": 0}, "pending": None,
-    }
-    stack, first, ids = s["stack"], s["first"], s["ids"]
-    out = []
-    for run, step, line, code, indent in zip(pdf.run_id, pdf.step, pdf.line, pdf.code, pdf.indent):
-        indent, opened = int(indent), None
-        text = code.strip()
-        header = text.startswith(("for ", "while "))
-        condition = header or text.startswith(("if ", "elif "))
-        key = str(indent)
-        if indent > s["prev"]:
-            again = s["prev"] == s["loop"] and key in first and line >= first[key]
-            if not again:
-                s["count"] += 1
-                controls = s["pending"] is not None and indent > s["pending"][1]
-                opened = (stack[-1][0], indent, s["pending"][0] if controls else -1)
-                first[key], ids[key] = int(line), s["count"]
-            stack.append([ids[key], indent])
-        else:
-            back = header and indent < s["prev"]
-            while len(stack) > 1 and stack[-1][1] > indent:
-                left = str(stack.pop()[1])
-                if not back:
-                    first.pop(left, None)
-                    ids.pop(left, None)
-        block = ids.get(key, 0)
-        if header:
-            s["loop"] = indent
-        elif condition:
-            s["loop"] = -1
-        if condition:
-            s["pending"] = [int(step), indent]
-        s["prev"] = indent
-        out.append((run, step, block, *(opened or (None, None, None))))
-    cols = ["run_id", "step", "block_id", "parent_block_id", "block_indent", "condition_step"]
-    rows = pd.DataFrame(out, columns=cols).astype(
-        {"parent_block_id": "Int64", "block_indent": "Int32", "condition_step": "Int64"})
-    return rows, json.dumps(s)
+def _open_levels(steps: DataFrame, **kw) -> DataFrame:
+    """For each step the last step on every lower indent level that no step at or below that level has closed since.
+
+    ``steps`` needs ``run_id, step, indent`` and the struct ``_row`` to carry.
+    """
+    levels = steps.groupBy("run_id").agg(F.collect_set("indent").alias("levels"))
+    spread = steps.join(levels, "run_id").withColumn("level", F.explode("levels")).drop("levels")
+    at_or_below = F.when(F.col("indent") <= F.col("level"), F.struct("_row", (F.col("indent") == F.col("level")).alias("opens")))
+    held = ordered.running(spread, ["run_id", "level"], "step", {"_open": ("last", at_or_below)}, **kw)
+    return held.filter((F.col("level") < F.col("indent")) & F.col("_open.opens")).select("run_id", "step", "level", "_open._row.*")
 
 
 def block_structure(steps: DataFrame, **kw) -> DataFrame:
-    """Block of every step; rows that open a block also carry its parent, indent and condition step."""
-    return fold_runs(
-        steps.select("run_id", "step", "line", "code", "indent"), ["run_id"], "step", _walk_blocks, _BLOCK_ROWS, **kw)
+    """Block of every step; rows that open a block also carry its parent, indent and condition step.
+
+    A block is known by its headers, the last open step on every lower indent
+    level: a loop header by its line, so that later rounds of the loop stay
+    in one block, any other header by its step. Blocks count from 1 in the
+    order of their first step; 0 is the block without headers.
+    """
+    code = F.trim("code")
+    loop, test = code.rlike("^(for|while) "), code.rlike("^(for|while|if|elif) ")
+    name = F.when(loop, F.concat(F.lit("line "), F.col("line").cast("string"))).otherwise(F.concat(F.lit("step "), F.col("step").cast("string")))
+    rows = steps.select("run_id", "step", "indent", F.struct(name.alias("name"), F.when(test, F.col("step")).alias("test")).alias("_row"))
+    headers = _open_levels(rows, **kw).groupBy("run_id", "step").agg(
+        F.array_sort(F.collect_list(F.struct("level", "name"))).alias("h"), F.max_by("test", "level").alias("test"))
+    path = F.coalesce(F.transform("h", lambda x: x["name"]), F.array().cast("array<string>"))
+    placed = read_twice(rows.select("run_id", "step", "indent").join(headers, ["run_id", "step"], "left").withColumn("path", path))
+    firsts = placed.filter(F.size("path") > 0).groupBy("run_id", "path").agg(
+        F.min_by(F.struct("step", "indent", "test"), "step").alias("f")).select("run_id", "path", "f.*")
+    blocks = read_twice(ordered.dense_index(firsts, ["run_id"], "step", "block_id", **kw).withColumn("block_id", F.col("block_id") + 1))
+    ids = blocks.select("run_id", "path", "block_id")
+    parent = blocks.withColumn("up", F.slice("path", 1, F.size("path") - 1)).join(
+        ids.select("run_id", F.col("path").alias("up"), F.col("block_id").alias("parent")), ["run_id", "up"], "left")
+    opened = parent.select("run_id", "step", F.coalesce("parent", F.lit(0)).cast("long").alias("parent_block_id"), F.col("indent").alias("block_indent"),
+                           F.coalesce("test", F.lit(-1)).cast("long").alias("condition_step"))
+    return placed.join(ids, ["run_id", "path"], "left").join(opened, ["run_id", "step"], "left").select(
+        "run_id", "step", F.coalesce("block_id", F.lit(0)).cast("long").alias("block_id"), "parent_block_id", F.col("block_indent").cast("int"), "condition_step")
 
 
 _CONTROL = r"^(if |elif |for |while |try:|except |else:)"
@@ -197,17 +194,8 @@ def enclosing_control(steps: DataFrame, **kw) -> DataFrame:
     that level. The innermost such level wins.
     """
     rows = steps.filter(F.length(F.rtrim("code")) > 0).select(
-        "run_id", "step", "indent", F.ltrim("code").rlike(_CONTROL).alias("_ctl"))
-    levels = rows.groupBy("run_id").agg(F.collect_set("indent").alias("levels"))
-    spread = rows.join(levels, "run_id").withColumn("level", F.explode("levels")).drop("levels")
-    at_or_below = F.when(
-        F.col("indent") <= F.col("level"),
-        F.struct(F.col("step").alias("s"), (F.col("_ctl") & (F.col("indent") == F.col("level"))).alias("opens")))
-    held = ordered.running(spread, ["run_id", "level"], "step", {"_open": ("last", at_or_below)}, **kw)
-    return (
-        held.filter((F.col("level") < F.col("indent")) & F.col("_open.opens"))
-        .groupBy("run_id", "step").agg(F.max("_open.s").alias("control_step"))
-    )
+        "run_id", "step", "indent", F.struct(F.col("step").alias("s"), F.ltrim("code").rlike(_CONTROL).alias("control")).alias("_row"))
+    return _open_levels(rows, **kw).filter("control").groupBy("run_id", "step").agg(F.max("s").alias("control_step"))
 
 
 def loop_groups(steps: DataFrame, min_steps: int = 3, **kw) -> DataFrame:

@@ -101,7 +101,23 @@ def c6(spark, sf):
     return P.reads_writes(X.steps(spark, sf)).select("code", joined("reads").alias("reads"), joined("writes").alias("writes"))
 
 
-@query("c7_block_structure")
+@query("c7_block_structure", cte("""
+  SELECT p.run_id, p.step, coalesce(b.block_id, 0) AS block_id, CASE WHEN b.first = p.step THEN coalesce(u.block_id, 0) END AS parent_block_id,
+    CASE WHEN b.first = p.step THEN p.indent END AS block_indent, CASE WHEN b.first = p.step THEN coalesce(p.test, -1) END AS condition_step
+  FROM pa p LEFT JOIN bl b ON b.run_id = p.run_id AND b.path = p.path LEFT JOIN bl u ON u.run_id = p.run_id AND u.path = p.up""",
+  pa="""
+    SELECT s.run_id, s.step, s.indent, arg_max_null(c.test, c.indent) FILTER (c.step IS NOT NULL) AS test,
+      coalesce(string_agg(c.name, '/' ORDER BY c.indent), '') AS path,
+      coalesce(string_agg(c.name, '/' ORDER BY c.indent) FILTER (c.indent < s.top), '') AS up
+    FROM (SELECT st.*, (SELECT max(h.indent) FROM en h WHERE h.run_id = st.run_id AND h.step = st.step) AS top FROM st) s
+    LEFT JOIN (SELECT en.run_id, en.step AS at, en.head AS step, en.indent, h.code, CASE WHEN regexp_matches(trim(h.code), '^(for|while) ') THEN 'line ' || h.line ELSE 'step ' || h.step END AS name,
+        CASE WHEN regexp_matches(trim(h.code), '^(for|while|if|elif) ') THEN h.step END AS test FROM en JOIN st h ON h.run_id = en.run_id AND h.step = en.head) c
+      ON c.run_id = s.run_id AND c.at = s.step
+    GROUP BY s.run_id, s.step, s.indent""",
+  bl="SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first) AS block_id FROM (SELECT run_id, path, min(step) AS first FROM pa WHERE path <> '' GROUP BY run_id, path)",
+  en="""
+    SELECT s.run_id, s.step, c.step AS head, c.indent FROM st s JOIN st c ON c.run_id = s.run_id AND c.step < s.step AND c.indent < s.indent
+    WHERE NOT EXISTS (SELECT 1 FROM st j WHERE j.run_id = s.run_id AND j.step > c.step AND j.step < s.step AND j.indent <= c.indent)"""))
 def c7(spark, sf):
     return P.block_structure(X.steps(spark, sf), **X.fit(spark, sf))
 

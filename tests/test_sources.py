@@ -49,10 +49,11 @@ def test_result_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
-def test_statement_scores():
+def test_statement_scores(spark):
     want = {
         "if n <= 1:": 0.8, "if not xs:": 0.8, "if len(xs) == 0:": 0.8, "if x == 0:": 0.8, "if i >= len(xs):": 0.7, "if a < b:": 0.6,
         "for x in xs:": 0.6, "while lo < hi:": 0.6, "return x": 0.65, "raise ValueError()": 0.6, "break": 0.55, "continue": 0.45,
         "x += 1": 0.35, "x = 1": 0.15, "foo(x)": 0.15, "print(x)": 0.0, "# note": 0.0, "": 0.0, "x = yield y": 0.45,
     }
-    assert {k: L.statement_score(k)[0] for k in want} == want
+    lines = spark.createDataFrame([(k,) for k in want], "code string")
+    assert {r.code: r.structural for r in L.structural_scores(lines).collect()} == want
