@@ -12,6 +12,7 @@ what the block has held so far.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -240,6 +241,12 @@ class Words:
         return [np.frombuffer(b"".join([known[w] for w in r]), np.uint32) for r in runs]
 
 
+@functools.cache
+def words_of(path: str) -> Words:
+    """The tokenizer of a file, made once per Python worker, whose tasks follow each other."""
+    return Words(path)
+
+
 def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """Encode ``docs`` in ascending order of their id and write blocks: a table ``shard, seq, before, n_ids, data``.
 
@@ -250,7 +257,7 @@ def write_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seq, before = Words(path), 0, 0
+        words, seq, before = words_of(path), 0, 0
         ids, lengths, parts, size = [], [], [], 0
 
         def block():
