@@ -18,11 +18,6 @@ def _rows(df: DataFrame, unit: str, subject: Column | None = None, detail: Colum
         (F.lit("") if detail is None else detail).alias("detail"))
 
 
-def _top(df: DataFrame, n: int, order: list) -> DataFrame:
-    w = Window.partitionBy(*_KEY).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
-
-
 def _touching(facts: DataFrame, slice_: DataFrame, kind: str) -> DataFrame:
     """Facts of a kind with evidence inside the slice."""
     at = facts.filter((F.col("kind") == kind)).select(
@@ -32,7 +27,7 @@ def _touching(facts: DataFrame, slice_: DataFrame, kind: str) -> DataFrame:
 
 
 def slice_evidence(slice_: DataFrame, followed: DataFrame, steps: DataFrame, facts: DataFrame) -> DataFrame:
-    """Target, five first roots, flows of at least two edges per variable, conditions and loop facts."""
+    """Target, roots, flows of at least two edges per variable, conditions and loop facts."""
     target = slice_.filter("depth = 0")
     data = followed.filter("kind = 'data'")
     often = data.groupBy(*_KEY, "var").count().filter("count >= 2").select(*_KEY, "var")
@@ -44,7 +39,7 @@ def slice_evidence(slice_: DataFrame, followed: DataFrame, steps: DataFrame, fac
     conditions = followed.filter("kind = 'control'").select(*_KEY, F.col("src").alias("step")).distinct()
     out = (
         _rows(target, "target")
-        .unionByName(_rows(_top(slice_.filter("is_root"), 5, ["step"]), "root_cause"))
+        .unionByName(_rows(slice_.filter("is_root"), "root_cause"))
         .unionByName(_rows(chain, "flow", F.col("var")))
         .unionByName(_rows(versions, "version", F.col("var"), F.col("version").cast("string")))
         .unionByName(_rows(conditions, "control"))
@@ -55,15 +50,14 @@ def slice_evidence(slice_: DataFrame, followed: DataFrame, steps: DataFrame, fac
 
 
 def impact_evidence(impact: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
-    """Source, the eight nearest data edges by depth of their end, and five affected outputs."""
+    """Source, data edges and affected outputs of an impact."""
     ends = impact.select(*_KEY, F.col("step").alias("dst"), "depth")
     inside = impact.select(*_KEY, F.col("step").alias("src"))
     data = edges.filter("kind = 'data'").join(ends, ["run_id", "dst"]).join(inside, [*_KEY, "src"], "left_semi")
-    near = _top(data, 8, ["depth", "dst", "src", "var"])
-    flow = near.select(*_KEY, F.explode(F.array("src", "dst")).alias("step")).distinct()
+    flow = data.select(*_KEY, F.explode(F.array("src", "dst")).alias("step")).distinct()
     out = (
         _rows(impact.filter("depth = 0"), "source").unionByName(_rows(flow, "flow"))
-        .unionByName(_rows(_top(impact.filter("is_leaf"), 5, ["step"]), "output"))
+        .unionByName(_rows(impact.filter("is_leaf"), "output"))
     )
     return _resolved(out, steps)
 

@@ -364,7 +364,7 @@ def contradictions(facts: DataFrame) -> DataFrame:
     return says.select(*_SPAN, "subject", F.inline(found))
 
 
-def proofs(sources: DataFrame, max_depth: int = 10, **kw) -> DataFrame:
+def proofs(sources: DataFrame, max_depth: int | None = None, **kw) -> DataFrame:
     """Everything each derived fact rests on, with the least depth."""
     key = F.concat_ws("|", "run_id", F.col("span_id").cast("string"))
     links = sources.select("run_id", "span_id", key.alias("graph"), F.col("id").alias("from_node"), F.col("source_id").alias("to_node")).distinct()

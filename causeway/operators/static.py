@@ -30,11 +30,13 @@ def _targets(t: ast.expr) -> list[str]:
 
 
 def python_names(text: str) -> list[tuple[int, str, str, str]]:
-    """``(line, kind, name, label)`` of a file: definitions, uses, calls and labelled lines."""
+    """``(line, kind, name, label)`` of a file: definitions, uses, calls and labelled lines; one ``error`` row if it can't be parsed."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
+    except SyntaxError as e:
+        return [(e.lineno or 1, "error", "", e.msg)]
+    except (ValueError, RecursionError, MemoryError) as e:
+        return [(1, "error", "", str(e))]
     out = []
     for n in ast.walk(tree):
         line = getattr(n, "lineno", None)
@@ -85,9 +87,12 @@ def python_edges(names: DataFrame, **kw) -> DataFrame:
         calls.select("file", node_id(f, F.col("use_line")).alias("src"), node_id(f, F.col("def_line")).alias("dst"), "edge_type")).distinct()
 
 
-def python_nodes(names: DataFrame, lines: DataFrame) -> DataFrame:
-    """Labelled lines with their text; the first label of a line by name wins."""
-    labels = names.filter("kind = 'label'").groupBy("file", "line").agg(F.min("label").alias("semantic_label"))
+def python_nodes(names: DataFrame, lines: DataFrame, **kw) -> DataFrame:
+    """Labelled lines, and lines that call a function of the file, with their text; the first label of a line by name wins."""
+    called = _as_of(names, "function", "call", "CALL_RELATION", **kw).select(
+        "file", F.col("use_line").alias("line"), F.lit(1).alias("rank"), F.concat(F.lit("calls "), "name").alias("label"))
+    labels = names.filter("kind = 'label'").select("file", "line", F.lit(0).alias("rank"), "label").unionByName(called).groupBy("file", "line").agg(
+        F.min(F.struct("rank", "label"))["label"].alias("semantic_label"))
     text = lines.select("file", "line", F.trim("text").alias("code_content"))
     return labels.join(text, ["file", "line"]).withColumn("node_id", node_id(F.col("file"), F.col("line"))).withColumn(
         "node_type", F.lit("CODE"))

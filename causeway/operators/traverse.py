@@ -237,7 +237,7 @@ def timeline_slice(steps, data, blocks, bindings, seeds, **kw) -> DataFrame:
     return _flag(found, held, "is_root")
 
 
-def version_slice(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 20, **kw) -> DataFrame:
+def version_slice(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, **kw) -> DataFrame:
     """Chain of variable versions behind ``(run_id, step, var)``.
 
     The start is the latest version of the variable at or before the step, or
@@ -275,7 +275,7 @@ def _starts(starts: DataFrame) -> DataFrame:
     return starts.select("graph_id", F.col("node_id").alias("seed"), F.col("node_id").alias("node"))
 
 
-def ancestors(cedges: DataFrame, starts: DataFrame, max_depth: int = 50, **kw) -> DataFrame:
+def ancestors(cedges: DataFrame, starts: DataFrame, max_depth: int | None = None, **kw) -> DataFrame:
     """Layers of ancestors of every start node."""
     return reach(_reversed(cedges), _starts(starts), "graph_id", max_depth=max_depth, **kw).withColumnRenamed("depth", "layer")
 
@@ -291,7 +291,7 @@ def primary_parents(cedges: DataFrame) -> DataFrame:
     return cedges.groupBy("graph_id", "dst").agg(best.alias("b")).select("graph_id", "dst", "b.src", "b.edge_type")
 
 
-def root_cause_chain(cedges: DataFrame, errors: DataFrame, max_depth: int = 20, **kw) -> DataFrame:
+def root_cause_chain(cedges: DataFrame, errors: DataFrame, max_depth: int | None = None, **kw) -> DataFrame:
     """Everything behind each error node, and the primary chain through it.
 
     ``on_chain`` marks the nodes met by always taking the primary parent.
@@ -345,7 +345,7 @@ def neighbours(cnodes: DataFrame, cedges: DataFrame) -> DataFrame:
     return on.unionByName(by).join(name, ["graph_id", "other"])
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 50, **kw) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None, **kw) -> DataFrame:
     """A shortest path per ``(run_id, source, target)`` pair, one row per node.
 
     The search tree keeps the smallest parent of each node; the path is the way

@@ -250,9 +250,8 @@ def g15(spark, sf):
   SELECT run_id, unit, count(*) AS items FROM (
     SELECT DISTINCT run_id, node, 'control' AS unit FROM (SELECT s.run_id, e.src AS node FROM slice s JOIN ce e ON e.run_id = s.run_id AND e.dst = s.node)
     UNION ALL SELECT run_id, node, 'target' FROM slice WHERE depth = 0
-    UNION ALL SELECT run_id, node, 'root_cause' FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY node) AS rn FROM (
-       SELECT DISTINCT run_id, node FROM slice WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.run_id = slice.run_id AND ed.dst = slice.node
-                                                                 AND ed.kind IN ('data', 'control')))) WHERE rn <= 5)
+    UNION ALL SELECT DISTINCT run_id, node, 'root_cause' FROM slice WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.run_id = slice.run_id AND ed.dst = slice.node
+                                                                 AND ed.kind IN ('data', 'control')))
   GROUP BY run_id, unit""", recursive=True, seed=SEED, slice=SLICE))
 def h11(spark, sf):
     e, s = X.edges(spark, sf), X.steps(spark, sf)

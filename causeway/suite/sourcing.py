@@ -9,6 +9,7 @@ from causeway.operators import static as G
 from causeway.session import ensure_checkpoint_dir
 from causeway.sources import corpus as R
 from causeway.sources import fixtures as X
+from causeway.sources.fixtures import _var, indexed_events
 from causeway.sources import trace as S
 from causeway.suite import query
 from causeway.suite.duck import cte
@@ -89,9 +90,39 @@ def d10b(spark, sf):
     return G.python_nodes(G.scan_python(files), R.to_lines(files)).select("file", "line", "semantic_label")
 
 
+def calling_files(spark, sf):
+    """The event trace as source files with functions, calls to them and assignments; every seventh file can't be parsed."""
+    s = X.stored(spark, sf, "events", lambda: indexed_events(spark, sf))
+    k, w = F.col("k"), F.col("w")
+    t, r = F.floor(k / 10), _var(k % 5)
+    line = F.when(t == 0, F.format_string("def %s(): pass", w)).when(t.isin(3, 5), F.format_string("%s()", r)).otherwise(F.format_string("%s = %s", w, r))
+    rows = s.groupBy(F.col("run_id").alias("file")).agg(F.array_sort(F.collect_list(F.struct("step", line.alias("code")))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["code"]), "\n")
+    return rows.select("file", F.when(F.col("file").cast("int") % 7 == 0, F.concat(text, F.lit("\nreturn ("))).otherwise(text).alias("text"))
+
+
+CW = "SELECT run_id AS file, step + 1 AS line, t, w, r FROM ev WHERE user_id % 7 <> 0"
+CD = """SELECT c.file, c.line, c.r AS name, d.line AS def FROM (SELECT * FROM cw WHERE t IN (3, 5)) c
+  ASOF JOIN (SELECT file, line, w FROM cw WHERE t = 0) d ON d.file = c.file AND d.w = c.r AND c.line >= d.line"""
+
+
+@query("d10_call_graph", cte("""
+  SELECT file, line, CASE WHEN t = 0 THEN 'function ' || w ELSE 'assignment' END AS label, NULL AS callee FROM cw WHERE t NOT IN (3, 5)
+  UNION ALL SELECT file, line, 'calls ' || name, NULL FROM cd UNION ALL SELECT file, line, 'edge', def FROM cd
+  UNION ALL SELECT DISTINCT run_id, NULL, 'error', NULL FROM ev WHERE user_id % 7 = 0""", cw=CW, cd=CD))
+def d10c(spark, sf):
+    files = calling_files(spark, sf)
+    names = G.scan_python(files)
+    nodes = G.python_nodes(names, R.to_lines(files)).select("file", F.col("line").cast("long").alias("line"), F.col("semantic_label").alias("label"), F.lit(None).cast("long").alias("callee"))
+    edges = G.python_edges(names).filter("edge_type = 'CALL_RELATION'")
+    at = lambda c: F.substring_index(c, ":", -1).cast("long")
+    calls = edges.select("file", at("src").alias("line"), F.lit("edge").alias("label"), at("dst").alias("callee"))
+    errors = names.filter("kind = 'error'").select("file", F.lit(None).cast("long").alias("line"), F.lit("error").alias("label"), F.lit(None).cast("long").alias("callee"))
+    return nodes.unionByName(calls).unionByName(errors)
+
+
 def script_lines(spark, sf):
     """The event trace as lines of a script, a file per run."""
-    from causeway.sources.fixtures import _var, indexed_events
     ev = X.stored(spark, sf, "events", lambda: indexed_events(spark, sf))
     k, w = F.col("k"), F.col("w")
     t, r, r2 = F.floor(k / 10), _var(k % 5), _var((k % 7) % 5)
