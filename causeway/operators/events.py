@@ -233,7 +233,7 @@ def fits(node: Node) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def candidates(events: DataFrame, patterns=BUILTIN, window: int = 30, chunk: int | None = None) -> DataFrame:
+def candidates(events: DataFrame, patterns=BUILTIN, window: int = 30, chunk: int | None = ordered.CHUNK) -> DataFrame:
     """Partial and whole matches of every pattern from every event.
 
     Each event becomes a word of bits, one per kind of node it fits; the next
@@ -302,7 +302,7 @@ _MATCH = "run_id string, pattern string, start_step bigint, end_step bigint, con
 _COLS = [c.split()[0] for c in _MATCH.split(", ")]
 
 
-def best_matches(found: DataFrame, chunk: int | None = None) -> DataFrame:
+def best_matches(found: DataFrame, chunk: int | None = ordered.CHUNK) -> DataFrame:
     """Non-overlapping matches of each pattern: most confident first, then earliest.
 
     Runs of one chunk are settled in one task. In longer runs each level of
@@ -403,7 +403,7 @@ def rescore(matches: DataFrame, keys: DataFrame, events: DataFrame) -> DataFrame
         0.6 * F.col("confidence") + 0.4 * F.col("_s"), F.col("confidence")), 6)).drop("_s")
 
 
-def drop_dominated(matches: DataFrame, chunk: int | None = None) -> DataFrame:
+def drop_dominated(matches: DataFrame, chunk: int | None = ordered.CHUNK) -> DataFrame:
     """Without matches that overlap an earlier kept one of at least their confidence."""
     schema = "run_id string, pattern string, start_step bigint, end_step bigint, confidence double"
     cols = [c.split()[0] for c in schema.split(", ")]
@@ -423,7 +423,7 @@ def drop_dominated(matches: DataFrame, chunk: int | None = None) -> DataFrame:
     return fold_runs(matches.select(*cols), ["run_id"], "start_step", along, schema, chunk, keep_state=True)
 
 
-def detect(events: DataFrame, patterns=BUILTIN, rules=COMPOSED, chunk: int | None = None) -> DataFrame:
+def detect(events: DataFrame, patterns=BUILTIN, rules=COMPOSED, chunk: int | None = ordered.CHUNK) -> DataFrame:
     """All patterns of all runs: matched, composed, scored and freed of dominated ones."""
     atomic = ordered.read_twice(best_matches(candidates(events, patterns, chunk=chunk), chunk))
     composed = compose(atomic, rules)

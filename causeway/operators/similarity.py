@@ -98,7 +98,7 @@ def concept_scores(taxonomy: DataFrame) -> DataFrame:
         F.coalesce("up", F.array().cast("array<struct<ancestor:string,depth:int>>")).alias("up"), F.lit(1).alias("one"))
     a = c.select(F.struct("*").alias("a"), "one")
     b = c.select(F.struct("*").alias("b"), "one")
-    pair = a.join(F.broadcast(b), "one").filter("a.concept_id <> b.concept_id")
+    pair = a.join(b, "one").filter("a.concept_id <> b.concept_id")
     shared = F.filter("a.up", lambda x: F.exists("b.up", lambda y: y["ancestor"] == x["ancestor"]))
     near = F.array_min(F.transform(shared, lambda x: x["depth"] + 1))
     same_family = F.col("a.family") == F.col("b.family")
@@ -118,7 +118,7 @@ def bridged(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     ``pairs`` has ``pair_id, only_a, only_b``; partners need a closeness above 0.3.
     """
     left = pairs.select("pair_id", F.explode("only_a").alias("x"), "only_b")
-    near = left.select("pair_id", "x", F.explode("only_b").alias("y")).join(F.broadcast(scores), ["x", "y"])
+    near = left.select("pair_id", "x", F.explode("only_b").alias("y")).join(scores, ["x", "y"])
     best = near.groupBy("pair_id", "x").agg(F.max("closeness").alias("best")).filter("best > 0.3")
     return best.groupBy("pair_id").agg(F.avg("best").alias("bridge"))
 

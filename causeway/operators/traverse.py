@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.ordered import read_twice
@@ -424,10 +424,12 @@ def edges_of(edges: DataFrame, var: str | None = None, kind: str | None = None)
 
 
 def graph_profile(steps, edges, samples: int = 5, **kw) -> DataFrame:
-    """Degrees, and mean slice and impact sizes of the first steps of each run."""
+    """Degrees, and mean slice and impact sizes of ``samples`` steps of each run, chosen by a hash."""
     degree = edges.select("run_id", F.explode(F.array("src", "dst")).alias("step")).groupBy("run_id", "step").count()
     d = degree.groupBy("run_id").agg(F.avg("count").alias("avg_degree"), F.max("count").alias("max_degree"))
-    seeds = steps.filter(F.col("step") < samples).select("run_id", "step")
+    mark = F.md5(F.concat_ws(":", "run_id", F.col("step").cast("string")))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(mark))
+    seeds = steps.select("run_id", "step").withColumn("_p", place).filter(F.col("_p") <= samples).drop("_p")
 
     def mean_size(found, name):
         per_seed = found.groupBy("run_id", "seed").count()

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions.ordered import CHUNK
 from causeway.operators import evidence as E
 from causeway.operators import graph as G
 from causeway.operators import history as H
@@ -27,7 +28,7 @@ class Runs:
     edges: DataFrame
     facts: DataFrame
     diff: DataFrame
-    chunk: int | None = None
+    chunk: int | None = CHUNK
 
     def last_match(self, var: str | None = None, step: int | None = None, pattern: str | None = None) -> DataFrame:
         """The step a question is about: the last one selected in each run."""

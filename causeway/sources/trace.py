@@ -32,22 +32,20 @@ def read_trace(spark: SparkSession, path: str, fmt: str = "json") -> tuple[DataF
     return to_steps(records), to_snapshots(records)
 
 
+FILE_ROWS = 5_000_000
+
+
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", buckets: int = 64, key: str = "run_id") -> None:
     """Write a result partitioned by a bucket of its key.
 
-    Buckets bound the number of folders however many runs there are; rows are
-    spread over a bucket by a second number, so one large run does not end up
-    in one file.
+    Buckets bound the number of folders however many runs there are. Spark
+    splits buckets that are large, and a file holds a bounded number of rows,
+    so neither the number of tasks nor the size of files is fixed here.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16)) if not _has_map(df) else F.floor(F.rand(7) * 16)
-    df.withColumn("bucket", bucket).withColumn("_spread", spread).repartition("bucket", "_spread").drop("_spread").write.mode(
+    df.withColumn("bucket", bucket).hint("rebalance", "bucket").write.option("maxRecordsPerFile", FILE_ROWS).mode(
         "overwrite").partitionBy("bucket").format(fmt).save(path)
 
 
-def _has_map(df: DataFrame) -> bool:
-    return any("map<" in f.dataType.simpleString() for f in df.schema)
-
-
 def read_result(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(schema + ", bucket int").format(fmt).load(path)

@@ -190,9 +190,9 @@ def g10b(spark, sf):
   SELECT run_id, step, depth FROM (
     SELECT run_id, node AS step, min(depth) AS depth FROM slice GROUP BY ALL
     UNION ALL SELECT run_id, step, 99 FROM st WHERE run_id NOT IN (SELECT run_id FROM seed)) WHERE depth > 1""",
-    recursive=True, seed=SEED + " HAVING max(step) > 70", slice=SLICE))
+    recursive=True, seed=SEED, slice=SLICE))
 def g11(spark, sf):
-    late = T.backward_slice(X.edges(spark, sf), purchases(spark, sf).filter("step > 70")).select("run_id", "step", "depth")
+    late = T.backward_slice(X.edges(spark, sf), purchases(spark, sf)).select("run_id", "step", "depth")
     every = X.steps(spark, sf).select("run_id", "step", F.lit(99).alias("depth"))
     return ask.then(every, late, where=("depth", ">", 1), order_by="depth", desc=True)
 

@@ -106,18 +106,17 @@ def l6(spark, sf):
 @query("l7_stale_mutations", cte("""
   SELECT run_id, var AS subject, count(*) AS count FROM df WHERE change IN ('new', 'changed') AND NOT EXISTS (
     SELECT 1 FROM rdx WHERE rdx.run_id = df.run_id AND rdx.var = df.var) GROUP BY run_id, var HAVING count(*) >= 2""",
-    df=DF, rdx="SELECT run_id, var FROM vr WHERE step < 8", vr=VG["vr"]))
+    df=DF, rdx="SELECT run_id, var FROM vr WHERE var <> 'signup'", vr=VG["vr"]))
 def l7(spark, sf):
-    # only reads at the very start of a run count, so that some variables stay unread
-    early = X.steps(spark, sf).filter("step < 8")
-    return N.stale_mutations(early, X.snapshots(spark, sf), X.diff(spark, sf)).select("run_id", "subject", "count")
+    unread = X.steps(spark, sf).withColumn("code", F.replace("code", F.lit("signup"), F.lit("other")))  # a trace in which one variable is never read
+    return N.stale_mutations(unread, X.snapshots(spark, sf), X.diff(spark, sf)).select("run_id", "subject", "count")
 
 
 @query("l8_type_instability", cte("""
-  SELECT run_id, var || ':' || ty AS subject FROM (SELECT run_id, var, string_agg(DISTINCT type, ',' ORDER BY type) AS ty, count(DISTINCT type) AS n FROM sn WHERE step < 25 GROUP BY run_id, var)
+  SELECT run_id, var || ':' || ty AS subject FROM (SELECT run_id, var, string_agg(DISTINCT type, ',' ORDER BY type) AS ty, count(DISTINCT type) AS n FROM sn GROUP BY run_id, var)
   WHERE n = 2 AND ty NOT IN ('float,int', 'NoneType,int', 'NoneType,str')"""))
 def l8(spark, sf):
-    return N.type_instability(X.snapshots(spark, sf).filter("step < 25")).select("run_id", "subject")
+    return N.type_instability(X.snapshots(spark, sf)).select("run_id", "subject")
 
 
 @query("l8_orders_types", cte("SELECT run_id, var || ':float,str' AS subject FROM (SELECT run_id, 'all' AS var FROM oh GROUP BY run_id)"))

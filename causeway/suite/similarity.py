@@ -123,11 +123,11 @@ def j5(spark, sf):
 
 
 @query("j5_weekly_matrix", """
-  WITH s AS (SELECT user_id, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, list_sort(list(DISTINCT event_type)) AS types FROM events WHERE value > 100 GROUP BY ALL)
+  WITH s AS (SELECT user_id, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, list_sort(list(DISTINCT event_type)) AS types FROM events GROUP BY ALL)
   SELECT a.user_id, a.week, round(len(list_intersect(a.types, b.types)) * 1.0 / len(list_distinct(list_concat(a.types, b.types))), 3) AS score
   FROM s a JOIN s b ON a.user_id = b.user_id AND b.week = a.week + 1""")
 def j5b(spark, sf):
-    e = X.table(spark, sf, "events").filter("value > 100")
+    e = X.table(spark, sf, "events")
     week = F.floor(F.unix_timestamp("ts") / 604800)
     s = e.groupBy("user_id", week.alias("week")).agg(F.collect_set("event_type").alias("types"))
     nxt = s.select("user_id", (F.col("week") - 1).alias("week"), F.col("types").alias("next"))

@@ -231,7 +231,7 @@ def f13c(spark, sf):
     return T.edges_of(X.edges(spark, sf), "purchase", "data").select("run_id", "src", "dst")
 
 
-S5 = "SELECT run_id, step FROM st WHERE step < 5"
+S5 = "SELECT run_id, step FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY md5(run_id || ':' || step)) AS p FROM st) WHERE p <= 5"
 B5 = """SELECT run_id, step AS seed, step AS node FROM s5
   UNION SELECT s.run_id, s.seed, e.src FROM b5 s JOIN ed e ON e.run_id = s.run_id AND e.dst = s.node AND e.kind IN ('data', 'control')"""
 I5 = """SELECT run_id, step AS seed, step AS node FROM s5
