@@ -30,6 +30,8 @@ BATCH = 2048
 RATE = 0.4
 ROUNDS = 1
 SEED = 7
+#: Parameters that are added up together.
+PART = 512
 SMOOTH = 0.1
 #: Bytes of text whose words share one table of counts.
 CHUNK_BYTES = 8 << 20
@@ -221,6 +223,13 @@ def _cells(row: dict, *names: str) -> list[np.ndarray]:
     return [np.frombuffer(row[n], kinds[n]) for n in names]
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of one part of all tasks' parameters, in an order of their own."""
+    rows = sorted(x.as_py() for x in table.column("x"))
+    total = np.sum([np.frombuffer(r) for r in rows], axis=0)
+    return pa.Table.from_arrays([table.column("part").slice(0, 1).combine_chunks(), pa.array([total.tobytes()], pa.binary())], ["part", "x"])
+
+
 def _fit(chunks: DataFrame, vocabulary: Vocabulary) -> Model:
     """Every task trains on all training texts of its chunks from the same start; the mean, weighted by tokens, is the model."""
     model = Model(vocabulary.unigram)
@@ -243,15 +252,15 @@ def _fit(chunks: DataFrame, vocabulary: Vocabulary) -> Model:
                     mine.train(a[pick], b[pick], w[pick], squares, rng)
                     weight += len(pick)
             if weight:
-                x = mine.vector() * np.float64(weight)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x) + 1), pa.int32()), pa.array(np.append(x, weight), pa.float64())], ["i", "x"])
+                x = np.append(mine.vector() * np.float64(weight), weight)
+                parts = [x[at:at + PART] for at in range(0, len(x), PART)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "x"])
 
-        got = chunks.select("chunk", "held", "lengths", "tokens", "hashes", "tails").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        trained = chunks.select("chunk", "held", "lengths", "tokens", "hashes", "tails").mapInArrow(run, "part int, x binary")
+        got = trained.groupBy("part").applyInArrow(_added, "part int, x binary").collect()
         if not got:
             break
-        total = np.zeros(len(got))
-        for r in got:
-            total[r.i] = r.x
+        total = np.concatenate([np.frombuffer(r.x) for r in sorted(got, key=lambda r: r.part)])
         model.load((total[:-1] / total[-1]).astype(np.float32))
         sent.unpersist()
     return model
