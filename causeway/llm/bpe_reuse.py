@@ -9,6 +9,7 @@ place after it where the pre-tokeniser must split in any surrounding text.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from collections.abc import Iterator
@@ -175,6 +176,12 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").encode()
 
 
+@functools.cache
+def codec(path: str) -> Codec:
+    """The codec of a file, made once per Python worker, whose tasks follow each other."""
+    return Codec(path)
+
+
 def _least_chunk(text: bytes) -> int:
     """Hash of the chunk with the least hash: equal for copies, mostly equal for near copies."""
     at, start, least = cuts(text).tolist() if text else [], 0, (1 << 64) - 1
@@ -206,7 +213,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        coder = codec(path)
         for batch in batches:
             texts, at = as_bytes(batch.column(1)), 0
             while at < len(texts):
@@ -214,10 +221,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK_BYTES):
                     size += len(texts[end])
                     end += 1
-                ids = codec.encode(texts[at:end])
+                ids = coder.encode(texts[at:end])
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                decoded = pa.array([codec.decode(i) for i in ids], pa.binary()).cast(pa.string())
+                decoded = pa.array([coder.decode(i) for i in ids], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), column, decoded], ["doc_id", "ids", "decoded"])
                 at = end
 
