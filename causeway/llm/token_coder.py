@@ -115,6 +115,8 @@ class _Coder:
                 symbol = ids[rest]
             count = self.counts[symbol]
             self._narrow(rest, self.ends[symbol] - count, count, rng)
+        if ids is None and out.max() >= self.symbols:
+            raise ValueError("an id beyond those of the block")
         new = out + np.uint32(1)
         self.last1[one], self.sure1[one] = new, np.where(p1 == new, np.minimum(s1 + 1, 3), 0)
         self.last2[two], self.sure2[two] = new, np.where(p2 == new, np.minimum(s2 + 1, 3), 0)
