@@ -42,7 +42,7 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     ("proprietary", "all rights reserved", "all rights reserved"),
 )
-#: Highest-IDF words of each template that a text is looked up by.
+#: Highest-IDF words of each key phrase that a text is looked up by; a text without them can't hold the phrase.
 RARE = 3
 #: Least share of a template's IDF that must stand at the places the template gives.
 SHARE = 0.5
@@ -84,14 +84,14 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
 
 
 def build_index(n: int, df: dict[bytes, int], rare: int = RARE) -> Index:
-    """Positional postings of the rarest words of every template; words count as rarer the fewer texts hold them."""
+    """Positional postings of the rarest words of every key phrase; words count as rarer the fewer texts hold them."""
     templates, postings = [], defaultdict(list)
     for t, (label, text, key) in enumerate(TEMPLATES):
         words, key_words = text.encode().split(), key.encode().split()
         place = next(i for i in range(len(words)) if words[i:i + len(key_words)] == key_words)
         idf = [math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-9 for w in words]
         templates.append((label, words, key_words, place, idf))
-        for w in sorted(set(words), key=lambda w: (df.get(w, 0), w))[:rare]:
+        for w in sorted(set(key_words), key=lambda w: (df.get(w, 0), w))[:rare]:
             postings[w] += [(t, i) for i, x in enumerate(words) if x == w]
     phrases = tuple((p.encode().split(), label) for p, label in PHRASES)
     return Index(tuple(templates), dict(postings), frozenset(postings) | {p[0] for p, _ in phrases}, phrases)
