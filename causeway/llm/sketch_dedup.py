@@ -169,7 +169,7 @@ def _prefix_lists(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     ranked = full.join(full.groupBy("v").agg(F.count(F.lit(1)).alias("df")), "v")
     place = F.row_number().over(W.Window.partitionBy("rep", "n").orderBy("df", "v"))
     first = ranked.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    out = cut(first.filter("df > 1").select("v", "rep", "n", "df"))
+    out = cut(first.filter("df > 1").select("v", "rep", "n", "df", "place"))
     release(full)
     return out
 
@@ -185,12 +185,18 @@ def _open_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
     return named.join(top, "v").withColumn("major", F.col("c") == F.col("top")).drop("top")
 
 
-def _cross_pairs(hubs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list across components whose sizes allow the similarity."""
-    h = hubs.select("v", F.col("rep").alias("r"), F.col("c").alias("rc"), F.col("n").alias("rn"))
-    return (members.join(h, "v").filter("c <> rc").filter("major or rep > r")
-            .filter(F.least("n", "rn") * 100 >= F.greatest("n", "rn") * percent)
-            .select(F.greatest("rep", "r").alias("a"), F.least("rep", "r").alias("b")).distinct())
+def _cross_pairs(hubs: DataFrame, members: DataFrame, percent: int, placed: bool = False) -> DataFrame:
+    """Pairs of a list across components whose sizes allow the similarity.
+
+    Where lists hold an element's place in the order of a full set, a pair
+    must also be able to share enough from its first common element on.
+    """
+    places = [F.col("place").alias("rplace")] if placed else []
+    h = hubs.select("v", F.col("rep").alias("r"), F.col("c").alias("rc"), F.col("n").alias("rn"), *places)
+    pairs = members.join(h, "v").filter("c <> rc").filter("major or rep > r").filter(F.least("n", "rn") * 100 >= F.greatest("n", "rn") * percent)
+    if placed:
+        pairs = pairs.filter((F.least(F.col("n") - F.col("place"), F.col("rn") - F.col("rplace")) + 1) * (100 + percent) >= (F.col("n") + F.col("rn")) * percent)
+    return pairs.select(F.greatest("rep", "r").alias("a"), F.least("rep", "r").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, size: int = SHINGLE, hot: int = HOT, id_col: str = "doc_id",
@@ -252,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, size: int =
             comp = components(links) if r else comp
             now = many.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
             turn = now.filter(~F.col("major") & (F.col("turn") % rounds == r))
-            near = cut(_estimated(_cross_pairs(turn, now.withColumn("major", F.lit(True)), percent), classes, percent, k))
+            near = cut(_estimated(_cross_pairs(turn, now.withColumn("major", F.lit(True)), percent, True), classes, percent, k))
             if not near.isEmpty():
                 links = links.union(_links(near, sets, percent))
             release(near)
