@@ -283,7 +283,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = cut(base.mapInArrow(_tokenised(folds, held), _TOKENS))
-    uses = cut(chunks.select("chunk", "hashes", "tails", "counts").mapInArrow(_uses, "chunk long, h long, tail short, n int"))
+    uses = chunks.select("chunk", "hashes", "tails", "counts").mapInArrow(_uses, "chunk long, h long, tail short, n int")
     counts = cut(uses.groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("c")))
     vocabulary = _vocabulary(counts)
     model = _fit(chunks, vocabulary)
