@@ -81,6 +81,32 @@ def test_vector_near_duplicates(vectors):
     assert vector_dedup.near_duplicates(table.limit(0)).collect() == []
 
 
+def test_vector_star(spark):
+    """Copies that link through their original only, far more of them than all windows reach."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    aside = rng.standard_normal((3000, 64))
+    aside = unit(aside - (aside @ centre)[:, None] * centre)
+    x = np.concatenate([centre[None], 0.981 * centre + math.sqrt(1 - 0.981 ** 2) * aside, rng.standard_normal((1500, 64))])
+    table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(3)
+    hit = unit(x) @ unit(x).T >= 0.98
+    np.fill_diagonal(hit, False)
+    assert hit[0, 1:3001].all() and not hit[3001:].any()
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicates(table).collect()}
+    assert got == {i: (int(n), 0 if i <= 3000 else i, i == 0 or i > 3000) for i, n in enumerate(hit.sum(axis=1))}
+
+
+@pytest.mark.parametrize("block, meet", [(7, 1), (16, 2)])
+def test_vector_blocks(vectors, monkeypatch, block, meet):
+    """Many groups of blocks give the same rows as one."""
+    table = vectors[1]
+    want = collections.Counter(map(tuple, vector_dedup.near_duplicates(table).collect()))
+    monkeypatch.setattr(vector_dedup, "MEET", meet)
+    monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    assert collections.Counter(map(tuple, vector_dedup.near_duplicates(table).collect())) == want
+
+
 def test_pivot_search(vectors):
     rows, table = vectors
 
