@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import ordered
 from causeway.functions.values import number, repr_size, round3
+from causeway.operators.facts import _evidence
 
 # Archetype | category | canonical id | invariants | behaviours
 ARCHETYPES = """
@@ -96,14 +97,8 @@ def _value_signals(snapshots: DataFrame, **kw) -> DataFrame:
     ).filter("rows >= 2")
 
 
-def _first_steps(rows: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("step")
-    return rows.select(*keys, "step").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).groupBy(
-        *keys).agg(F.array_sort(F.collect_list("step")).alias("evidence"))
-
-
 def variable_archetypes(steps: DataFrame, snapshots: DataFrame, **kw) -> DataFrame:
-    """Roles of variables with a summed confidence of at least 0.4."""
+    """Roles of variables with a summed confidence of at least 0.4; evidence in parts, as that of facts."""
     s = _value_signals(snapshots, **kw).join(_code_signals(steps), ["run_id", "var"], "left")
     flags = ["loop_header", "as_index", "self_update", "index_write", "index_read", "in_condition", "membership", "adds"]
     s = s.na.fill(False, flags).na.fill(0, ["self_unpacks", "paired"])
@@ -121,9 +116,9 @@ def variable_archetypes(steps: DataFrame, snapshots: DataFrame, **kw) -> DataFra
     }
     rated = F.array(*[F.struct(F.lit(k).alias("archetype"), F.least(v, F.lit(1.0)).alias("confidence")) for k, v in scores.items()])
     out = s.select("run_id", "var", F.inline(rated)).filter("confidence >= 0.3999999")
-    return out.join(_first_steps(snapshots, ["run_id", "var"]), ["run_id", "var"]).select(
+    return out.join(_evidence(snapshots, ["run_id", "var"], "step"), ["run_id", "var"]).select(
         "run_id", "archetype", F.lit("variable").alias("category"), F.col("var").alias("subject"),
-        round3(F.col("confidence")).alias("confidence"), "evidence")
+        round3(F.col("confidence")).alias("confidence"), "evidence", F.col("part").cast("long").alias("part"))
 
 
 def control_archetypes(steps: DataFrame, facts: DataFrame) -> DataFrame:
@@ -133,7 +128,8 @@ def control_archetypes(steps: DataFrame, facts: DataFrame) -> DataFrame:
 
     def rows(df, name, confidence):
         return df.select("run_id", F.lit(name).alias("archetype"), F.lit("control").alias("category"),
-                         subject.alias("subject"), F.lit(confidence).alias("confidence"), F.array("step").alias("evidence"))
+                         subject.alias("subject"), F.lit(confidence).alias("confidence"), F.array("step").alias("evidence"),
+                         F.lit(0).cast("long").alias("part"))
 
     guard = steps.filter(code.contains("not in") & (code.contains("seen") | code.contains("visited") | code.contains("memo")))
     per_run = steps.groupBy("run_id").agg(
@@ -150,7 +146,7 @@ def control_archetypes(steps: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def structure_archetypes(steps: DataFrame) -> DataFrame:
-    """Stack, queue, heap and hash use, over all code lines of a run."""
+    """Stack, queue, heap and hash use, over all code lines of a run; evidence in parts."""
     code = F.col("code")
     look = code.rlike(r"\w+\[.+\]")
     marks = {
@@ -169,10 +165,11 @@ def structure_archetypes(steps: DataFrame) -> DataFrame:
     shows = {"stack_dfs": "append OR pop", "queue_bfs": "append OR pop0", "heap_priority": "heap", "hash_lookup": "look"}
     shown = None
     for name, cond in shows.items():
-        part = _first_steps(rows.filter(cond), ["run_id"]).withColumn("archetype", F.lit(name))
+        part = _evidence(rows.filter(cond), ["run_id"], "step").withColumn("archetype", F.lit(name))
         shown = part if shown is None else shown.unionByName(part)
     return per_run.select("run_id", F.inline(found)).join(shown, ["run_id", "archetype"], "left").select(
-        "run_id", "archetype", F.lit("structure").alias("category"), F.lit("execution").alias("subject"), "confidence", "evidence")
+        "run_id", "archetype", F.lit("structure").alias("category"), F.lit("execution").alias("subject"), "confidence", "evidence",
+        F.coalesce("part", F.lit(0)).cast("long").alias("part"))
 
 
 def algorithm_archetypes(steps: DataFrame, facts: DataFrame, variables: DataFrame) -> DataFrame:
@@ -216,7 +213,7 @@ def algorithm_archetypes(steps: DataFrame, facts: DataFrame, variables: DataFram
         rated("sliding_window", window, 0.4, 0.85)))
     return s.select("run_id", F.inline(found)).select(
         "run_id", "archetype", F.lit("algorithm").alias("category"), F.lit("execution").alias("subject"),
-        round3(F.col("confidence")).alias("confidence"), F.array().cast("array<bigint>").alias("evidence"))
+        round3(F.col("confidence")).alias("confidence"), F.array().cast("array<bigint>").alias("evidence"), F.lit(0).cast("long").alias("part"))
 
 
 def identify(steps, snapshots, facts, **kw) -> DataFrame:
@@ -230,9 +227,11 @@ def identify(steps, snapshots, facts, **kw) -> DataFrame:
 
 
 def deduplicate(identities: DataFrame) -> DataFrame:
-    best = F.max_by(F.struct("category", "confidence", "evidence"), "confidence")
-    return identities.groupBy("run_id", "archetype", "subject").agg(best.alias("b")).select(
-        "run_id", "archetype", "subject", "b.*")
+    """The best rows per archetype and subject, with all parts of their evidence."""
+    key = ["run_id", "archetype", "subject"]
+    best = F.max("confidence").over(Window.partitionBy(*key))
+    return identities.withColumn("_best", best).filter("confidence = _best").groupBy(*key, "part").agg(
+        F.first(F.struct("category", "confidence", "evidence")).alias("b")).select(*key, "b.*", "part")
 
 
 def relationships(identities: DataFrame) -> DataFrame:
@@ -240,7 +239,7 @@ def relationships(identities: DataFrame) -> DataFrame:
     spark = identities.sparkSession
     table = F.broadcast(spark.createDataFrame(
         [tuple(r.split("|")) for r in RELATIONS.strip().splitlines()], "src string, dst string, relation string"))
-    n = identities.groupBy("run_id", "archetype").agg(F.count("*").alias("n"))
+    n = identities.filter("part = 0").groupBy("run_id", "archetype").agg(F.count("*").alias("n"))
     a = n.select("run_id", F.col("archetype").alias("src"), F.col("n").alias("na"))
     b = n.select("run_id", F.col("archetype").alias("dst"), F.col("n").alias("nb"))
     return a.join(table, "src").join(b, ["run_id", "dst"]).select(
@@ -248,9 +247,9 @@ def relationships(identities: DataFrame) -> DataFrame:
 
 
 def normalize(identities: DataFrame, steps: DataFrame | None = None) -> DataFrame:
-    """One canonical identity per kind and run: the first by confidence, archetype, subject."""
+    """One canonical identity per kind and run, in parts of its evidence: the first by confidence, archetype, subject."""
     w = Window.partitionBy("run_id", "archetype").orderBy(F.col("confidence").desc(), "subject")
-    first = identities.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "category")
+    first = identities.withColumn("_r", F.dense_rank().over(w)).filter("_r = 1").drop("_r", "category")
     out = first.join(F.broadcast(archetype_table(identities.sparkSession)), "archetype")
     return out if steps is None else _refined(out, steps)
 
@@ -318,7 +317,7 @@ def fingerprints(canonical: DataFrame, shapes: DataFrame) -> DataFrame:
         _ids("control").alias("control"), _ids("variable").alias("variables"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("invariants")))).alias("invariant_set"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("behaviors")))).alias("behaviors"),
-        F.count("*").alias("identity_count"))
+        F.count_if(F.col("part") == 0).alias("identity_count"))
     empty = F.array().cast("array<string>")
     # a subject keeps the last of its canonical identities in rank order
     roles = canonical.filter("category = 'variable'").groupBy("run_id", "subject").agg(

@@ -99,7 +99,7 @@ ID_CTES = {**FACTS, "acc": ACC, "cs": CS, "vsig": VSIG, "va": VA, "ca": CA, "sa"
 
 
 def shown(df):
-    return df.select("run_id", "archetype", "category", "subject", F.round("confidence", 3).alias("confidence"))
+    return df.filter("part = 0").select("run_id", "archetype", "category", "subject", F.round("confidence", 3).alias("confidence"))
 
 
 def normal(spark, sf):
@@ -152,12 +152,12 @@ def i5b(spark, sf):
 
 @query("i6_normal_form", cte("SELECT run_id, archetype, canonical_id, category, subject, confidence FROM can", **ID_CTES))
 def i6(spark, sf):
-    return normal(spark, sf).select("run_id", "archetype", "canonical_id", "category", "subject", F.round("confidence", 3).alias("confidence"))
+    return normal(spark, sf).filter("part = 0").select("run_id", "archetype", "canonical_id", "category", "subject", F.round("confidence", 3).alias("confidence"))
 
 
 @query("i6_parameters")
 def i6b(spark, sf):
-    return normal(spark, sf).filter(F.col("archetype").isin("memo_table", "accumulator", "state_transition")).select(
+    return normal(spark, sf).filter("part = 0").filter(F.col("archetype").isin("memo_table", "accumulator", "state_transition")).select(
         "run_id", "canonical_id", "subject", "semantic_role", "operator", "direction", "transition_vars", "arity")
 
 
@@ -257,5 +257,5 @@ def i12(spark, sf):
       WHEN 'dynamic_programming' THEN 'brute_force,greedy,sliding_window' ELSE '' END AS siblings
   FROM id WHERE archetype <> 'lookup_table'""", **ID_CTES))
 def f16(spark, sf):
-    e = H.enrich(X.identities(spark, sf), H.concepts(spark))
+    e = H.enrich(X.identities(spark, sf).filter("part = 0"), H.concepts(spark))
     return e.select("run_id", "archetype", "subject", joined("ancestors").alias("ancestors"), joined("siblings").alias("siblings"))

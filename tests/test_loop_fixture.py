@@ -57,6 +57,25 @@ def test_facts(loop):
     assert ("causal.root_cause", "total = 0") in kinds
 
 
+def test_whole_evidence_of_archetypes(spark):
+    """Lines that decide a parameter may come after a variable's fifth step, and after its first chunk."""
+    from causeway.functions.ordered import CHUNK
+
+    last = CHUNK + 3
+    code = {last: "total -= x", last - 1: "total = total + y"}
+    steps = [("r", i, code.get(i, "total = total + x"), 0, ["total", "x"], ["total"]) for i in (*range(8), last - 1, last)]
+    snapshots = [("r", i, "total", str(n), "int") for n, (_, i, *_) in enumerate(steps)]
+    found = I.variable_archetypes(spark.createDataFrame(steps, "run_id string, step long, code string, indent int, reads array<string>, writes array<string>"),
+                                  spark.createDataFrame(snapshots, "run_id string, step long, var string, value string, type string"), chunk=None)
+    steps = spark.createDataFrame([s[:4] for s in steps], "run_id string, step long, code string, indent int")
+    whole = I.deduplicate(found).filter("archetype = 'accumulator'")
+    assert [r.evidence for r in whole.orderBy("part").collect()] == [list(range(8)), [last - 1, last]]
+    got = I.normalize(whole, steps).collect()
+    assert sorted(r.part for r in got) == [0, 1] and {(r.operator, r.direction) for r in got} == {("-", "decreasing")}
+    looks = steps.select("run_id", "step", F.lit("print(a[0])").alias("code"))
+    assert sum(len(r.evidence) for r in I.structure_archetypes(looks).filter("archetype = 'hash_lookup'").collect()) == 10
+
+
 def test_archetypes(loop):
     steps, snapshots, _ = loop
     got = {(r["archetype"], r["subject"]): r["confidence"] for r in I.variable_archetypes(steps, snapshots, chunk=None).collect()}
