@@ -144,8 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, voters: int = VOTERS, dims: int = DI
     """Fit on at most ``voters`` labelled rows per class; document frequencies come from all of ``docs(doc_id, text)``.
 
     ``labels(doc_id, y)``; rows with a null id or label are ignored, of
-    several labels of a document the least counts. Votes are weighted so
-    that the classes have the shares of all given labels.
+    several labels of a document the least counts. Voters are chosen among
+    labelled ids that ``docs`` holds; of several rows of an id the one with
+    the least hash of its text votes. Votes are weighted so that the classes
+    have the shares of all given labels.
     """
     counts = docs.select("text").mapInArrow(_frequencies, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(WIDTH + 1)
@@ -155,9 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, voters: int = VOTERS, dims: int = DI
     idf[WORDS:] = 1.0
     known = labels.filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").cast("int").alias("y"))
     share = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(voters) for y in (0, 1)]
+    present = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = [present.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(voters) for y in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * voters rows
-    rows = docs.join(sample, "doc_id").select("doc_id", "y", "text").mapInArrow(_rows, "doc_id long, y int, x binary").collect()
+    one = docs.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = one.select("doc_id", "y", "text").mapInArrow(_rows, "doc_id long, y int, x binary").collect()
     total = sum(share.get(y, 0) for y in (0, 1))
     prior = share.get(1, 0) / total if total else 1.0
     if not rows:

@@ -252,6 +252,14 @@ def test_quality_of_odd_tables(spark, docs, none):
     assert quality.quality_scores(none, labels).collect() == []
 
 
+def test_voters_are_bounded(spark):
+    """Repeated ids give one voter each, and labels of absent documents take no places."""
+    docs = spark.createDataFrame([(i % 4, f"text number {i}") for i in range(80)] + [(9, None), (9, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)] + [(9, 1)] + [(i, i % 2) for i in range(1000, 1400)], "doc_id long, y int")
+    assert sorted(quality.fit(docs, labels, voters=2, dims=4).labels.tolist()) == [0, 0, 1, 1]
+    assert sorted(quality.fit(docs, labels, voters=5, dims=4).labels.tolist()) == [0, 0, 1, 1, 1]
+
+
 def test_token_files(docs, rows):
     t = Tokenizer.from_file(WORD)
     blocks = token_coder.write_blocks(docs, WORD)
