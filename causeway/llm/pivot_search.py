@@ -180,7 +180,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
 
     Components count as ``floor(256 x)``; the score is the integer inner
     product, ties go to the smaller id. Vectors that are null or hold null or
-    non-finite components, and rows without id, take no part; shorter vectors
+    non-finite components or any of 2**54 or more in absolute value, and rows
+    without id, take no part; shorter vectors
     count as filled up with zeros. Rows that share an id are one candidate,
     which counts with its best score, and are never candidates of their own
     queries. Other columns are ignored.
