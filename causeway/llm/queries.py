@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, pivot_search, quality, sketch_dedup, token_coder, tool_calls, vector_dedup
+from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, pivot_search, private_data, quality, sketch_dedup, token_coder, tool_calls, vector_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -120,3 +120,8 @@ def op7(spark, sf_dir):
 def op1(spark, sf_dir):
     calls, results = tool_calls.turns_as_calls(read(spark, sf_dir, "conversations"))
     return tool_calls.link_tool_calls(calls, results, tool_calls.TURN_SCHEMAS).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("op13_private_data")
+def op13(spark, sf_dir):
+    return private_data.digests(private_data.find_private(read(spark, sf_dir, "documents")))
