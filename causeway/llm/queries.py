@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, pivot_search, private_data, quality, sketch_dedup, token_coder, tool_calls, vector_dedup
+from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, pivot_search, prefix_trie, private_data, quality, sketch_dedup, token_coder, tool_calls, vector_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -125,3 +125,36 @@ def op1(spark, sf_dir):
 @query("op13_private_data")
 def op13(spark, sf_dir):
     return private_data.digests(private_data.find_private(read(spark, sf_dir, "documents")))
+
+
+@query("op11_prefix_trie", """
+    WITH RECURSIVE crc_table AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+    own AS (
+        SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    shares AS (
+        SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 9 AS h FROM own, crc_table),
+    rebuilt AS (
+        SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+        FROM shares c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+    members AS (
+        SELECT conv_id, len(turns) AS n, d AS depth, sha256(turns[1:d]::VARCHAR) AS node, CASE WHEN d > 0 THEN sha256(turns[1:d - 1]::VARCHAR) END AS parent,
+               CASE WHEN d > 0 THEN strlen(turns[d].t) ELSE 0 END AS size
+        FROM rebuilt, unnest(range(len(turns) + 1)) u(d)),
+    nodes AS (
+        SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+        FROM members GROUP BY depth, node),
+    kids AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+    own_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (depth, node)),
+    below AS (
+        SELECT depth, node, depth AS d, parent, saved, n_children = 0 AS leaf, node AS top FROM own_nodes
+        UNION ALL
+        SELECT p.depth, p.node, b.d, p.parent, b.saved, b.leaf, b.top FROM below b JOIN own_nodes p ON p.depth = b.depth - 1 AND p.node = b.parent),
+    sums AS (SELECT depth, node, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM below GROUP BY ALL)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM own_nodes n JOIN sums USING (depth, node) LEFT JOIN own_nodes p ON p.depth = n.depth - 1 AND p.node = n.parent""")
+def op11(spark, sf_dir):
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(read(spark, sf_dir, "conversations")))
