@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, pivot_search, prefix_trie, private_data, quality, sketch_dedup, token_coder, tool_calls, vector_dedup
+from causeway.llm import bpe_reuse, license_scan, mix_budget, neural_lm, pivot_search, prefix_trie, private_data, quality, sketch_dedup, spelling, token_coder, tool_calls, vector_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -158,3 +158,33 @@ def op13(spark, sf_dir):
     FROM own_nodes n JOIN sums USING (depth, node) LEFT JOIN own_nodes p ON p.depth = n.depth - 1 AND p.node = n.parent""")
 def op11(spark, sf_dir):
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(read(spark, sf_dir, "conversations")))
+
+
+@query("op12_spelling", """
+    WITH crc_table AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+    runs AS (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    named AS (SELECT DISTINCT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS name FROM runs WHERE length(run) >= 7),
+    hashes AS (
+        SELECT name, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(name)), lambda i: ('0x' || substr(hex(encode(name)), 2 * i + 1, 2))::BIGINT)),
+               lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM named, crc_table),
+    marked AS (SELECT run, h FROM runs JOIN hashes ON name = coalesce(doc_id::VARCHAR, '') || ':' || run),
+    cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM marked),
+    words AS (SELECT word, count(*) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+    less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) u(i)),
+    pairs AS (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+    formed AS (
+        SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+        FROM words w LEFT JOIN best USING (word)),
+    steps AS (
+        SELECT a.*, coalesce(f.form, e.form, d.form, c.form, b.form, a.form, a.word) AS root
+        FROM formed a LEFT JOIN formed b ON b.word = a.form LEFT JOIN formed c ON c.word = b.form LEFT JOIN formed d ON d.word = c.form
+        LEFT JOIN formed e ON e.word = d.form LEFT JOIN formed f ON f.word = e.form)
+    SELECT word, form, root, n, n_near, form_n FROM steps""")
+def op12(spark, sf_dir):
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
