@@ -1,10 +1,12 @@
 """Reachability, slices, chains and paths over edge tables.
 
-One contract, two physical forms, chosen per key by a counted size:
+One contract, several physical forms, chosen per key by counted properties:
 
 * keys whose edges times seeds stay under ``LOCAL_WORK`` are searched inside
   one task each, after a single shuffle (many small runs);
-* larger keys are searched by a distributed frontier loop, one join per layer,
+* larger keys whose nodes have one way on, or whose edges all lead to earlier
+  (or all to later) steps, are searched in logarithmically many rounds (``deep``);
+* what is left is searched by a distributed frontier loop, one join per layer,
   with every layer written to the checkpoint folder.
 """
 
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.ordered import read_twice
+from causeway.operators import deep
 from causeway.session import checkpointed
 
 LOCAL_WORK = 2_000_000
@@ -62,6 +65,7 @@ def reach(
     *,
     max_depth: int | None = None,
     carry: bool = False,
+    parents: bool = True,
     local_work: int = LOCAL_WORK,
 ) -> DataFrame:
     """Nodes reachable from each seed along ``from_node -> to_node``.
@@ -69,7 +73,8 @@ def reach(
     ``edges`` has ``key, from_node, to_node`` (with ``carry`` also ``var,
     is_data``); ``seeds`` has ``key, seed, node`` (``carry``: ``var``). Gives
     ``key, seed, node, depth, parent`` where depth is the least number of edges
-    and parent the smallest node of the layer before (null at the start).
+    and parent the smallest node of the layer before (null at the start; it may
+    be null throughout where ``parents`` says that nobody reads it).
     """
     if not carry:
         edges = edges.select(key, "from_node", "to_node").distinct().withColumn("var", F.lit("")).withColumn(
@@ -95,10 +100,47 @@ def reach(
     if not counts["large"]:
         return _local(edges, seeds, key, max_depth, carry)
     if not counts["small"]:
-        return _frontier(edges, seeds, key, max_depth, carry)
+        return _large(edges, seeds, key, max_depth, carry, parents)
     small_part = _local(edges.join(large, key, "left_anti"), seeds.join(large, key, "left_anti"), key, max_depth, carry)
     return small_part.unionByName(
-        _frontier(edges.join(large, key, "left_semi"), seeds.join(large, key, "left_semi"), key, max_depth, carry))
+        _large(edges.join(large, key, "left_semi"), seeds.join(large, key, "left_semi"), key, max_depth, carry, parents))
+
+
+def _large(edges, seeds, key, max_depth, carry, parents) -> DataFrame:
+    """Keys too large for one task, by the form their edges allow."""
+    if carry:
+        return _frontier(edges, seeds, key, max_depth, carry)
+    numbered = _node_type(edges, "from_node") in ("bigint", "int")
+    links = checkpointed(edges.filter("from_node <> to_node").select(key, "from_node", "to_node"))
+    per_node = links.groupBy(key, "from_node").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("to_node") > F.col("from_node")).alias("up"), F.count_if(F.col("to_node") < F.col("from_node")).alias("down"))
+    form = F.when(F.max("n") <= 1, "lifted")
+    if numbered:
+        form = form.when(F.sum("up") == 0, "falling").when(F.sum("down") == 0, "rising")
+    forms = checkpointed(per_node.groupBy(key).agg(form.otherwise("frontier").alias("form")))
+    kinds = [r[0] for r in forms.select("form").distinct().collect()]
+    held, out = seeds.join(forms, key, "left").na.fill("lifted", ["form"]), None
+    for kind in kinds or ["lifted"]:
+        some = links if len(kinds) <= 1 else links.join(forms.filter(F.col("form") == kind), key, "left_semi")
+        start = held.filter((F.col("form") == kind) | F.lit(not kinds)).drop("form")
+        found = None
+        if kind == "lifted":
+            found = deep.lifted(some, start, key, max_depth)
+        elif kind != "frontier":
+            found = deep.swept(some, start, key, kind == "falling", max_depth=max_depth)
+            if found is not None:
+                found = _with_parents(found, some, key) if parents else found.withColumn("parent", F.lit(None).cast(_node_type(some, "from_node")))
+        if found is None:
+            found = _frontier(some.withColumn("var", F.lit("")).withColumn("is_data", F.lit(False)), start, key, max_depth, carry)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _with_parents(found: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """The smallest node of the layer before that leads to each node."""
+    from_here = found.select(key, "seed", F.col("node").alias("from_node"), (F.col("depth") + 1).alias("depth")).join(links, [key, "from_node"])
+    least = from_here.groupBy(key, "seed", F.col("to_node").alias("node"), "depth").agg(F.min("from_node").alias("parent"))
+    return found.join(least, [key, "seed", "node", "depth"], "left")
 
 
 def _node_type(df: DataFrame, col: str) -> str:
@@ -181,7 +223,7 @@ def backward_slice(edges: DataFrame, seeds: DataFrame, **kw) -> DataFrame:
     A root has no incoming data or control edge. All sources of a slice step's
     edges are in the slice as well, so "from inside" needs no second look-up.
     """
-    found = reach(_directed(edges, ["data", "control", "parameter"], True), _as_seeds(seeds), **kw)
+    found = reach(_directed(edges, ["data", "control", "parameter"], True), _as_seeds(seeds), parents=False, **kw)
     return _flag(found, edges.filter("kind IN ('data', 'control')").select("run_id", F.col("dst").alias("node")), "is_root")
 
 
@@ -204,7 +246,7 @@ def forward_impact(edges: DataFrame, seeds: DataFrame, carry_var: bool = False,
     ``carry_var`` follows a data edge only while it is about the variable the
     step was reached by; otherwise the whole closure is taken.
     """
-    found = reach(_directed(edges, ["data", "control", "call"], False), _as_seeds(seeds), carry=carry_var, **kw)
+    found = reach(_directed(edges, ["data", "control", "call"], False), _as_seeds(seeds), carry=carry_var, parents=False, **kw)
     links = edges.filter("kind IN ('data', 'control', 'call')").select("run_id", "src", "dst")
     if not carry_var:
         return _flag(found, links.select("run_id", F.col("src").alias("node")), "is_leaf")
@@ -231,7 +273,7 @@ def timeline_slice(steps, data, blocks, bindings, seeds, **kw) -> DataFrame:
         .unionByName(conditions.select("run_id", F.col("step").alias("from_node"), F.col("condition_step").alias("to_node")))
         .unionByName(crossing.select("run_id", F.col("step").alias("from_node"), F.col("caller_step").alias("to_node")))
     )
-    found = reach(followed, _as_seeds(seeds), **kw)
+    found = reach(followed, _as_seeds(seeds), parents=False, **kw)
     held = data.select("run_id", F.col("dst").alias("node")).unionByName(
         conditions.select("run_id", F.col("step").alias("node")))
     return _flag(found, held, "is_root")
@@ -250,7 +292,7 @@ def version_slice(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_dept
         F.coalesce(F.max(F.when(F.col("step") <= F.col("asked"), n)), F.max(n)).alias("v")
     ).select("run_id", F.concat_ws("@", "var", F.col("asked").cast("string")).alias("seed"), F.col("v.version").alias("node"))
     back = edges.select("run_id", F.col("dst").alias("from_node"), F.col("src").alias("to_node"))
-    found = reach(back, start, max_depth=max_depth, **kw).drop("parent").withColumnRenamed("node", "version")
+    found = reach(back, start, max_depth=max_depth, parents=False, **kw).drop("parent").withColumnRenamed("node", "version")
     chain = found.join(nodes, ["run_id", "version"])
     ends = chain.groupBy("run_id", "seed").agg(
         F.min(F.struct("step", "version")).alias("lo"), F.max(F.struct("step", "version")).alias("hi"))
@@ -296,8 +338,11 @@ def root_cause_chain(cedges: DataFrame, errors: DataFrame, max_depth: int | None
 
     ``on_chain`` marks the nodes met by always taking the primary parent.
     """
-    everything = reach(_reversed(cedges), _starts(errors), "graph_id", max_depth=max_depth, **kw)
-    chain = reach(_reversed(primary_parents(cedges)), _starts(errors), "graph_id", max_depth=max_depth, **kw)
+    everything = reach(_reversed(cedges), _starts(errors), "graph_id", max_depth=max_depth, parents=False, **kw)
+    several = cedges.select("graph_id", "dst", "src").distinct().groupBy("graph_id", "dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if several.isEmpty():  # the only parent is the primary one
+        return everything.drop("parent").withColumn("on_chain", F.lit(True))
+    chain = reach(_reversed(primary_parents(cedges)), _starts(errors), "graph_id", max_depth=max_depth, parents=False, **kw)
     marked = chain.select("graph_id", "seed", "node", F.lit(True).alias("on_chain"))
     return everything.drop("parent").join(marked, ["graph_id", "seed", "node"], "left").withColumn(
         "on_chain", F.coalesce("on_chain", F.lit(False)))

@@ -4,6 +4,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from causeway.operators import deep
 from causeway.operators import hierarchy as H
 from causeway.operators import traverse as T
 
@@ -96,3 +97,80 @@ def test_taxonomy(spark):
     assert path == ["memo_table", "dynamic_programming", "optimization"]
     assert H.with_behavior(t, "supports_lookup").count() == 2
     assert {r["target"] for r in H.related_by(t, "opposite_of").collect()} == {"brute_force", "dynamic_programming", "greedy"}
+
+
+def random_dag(seed, n, rows, near=6):
+    r = random.Random(seed)
+    out = set()
+    for _ in range(rows):
+        a = r.randrange(n - 1)
+        out.add(("r", a, min(n - 1, a + 1 + r.randrange(near)) if r.random() < 0.9 else r.randrange(a + 1, n)))
+    return out
+
+
+@pytest.mark.parametrize("falling", [False, True])
+@pytest.mark.parametrize("hub", [False, True])
+def test_swept_equals_search(spark, falling, hub):
+    edges = random_dag(4, 400, 700)
+    if hub:  # one value read by very many steps
+        edges |= {("r", 3, b) for b in range(20, 400, 2)}
+    edges = {(g, b, a) if falling else (g, a, b) for g, a, b in edges}
+    links = spark.createDataFrame(sorted(edges), "run_id string, from_node long, to_node long")
+    starts = [0, 3, 17] if not falling else [399, 398, 220]
+    seeds = spark.createDataFrame([("r", f"s{n}", n) for n in starts], "run_id string, seed string, node long")
+    for chunk, merged in ((16, 2), (64, 4), (1000, 2)):
+        got = {}
+        for r in deep.swept(links, seeds, "run_id", falling, chunk=chunk, merged=merged, spread=10**6).collect():
+            assert r["node"] not in got.setdefault(r["seed"], {})
+            got[r["seed"]][r["node"]] = r["depth"]
+        assert got == {f"s{n}": search(edges, "r", n) for n in starts}
+    assert deep.swept(links, seeds, "run_id", falling, chunk=16, merged=2, spread=0) is None
+
+
+def test_reach_picks_a_form_per_key(spark):
+    r = random.Random(6)
+    edges = {("dag", b, a) for _, a, b in random_dag(1, 120, 200)}
+    edges |= {("tree", i, i // 3) for i in range(1, 100)} | {("tree", 0, 0)}
+    edges |= {("ring", i, (i + 1) % 40) for i in range(40)}
+    edges |= {("any", r.randrange(40), r.randrange(40)) for _ in range(90)}
+    links = spark.createDataFrame(sorted(edges), "run_id string, from_node long, to_node long")
+    starts = [(g, n) for g in ("dag", "tree", "ring", "any") for n in (37, 5)] + [("none", 1)]
+    seeds = spark.createDataFrame([(g, n, n) for g, n in starts], "run_id string, seed long, node long")
+    for depth in (None, 3):
+        got, parents = {}, {}
+        for x in T.reach(links, seeds, local_work=0, max_depth=depth).collect():
+            got.setdefault((x["run_id"], x["seed"]), {})[x["node"]] = x["depth"]
+            parents[x["run_id"], x["seed"], x["node"]] = x["parent"]
+        for g, n in starts:
+            want = {v: d for v, d in search(edges, g, n).items() if depth is None or d <= depth}
+            assert got[g, n] == want
+            for v, d in want.items():
+                before = [u for u, e in want.items() if e == d - 1 and (g, u, v) in edges]
+                assert parents[g, n, v] == min(before, default=None)
+
+
+def test_deep_run_in_few_rounds(spark):
+    n = 100_000
+    steps = spark.range(1, n).select(F.lit("r").alias("run_id"), F.col("id").alias("from_node"), (F.col("id") - 1).alias("to_node"))
+    links = steps.unionByName(steps.filter("from_node % 100 = 0").withColumn("to_node", F.col("from_node") - 50))
+    seeds = spark.createDataFrame([("r", n - 1, n - 1)], "run_id string, seed long, node long")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = T.reach(links, seeds, local_work=0, parents=False).agg(F.count("*"), F.max("depth")).first()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    depth = {n - 1: 0}
+    for i in range(n - 1, 0, -1):
+        for to in (i - 1, *([i - 50] if i % 100 == 0 else [])):
+            depth[to] = min(depth.get(to, n), depth[i] + 1)
+    assert tuple(got) == (n, max(depth.values()))
+    assert jobs < 100  # a few for each of the rounds, however deep the run
+    chain = T.reach(steps, seeds, local_work=0).agg(F.count("*"), F.max("depth")).first()
+    assert tuple(chain) == (n, n - 1)
+
+
+def test_squared_equals_search(spark):
+    r = random.Random(8)
+    edges = {("g", r.randrange(60), r.randrange(60)) for _ in range(90)} | {("g", 100 + i, 101 + i) for i in range(20)}
+    links = spark.createDataFrame(sorted(edges), "run_id string, from_node long, to_node long")
+    got = {(x["from_node"], x["to_node"]): x["depth"] for x in deep.squared(links, "run_id").collect()}
+    want = {(a, b): d for a in {e[1] for e in edges} for b, d in search(edges, "g", a).items() if a != b}
+    assert got == want
