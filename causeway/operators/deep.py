@@ -35,11 +35,11 @@ LANES = 64
 def lifted(edges: DataFrame, seeds: DataFrame, key: str, max_depth: int | None = None) -> DataFrame | None:
     """``reach`` where each ``from_node`` has one ``to_node``; None where the edges turn out to hold a cycle.
 
-    ``edges`` is ``(key, from_node, to_node)`` without loops, ``seeds`` ``(key,
-    seed, node)``. Gives ``(key, seed, node, depth, parent)``.
+    ``edges`` is ``(key, from_node, to_node)`` without loops, cheap to read
+    again, ``seeds`` ``(key, seed, node)``. Gives ``(key, seed, node, depth, parent)``.
     """
     node = edges.schema["from_node"].dataType.simpleString()
-    ups = [checkpointed(edges.select(key, F.col("from_node").alias("at"), F.col("to_node").alias("to"), F.col("from_node").alias("last")))]
+    ups = [edges.select(key, F.col("from_node").alias("at"), F.col("to_node").alias("to"), F.col("from_node").alias("last"))]
     total = ups[0].count()
     if total == 0:
         ups = []

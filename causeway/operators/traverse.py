@@ -111,7 +111,7 @@ def _large(edges, seeds, key, max_depth, carry, parents) -> DataFrame:
     if carry:
         return _frontier(edges, seeds, key, max_depth, carry)
     numbered = _node_type(edges, "from_node") in ("bigint", "int")
-    links = checkpointed(edges.filter("from_node <> to_node").select(key, "from_node", "to_node"))
+    links = edges.filter("from_node <> to_node").select(key, "from_node", "to_node")
     per_node = links.groupBy(key, "from_node").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("to_node") > F.col("from_node")).alias("up"), F.count_if(F.col("to_node") < F.col("from_node")).alias("down"))
     form = F.when(F.max("n") <= 1, "lifted")
