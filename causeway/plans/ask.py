@@ -100,4 +100,9 @@ def explain_why(runs: Runs, var: str) -> DataFrame:
 
 def explain_impact(runs: Runs, var: str) -> DataFrame:
     found = T.forward_impact(runs.edges, runs.last_match(var))
-    return E.explain(E.impact_evidence(found, runs.edges, runs.steps))
+    return E.explain(E.impact_evidence(found, runs.edges, runs.steps, runs.facts))
+
+
+def explain_variable(runs: Runs, var: str) -> DataFrame:
+    """Origin, spans of equal behaviour and final value of a variable in each run."""
+    return E.explain_variable(E.variable_evidence(H.variable_history(runs.snapshots, var), chunk=runs.chunk))

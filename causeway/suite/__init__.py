@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _MODULES = ("selecting", "preparing", "graphs", "traversing", "history", "facts", "archetypes",
-            "similarity", "diffs", "scoring", "outcomes", "sequences", "sourcing")
+            "similarity", "diffs", "scoring", "outcomes", "sequences", "sourcing", "explaining")
 
 
 def query(name: str, sql: str | None = None):

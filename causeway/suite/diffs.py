@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.operators import diff as K
-from causeway.plans import ask
 from causeway.sources import fixtures as X
 from causeway.suite import query
 from causeway.suite.duck import cte
 from causeway.suite.facts import FACTS
-from causeway.suite.history import VER, runs, versions
+from causeway.suite.history import VER, versions
 
 PR = """SELECT a.run_id AS run_a, b.run_id AS run_b FROM (SELECT DISTINCT run_id FROM ev) a JOIN (SELECT DISTINCT run_id FROM ev) b
   ON CAST(b.run_id AS INTEGER) = CAST(a.run_id AS INTEGER) + 1"""
@@ -122,8 +121,3 @@ def k6(spark, sf):
 def k7(spark, sf):
     report = K.compare_runs(X.steps(spark, sf), X.edges(spark, sf), versions(spark, sf), X.facts(spark, sf), pairs(spark, sf))
     return K.rollup(report)
-
-
-@query("k8_narrative")
-def k8(spark, sf):
-    return K.narrative(ask.explain_why(runs(spark, sf), "purchase"), pairs(spark, sf))

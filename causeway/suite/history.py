@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causeway.operators import evidence as E
 from causeway.operators import graph as G
 from causeway.operators import history as H
 from causeway.operators import traverse as T
@@ -244,33 +243,3 @@ def g15(spark, sf):
     s = X.steps(spark, sf)
     found = H.lineage(s, X.snapshots(spark, sf), **X.fit(spark, sf))
     return H.critical_steps(s, X.diff(spark, sf), found).select("run_id", "step")
-
-
-@query("h11_slice_evidence", cte("""
-  SELECT run_id, unit, count(*) AS items FROM (
-    SELECT DISTINCT run_id, node, 'control' AS unit FROM (SELECT s.run_id, e.src AS node FROM slice s JOIN ce e ON e.run_id = s.run_id AND e.dst = s.node)
-    UNION ALL SELECT run_id, node, 'target' FROM slice WHERE depth = 0
-    UNION ALL SELECT DISTINCT run_id, node, 'root_cause' FROM slice WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.run_id = slice.run_id AND ed.dst = slice.node
-                                                                 AND ed.kind IN ('data', 'control')))
-  GROUP BY run_id, unit""", recursive=True, seed=SEED, slice=SLICE))
-def h11(spark, sf):
-    e, s = X.edges(spark, sf), X.steps(spark, sf)
-    found = T.backward_slice(e, purchases(spark, sf))
-    rows = E.slice_evidence(found, T.slice_edges(e, found), s, X.facts(spark, sf))
-    return rows.filter("unit IN ('control', 'target', 'root_cause')").groupBy("run_id", "unit").agg(F.count("*").alias("items"))
-
-
-@query("h11_impact_evidence")
-def h11b(spark, sf):
-    e, s = X.edges(spark, sf), X.steps(spark, sf)
-    return E.impact_evidence(T.forward_impact(e, first_views(spark, sf)), e, s)
-
-
-@query("h12_explain_why")
-def h12(spark, sf):
-    return ask.explain_why(runs(spark, sf), "purchase")
-
-
-@query("h12_explain_impact")
-def h12b(spark, sf):
-    return ask.explain_impact(runs(spark, sf), "view")
