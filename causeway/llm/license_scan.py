@@ -42,11 +42,9 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     ("proprietary", "all rights reserved", "all rights reserved"),
 )
-#: Highest-IDF words of each key phrase that a text is looked up by; a text without them can't hold the phrase.
+#: Highest-IDF words of each key phrase that stand in the index; a text without them can't hold the phrase.
 RARE = 3
-#: Least share of a template's IDF that must stand at the places the template gives.
-SHARE = 0.5
-#: Words that may be missing or inserted between a rare word and the key phrase.
+#: Words that may be missing or inserted between the key phrase and the rest of its template.
 SLACK = 2
 BASE_SCORE = 0.5
 
@@ -61,7 +59,9 @@ def words_of(text: bytes) -> list[bytes]:
 @dataclass(frozen=True)
 class Index:
     templates: tuple  # (label, words, key words, place of the key, idf per word)
-    postings: dict  # rare word -> [(template, place)]
+    postings: dict  # rare word -> [(template, place in its key phrase)]
+    needed: tuple  # postings per template
+    order: dict  # rare word -> its rank, the highest IDF first
     anchors: frozenset  # rare words and first words of the base phrases
     phrases: tuple  # (words, label)
 
@@ -92,54 +92,56 @@ def build_index(n: int, df: dict[bytes, int], rare: int = RARE) -> Index:
         idf = [math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-9 for w in words]
         templates.append((label, words, key_words, place, idf))
         for w in sorted(set(key_words), key=lambda w: (df.get(w, 0), w))[:rare]:
-            postings[w] += [(t, i) for i, x in enumerate(words) if x == w]
+            postings[w] += [(t, i) for i, x in enumerate(key_words) if x == w]
+    needed = Counter(t for places in postings.values() for t, _ in places)
+    order = {w: i for i, w in enumerate(sorted(postings, key=lambda w: (df.get(w, 0), w)))}
     phrases = tuple((p.encode().split(), label) for p, label in PHRASES)
-    return Index(tuple(templates), dict(postings), frozenset(postings) | {p[0] for p, _ in phrases}, phrases)
-
-
-def _found(words: list[bytes], key: list[bytes], at: int) -> int | None:
-    """Where the key phrase stands, at most ``SLACK`` words from ``at``."""
-    for d in sorted(range(-SLACK, SLACK + 1), key=abs):
-        if at + d >= 0 and words[at + d:at + d + len(key)] == key:
-            return at + d
-    return None
+    return Index(tuple(templates), dict(postings), tuple(needed[t] for t in range(len(templates))), order, frozenset(postings) | {p[0] for p, _ in phrases}, phrases)
 
 
 def scan(words: list[bytes], index: Index) -> tuple[list[int], set[str], dict[str, float]]:
     """Starts of all base places, their labels, and the score of every label found by templates."""
     if index.anchors.isdisjoint(words):
         return [], set(), {}
-    hits = [(i, w) for i, w in enumerate(words) if w in index.anchors]
+    hits = defaultdict(list)
+    for i, w in enumerate(words):
+        if w in index.anchors:
+            hits[w].append(i)
     starts, base = [], set()
-    for i, w in hits:
-        for phrase, label in index.phrases:
-            if w == phrase[0] and words[i:i + len(phrase)] == phrase:
-                starts.append(i)
-                base.add(label)
-    votes = Counter((t, i - p) for i, w in hits for t, p in index.postings.get(w, ()))
+    for phrase, label in index.phrases:
+        at = [i for i in hits.get(phrase[0], ()) if words[i:i + len(phrase)] == phrase]
+        starts += at
+        base |= {label} if at else set()
+    # the text's own licence words, rarest first: where do all rare words of a template agree on one place?
+    agreed: dict[int, set[int]] = {}
+    met = Counter()
+    for w in sorted(index.order.keys() & hits.keys(), key=index.order.get):
+        for t, p in index.postings[w]:
+            here = {i - p for i in hits[w]}
+            agreed[t] = here if t not in agreed else agreed[t] & here
+            met[t] += 1
     labels: dict[str, float] = {}
-    tried = set()
-    for t, offset in votes:
+    for t, places in agreed.items():
         label, template, key, place, idf = index.templates[t]
-        at = _found(words, key, offset + place)
-        if at is None or (t, at) in tried:
+        if met[t] < index.needed[t]:
             continue
-        tried.add((t, at))
-        total = sum(idf)
-        kept = sum(v for i, (w, v) in enumerate(zip(template, idf, strict=True))
-                   if any(0 <= at - place + i + d < len(words) and words[at - place + i + d] == w for d in range(-SLACK, SLACK + 1)))
-        if total > 0 and kept >= SHARE * total:
-            labels[label] = max(labels.get(label, 0.0), min(1.0, kept / total))
+        for at in places:
+            if at < 0 or words[at:at + len(key)] != key:
+                continue
+            kept = sum(v for i, (w, v) in enumerate(zip(template, idf, strict=True))
+                       if any(0 <= at - place + i + d < len(words) and words[at - place + i + d] == w for d in range(-SLACK, SLACK + 1)))
+            labels[label] = max(labels.get(label, 0.0), min(1.0, kept / sum(idf)))
     return starts, base, labels
 
 
 def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row of ``docs``.
 
-    Base places are all places of the fixed phrases; a label of the method
-    needs its mandatory key phrase near the place that a rare word's posting
-    gives and enough of the template around it. ``score`` is the best share
-    of a template's IDF found, at least 0.5 with a base place, 0 without any
+    Base places are all places of the fixed phrases. For the labels of the
+    method, a text's licence words are looked up from the highest IDF down;
+    where the rare words of a template agree on a place, its mandatory key
+    phrase is verified there, and every verified phrase gives its label.
+    ``score`` is the best share of a template's IDF found, at least 0.5 with a base place, 0 without any
     label. Null texts count as empty: no words, null places, empty labels.
     Other columns are ignored; equal rows give equal results.
     """

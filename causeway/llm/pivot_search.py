@@ -18,8 +18,8 @@ from pyspark.sql import window as W
 
 from causeway.llm.common import cut, release, shuffle_width
 
-#: Pivots are the vectors with the least hashes of their ids.
-PIVOTS = 32
+#: Pivots are the vectors with the least hashes of their ids: a quarter of the root of the number of rows, within these bounds.
+PIVOTS = (32, 1024)
 BLOCK = 2048
 QUERY_BLOCK = 256
 #: Query blocks that meet one block of vectors in one task.
@@ -30,7 +30,8 @@ SCALE = 256
 
 
 def _ints(column: str):
-    return F.transform(F.col(column).cast("array<double>"), lambda x: F.floor(x * SCALE).cast("long"))
+    ends = lambda x: F.greatest(F.least(F.floor(x), F.lit(LARGEST)), F.lit(-LARGEST))
+    return F.transform(F.col(column).cast("array<double>"), lambda x: ends(x * SCALE))
 
 
 def _rows(column: pa.Array, dims: int) -> np.ndarray:
@@ -52,10 +53,29 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+#: Scores beyond the range of a long count as its ends.
+LARGEST = (1 << 63) - 1
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+
+
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; doubles hold them where the sums stay below 2**53."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if most < 2.0 ** 53 else q @ x.T
+    """Exact integer inner products, held to the range of a long.
+
+    Doubles hold them where the sums stay below 2**53. Integers of 64 bits may
+    wrap on the way, but end right wherever the product itself fits, which the
+    norms tell; what is left is multiplied in integers of any length.
+    """
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * q.shape[1]
+    if most < 2.0 ** 53:
+        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    out = q @ x.T
+    for i, j in zip(*np.nonzero(_norms(q)[:, None] * _norms(x)[None] >= 2.0 ** 62), strict=True):
+        exact = sum(a * b for a, b in zip(q[i].tolist(), x[j].tolist(), strict=True))
+        out[i, j] = max(-LARGEST, min(LARGEST, exact))
+    return out
 
 
 def _keyed(pivots: np.ndarray):
@@ -175,13 +195,13 @@ def _upper(q_norm, norm, gap):
     return np.minimum(top, both) + 1e-9 * (q_norm ** 2 + norm ** 2) + 1e-6
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best other rows for each row whose id is divisible by ``every``.
 
     Components count as ``floor(256 x)``; the score is the integer inner
-    product, ties go to the smaller id. Vectors that are null or hold null or
-    non-finite components or any of 2**54 or more in absolute value, and rows
-    without id, take no part; shorter vectors
+    product, ties go to the smaller id. Components and scores beyond the range
+    of a long count as its ends. Vectors that are null or hold null or
+    non-finite components, and rows without id, take no part; shorter vectors
     count as filled up with zeros. Rows that share an id are one candidate,
     which counts with its best score, and are never candidates of their own
     queries. Other columns are ignored.
@@ -191,10 +211,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     of queries meet blocks of vectors, and only the best rows come out.
     """
     spark = vectors.sparkSession
-    finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 2.0 ** 54))
+    finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias(vec_col)).filter(F.col("vec_id").isNotNull() & F.col(vec_col).isNotNull() & finite)
     base = cut(named.select("vec_id", _ints(vec_col).alias("v")).distinct())
-    dims = base.agg(F.max(F.size("v"))).first()[0]
+    dims, rows = base.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    pivots = pivots or min(max(int(rows ** 0.5) // 4, PIVOTS[0]), PIVOTS[1])
     schema = "query_id long, rank int, vec_id long, score long"
     if not dims:
         dims = 1

@@ -34,7 +34,7 @@ def tokenizer_path(name: str) -> str:
 
 @query("op3_sketch_dedup")
 def op3(spark, sf_dir):
-    return sketch_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return sketch_dedup.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
 
 
 @query("op5_bpe_reuse")

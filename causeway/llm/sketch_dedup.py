@@ -199,15 +199,27 @@ def _cross_pairs(hubs: DataFrame, members: DataFrame, percent: int, placed: bool
     return pairs.select(F.greatest("rep", "r").alias("a"), F.least("rep", "r").alias("b")).distinct()
 
 
+#: Rows without id are named by their texts, from here on: above all ids given.
+UNNAMED = 1 << 62
+
+
+def node_id(doc_id, text):
+    """The id of a row as a node; a row without id is named by a hash of its text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(UNNAMED) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(UNNAMED >> 1)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, size: int = SHINGLE, hot: int = HOT, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Components of documents linked by ``100 * common >= percent * union`` of their shingle sets.
 
-    Returns ``doc_id, n_shingles, component_id, kept`` for every row of
+    Returns ``doc_id, n_shingles, component_id, kept, node`` for every row of
     ``docs``, with the least id reachable as the component. Null and blank
     texts have no shingles and link with nothing. Rows that share an id are
-    one node. A row without id keeps a null component and is kept, unless its
-    set equals that of a row with id. Other columns are ignored.
+    one node, as are rows without id that share a text. Those link like all
+    others, after every id: such a row is kept where no row with an id and no
+    other node before it is in its component, whose id is null if nobody in
+    it has one. Ids from 2**62 on can't be told from such rows. Other columns
+    are ignored.
 
     Texts with equal sets are one class, so copies never meet each other. A
     text is looked up by the rarest values of its sketch alone, so many that
@@ -219,9 +231,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, size: int =
     component are compared with the whole list, in as many rounds as keep
     each round's output bounded.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(node_id(F.col(id_col), F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"))
     seen = cut(base.mapInArrow(_sketches(k, size), "doc_id long, n long, sig binary, sketch array<long>"))
-    named = seen.filter("sig is not null and doc_id is not null")
+    named = seen.filter("sig is not null")
     classes = cut(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     # same id, several texts: the classes of an id are linked through it
     entries = classes.select(F.explode("sketch").alias("v"), "rep", "n", F.size("sketch").alias("kept"))
@@ -270,4 +282,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, size: int =
     out = (seen.join(classes.select("sig", "rep"), "sig", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
            .join(comp.withColumnRenamed("node", "rep"), "rep", "left"))
     top = F.coalesce("component", "rep")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"), F.coalesce(F.col("doc_id") == top, F.lit(True)).alias("kept"))
+    named_only = lambda c: F.when(c < UNNAMED, c)
+    return out.select(named_only(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), named_only(top).alias("component_id"), (F.col("doc_id") == top).alias("kept"), F.col("doc_id").alias("node"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,29 +14,88 @@ from pyspark.sql import functions as F
 from causeway.llm.common import cut, release
 
 _KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
+_LONE = re.compile("[\ud800-\udfff]")
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
+
+#: Arguments nested deeper are reported, not read: readers of JSON stop somewhere, and this place is the same everywhere.
+DEPTH = 400
+
+
+def _escaped(text: str) -> str:
+    """``text`` without lone surrogates, which no UTF-8 text can hold: their JSON escapes take their place."""
+    return _LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
+def _number(value) -> str:
+    """Equal numbers have one text: plain below 1e21 and from 1e-7 on, else with an exponent."""
+    sign, digits, power = Decimal(repr(value) if isinstance(value, float) else value).as_tuple()
+    digits = "".join(map(str, digits)).lstrip("0")
+    short = digits.rstrip("0")
+    if not short:
+        return "0"
+    power += len(digits) - len(short)
+    top = len(short) + power  # digits before the point
+    if top > 21 or top < -5:
+        text = short[0] + ("." + short[1:] if len(short) > 1 else "") + f"e{top - 1:+d}"
+    elif power >= 0:
+        text = short + "0" * power
+    elif top > 0:
+        text = f"{short[:top]}.{short[top:]}"
+    else:
+        text = "0." + "0" * -top + short
+    return "-" * sign + text
 
 
 def canonical(value) -> str:
-    """One text per JSON value: keys sorted by UTF-16 code units, no spaces, shortest numbers, only needed escapes."""
-    if isinstance(value, dict):
-        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, float):
-        if value == int(value) and abs(value) < 1e21:
-            return str(int(value))
-        digits, _, power = repr(value).partition("e")
-        if not power:
-            return digits
-        if -7 < int(power) < 0:
-            return f"{value:.{len(digits.replace('-', '').replace('.', '')) - 1 - int(power)}f}"
-        return f"{digits.removesuffix('.0')}e{int(power):+d}"
-    return json.dumps(value, ensure_ascii=False)
+    """One text per JSON value: keys sorted by UTF-16 code units, no spaces, one text per number, only needed escapes.
+
+    Values of any depth are walked with a list of what is left to write.
+    """
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, _Text):
+            out.append(v)
+        elif isinstance(v, dict):
+            keys, inner = sorted(v, key=lambda k: k.encode("utf-16-be", "surrogatepass")), []
+            for k in keys:
+                inner += [_Text("," if inner else ""), _Text(_escaped(json.dumps(k, ensure_ascii=False)) + ":"), v[k]]
+            todo += [_Text("}"), *reversed(inner), _Text("{")]
+        elif isinstance(v, list):
+            inner = [x for i, e in enumerate(v) for x in ((_Text(","), e) if i else (e,))]
+            todo += [_Text("]"), *reversed(inner), _Text("[")]
+        elif isinstance(v, (int, float, Decimal)) and not isinstance(v, bool):
+            out.append(_number(v))
+        else:
+            out.append(_escaped(json.dumps(v, ensure_ascii=False)))
+    return "".join(out)
+
+
+class _Text(str):
+    """A piece of finished text among values still to be written."""
+
+
+def _deep(text: str) -> bool:
+    """Whether brackets outside strings nest deeper than ``DEPTH``."""
+    if text.count("[") + text.count("{") <= DEPTH:
+        return False
+    depth = 0
+    for c in _BRACKETS.findall(text):
+        if c in "[{":
+            depth += 1
+            if depth > DEPTH:
+                return True
+        elif c in "]}":
+            depth -= 1
+    return False
 
 
 def parsed(text: str | None):
-    """The value of a JSON text; ``ValueError`` for anything that isn't one, repeated keys and non-finite numbers included."""
+    """The value of a JSON text; ``ValueError`` for anything that isn't one.
+
+    Repeated keys, numbers beyond doubles, numbers that are no JSON and values
+    nested deeper than ``DEPTH`` are refused. Fractions come as exact decimals.
+    """
 
     def once(pairs):
         out = dict(pairs)
@@ -43,56 +104,61 @@ def parsed(text: str | None):
         return out
 
     def finite(text):
-        value = float(text)
-        if value in (float("inf"), float("-inf")):
+        if float(text) in (float("inf"), float("-inf")):
             raise ValueError("number out of range")
-        return value
+        try:
+            return Decimal(text)
+        except ArithmeticError as e:
+            raise ValueError("number out of range") from e
 
     def refuse(name):
         raise ValueError(name)
 
     if text is None:
         raise ValueError("no text")
-    try:
-        return json.loads(text, object_pairs_hook=once, parse_constant=refuse, parse_float=finite)
-    except RecursionError as e:
-        raise ValueError("nested too deeply") from e
+    if _deep(text):
+        raise ValueError("nested too deeply")
+    return json.loads(text, object_pairs_hook=once, parse_constant=refuse, parse_float=finite)
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """Places where a value breaks a schema of types, ranges, lengths, choices, items and properties."""
-    kind, out = schema.get("type"), []
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind in ("integer", "number"):
-        if not number or kind == "integer" and value != int(value):
-            return [f"{at}: not {kind}"]
-    elif kind and (not isinstance(value, _KINDS[kind])):
-        return [f"{at}: not {kind}"]
-    if "enum" in schema and not any(canonical(value) == canonical(v) for v in schema["enum"]):
-        out.append(f"{at}: not one of the choices")
-    if isinstance(value, (str, list)):
-        short, long = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
-        if len(value) < schema.get(short, 0):
-            out.append(f"{at}: too short")
-        if len(value) > schema.get(long, len(value)):
-            out.append(f"{at}: too long")
-    if number:
-        if value < schema.get("minimum", value):
-            out.append(f"{at}: too small")
-        if value > schema.get("maximum", value):
-            out.append(f"{at}: too large")
-    if isinstance(value, list) and "items" in schema:
-        for i, v in enumerate(value):
-            out += violations(v, schema["items"], f"{at}[{i}]")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
-        for k, v in value.items():
-            if k in known:
-                out += violations(v, known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: unknown")
-    return out
+    out, todo = [], [(value, schema, at)]
+    while todo:
+        value, schema, at = todo.pop()
+        kind = schema.get("type")
+        number = isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
+        if kind in ("integer", "number"):
+            if not number or kind == "integer" and value != int(value):
+                out.append(f"{at}: not {kind}")
+                continue
+        elif kind and (not isinstance(value, _KINDS[kind])):
+            out.append(f"{at}: not {kind}")
+            continue
+        if "enum" in schema and not any(canonical(value) == canonical(v) for v in schema["enum"]):
+            out.append(f"{at}: not one of the choices")
+        if isinstance(value, (str, list)):
+            short, long = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
+            if len(value) < schema.get(short, 0):
+                out.append(f"{at}: too short")
+            if len(value) > schema.get(long, len(value)):
+                out.append(f"{at}: too long")
+        if number:
+            if value < schema.get("minimum", value):
+                out.append(f"{at}: too small")
+            if value > schema.get("maximum", value):
+                out.append(f"{at}: too large")
+        if isinstance(value, list) and "items" in schema:
+            todo += [(v, schema["items"], f"{at}[{i}]") for i, v in enumerate(value)]
+        if isinstance(value, dict):
+            known = schema.get("properties", {})
+            out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
+            for k, v in value.items():
+                if k in known:
+                    todo.append((v, known[k], f"{at}.{k}"))
+                elif schema.get("additionalProperties") is False:
+                    out.append(f"{at}.{k}: unknown")
+    return [_escaped(e) for e in out]
 
 
 def references(value) -> list[str]:
@@ -107,7 +173,7 @@ def references(value) -> list[str]:
                 stack += v.values()
         elif isinstance(v, list):
             stack += v
-    return sorted(set(found))
+    return sorted({_escaped(r) for r in found})
 
 
 def _checked(schemas: dict[str, dict]):
@@ -119,8 +185,8 @@ def _checked(schemas: dict[str, dict]):
                     value = parsed(arguments)
                     bad = violations(value, schemas[name]) if name in schemas else ["$: unknown tool"]
                     ref = references(value)
-                except ValueError:
-                    value, bad, ref = arguments, ["$: not JSON"], []
+                except ValueError as e:
+                    value, bad, ref = arguments, ["$: nested too deeply" if str(e) == "nested too deeply" else "$: not JSON"], []
                 errors.append(sorted(bad))
                 refs.append(ref)
                 texts.append(canonical({"arguments": value, "id": call_id, "name": name, "type": "call"}))

@@ -201,3 +201,36 @@ def test_pipeline(spark):
     assert abs(sum(len((r[1] or "").encode().split()) * n for r, n in copies.items()) - size) <= 0.02 * size
     out = corpus_pipeline.encode(spark, mixed, sf)
     assert out.count() == sum(copies.values()) and "ids_sha256" in out.columns
+
+
+def test_numbers_and_lone_surrogates_have_one_text():
+    c = lambda text: tool_calls.canonical(tool_calls.parsed(text))
+    assert c("1e30") == c("1" + "0" * 30) == c("10.0e29") == "1e+30"
+    assert c("[0.10, 100e-2, -0, -0.0, 123456789012345678901234567890, 1e-400]") == "[0.1,1,0,0,1.2345678901234567890123456789e+29,1e-400]"
+    assert c('{"a":"\\ud800x","\\udc00":1}') == '{"a":"\\ud800x","\\udc00":1}'
+    assert c('"\\ud83d\\ude00"') == '"\U0001f600"'
+
+
+def test_odd_arguments_crash_no_task(spark):
+    nested = lambda n: '{"a":' * n + "1" + "}" * n
+    rows = [("c", str(i), i, "tool", a) for i, a in enumerate(
+        [nested(tool_calls.DEPTH), nested(tool_calls.DEPTH + 1), nested(100_000), '"' + "[" * 1000 + '"', '{"\\ud800":{"$ref":"\\udfff"}}', '{"a":"' + "x" * 10_000_000 + '"}', '{"a":1e999999999999999999999}'])]
+    calls = spark.createDataFrame(rows, "conv_id string, call_id string, turn long, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id string, call_id string, turn long, content string")
+    schema = {"type": "object", "properties": {"a": {"maxLength": 5}}, "additionalProperties": False}
+    got = {r.call_id: r for r in tool_calls.link_tool_calls(calls, results, {"tool": schema}).collect()}
+    assert [list(got[str(i)].errors) for i in range(7)] == [
+        [], ["$: nested too deeply"], ["$: nested too deeply"], ["$: not object"], ["$.\\ud800: unknown", "$: unknown reference \\udfff"], ["$.a: too long"], ["$: not JSON"]]
+    assert got["0"].message.startswith('{"arguments":{"a":{"a":') and len(got["5"].message) > 10_000_000
+
+
+def test_scores_of_large_components(spark):
+    big = [2.0**24, 2.0**23, 1.0, 0.0]
+    rows = [(0, big), (1, big), (2, [2.0**24, 0.0, 0.0, 1.0]), (3, [1e300, 0.0, 0.0, 0.0]), (4, [-1e300, 0.0, 0.0, 0.0]), (5, [2.0**22 + 1 / 256, 1.0, 3.0, 5.0]), (6, [1.0, 2.0, 3.0, 4.0]), (7, [float("inf"), 0.0, 0.0, 0.0])]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in pivot_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1).collect()]
+    top = 2**63 - 1
+    ints = {i: [max(-top, min(top, math.floor(256 * x))) for x in v] for i, v in rows if i != 7}
+    for q in ints:
+        scores = {i: max(-top, min(top, sum(a * b for a, b in zip(ints[q], v)))) for i, v in ints.items() if i != q}
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+        assert sorted(g[1:] for g in got if g[0] == q) == [(k + 1, i, scores[i]) for k, i in enumerate(want)]

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -80,7 +81,7 @@ def test_near_duplicates(docs, rows, hot):
     for r in got:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
-    assert sorted((r.n_shingles, r.component_id is None, r.kept) for r in got if r.doc_id is None) == [(0, True, True), (1, False, True)]
+    assert sorted((r.n_shingles, r.component_id is None, r.kept) for r in got if r.doc_id is None) == [(0, True, True), (1, False, False)]
     assert len(set(want.values())) < len(want) - 20
 
 
@@ -289,3 +290,29 @@ def test_range_coder():
     with pytest.raises(ValueError):
         token_coder.unpack(len(ids), symbols, broken, check)
     assert token_coder.unpack(len(ids), symbols, coded, check).tolist() == ids.tolist()
+
+
+def test_rows_without_id_are_linked(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (None, text + " more"), (None, "alone among all the others here"), (3, "x y z"), (None, "x y z"), (None, ""), (5, text + " even more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sketch_dedup.near_duplicates(docs).collect()
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r.doc_id, r.n_shingles), set()).add((r.component_id, r.kept))
+    assert by_text == {(None, 56): {(5, False)}, (None, 57): {(5, False)}, (5, 58): {(5, True)}, (None, 2): {(None, True)}, (3, 1): {(3, True)},
+                       (None, 1): {(3, False)}, (None, 0): {(None, True)}}
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted((r.doc_id is None, r.text[:9]) for r in left.collect()) == [(False, "w0 w1 w2 "), (False, "x y z"), (True, ""), (True, "alone amo")]
+
+
+def test_every_verified_phrase_gives_its_label(spark):
+    keys = [(label, key) for label, _, key in license_scan.TEMPLATES]
+    r = random.Random(4)
+    words = sorted({w for _, t, _ in license_scan.TEMPLATES for w in t.split()})
+    texts = [key for _, key in keys] + [" ".join(r.choice(words) for _ in range(8)) + " " + r.choice(keys)[1] + " " + " ".join(r.choice(words) for _ in range(8)) for _ in range(200)]
+    texts += [" ".join(r.choice(words) for _ in range(30)) for _ in range(200)]
+    got = license_scan.license_labels(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for x in got:
+        want = {label for label, key in keys if f" {key} " in f" {texts[x.doc_id]} "}
+        assert set(filter(None, x.labels.split(","))) == want | set(filter(None, x.base_labels.split(","))), texts[x.doc_id]
