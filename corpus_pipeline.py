@@ -30,11 +30,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least id. Repeated ids keep one row."""
-    marked = sketch_dedup.near_duplicates(docs)
-    gone = marked.filter("not kept").select("doc_id").distinct()
+    """One document of each group of near duplicates: that with the least id. Repeated ids, and texts without id, keep one row."""
+    named = docs.withColumn("node", sketch_dedup.node_id(F.col("doc_id"), F.col("text")))
+    gone = sketch_dedup.near_duplicates(docs).filter("not kept").select("node").distinct()
     first = F.row_number().over(W.Window.partitionBy("key").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("key", _key())
+    left = named.join(gone, "node", "left_anti").withColumn("key", _key())
     return left.withColumn("first", first).filter("first = 1").select(*docs.columns)
 
 
