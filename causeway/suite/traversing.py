@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from causeway.operators import chains as CH
 from causeway.operators import graph as G
 from causeway.operators import hierarchy as H
 from causeway.operators import traverse as T
@@ -136,6 +137,35 @@ def f7(spark, sf):
     return T.causal_chains(e, all_orders(spark, sf)).select("start", F.concat_ws("<", "nodes").alias("path"))
 
 
+#: Items have two causes: their order and their supplier.
+KE2 = """SELECT src, dst, edge_type FROM ke UNION ALL
+  SELECT DISTINCT 'supplier:' || l_suppkey, 'item:' || l_orderkey || ':' || l_linenumber, 'DATA_DEPENDENCY' FROM lineitem"""
+WALKS = """SELECT dst AS start, src AS top, [dst, src] AS nodes, [edge_type] AS types FROM ke2 WHERE starts_with(dst, 'item:')
+  UNION ALL SELECT w.start, e.src, list_append(w.nodes, e.src), list_append(w.types, e.edge_type) FROM walks w JOIN ke2 e ON e.dst = w.top"""
+ENDED = """SELECT *, row_number() OVER (PARTITION BY start ORDER BY list_transform(list_zip(types, nodes[2:]), lambda z: {
+    'p': list_position(['THROWS', 'CONFIG_INFLUENCE', 'DATA_DEPENDENCY', 'CALL_RELATION', 'RUNTIME_TRACE', 'CONTROL_FLOW'], z[1]), 'n': z[2]})) AS rank
+  FROM walks WHERE starts_with(top, 'region:')"""
+
+
+def item_graph(spark, sf):
+    n, e = X.key_graph(spark, sf)
+    item = F.concat_ws(":", F.lit("item"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    more = X.table(spark, sf, "lineitem").select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("src"), item.alias("dst")).distinct()
+    edges = e.select("graph_id", "src", "dst", "edge_type").unionByName(more.select(F.lit(e.first()["graph_id"]).alias("graph_id"), "src", "dst", F.lit("DATA_DEPENDENCY").alias("edge_type")))
+    return edges, edges.filter("dst LIKE 'item:%'").select("graph_id", F.col("dst").alias("node_id")).distinct()
+
+
+@query("f7_chain_counts", cte("SELECT start, count(*) AS chains FROM walks WHERE starts_with(top, 'region:') GROUP BY start", recursive=True, ke2=KE2, walks=WALKS))
+def f7_counts(spark, sf):
+    return CH.count_chains(*item_graph(spark, sf)).select("start", "chains")
+
+
+@query("f7_best_chains", cte("""
+  SELECT start, rank, array_to_string(nodes, '<') AS path, array_to_string(types, '<') AS kinds FROM ended WHERE rank <= 2""", recursive=True, ke2=KE2, walks=WALKS, ended=ENDED))
+def f7_best(spark, sf):
+    return CH.best_chains(*item_graph(spark, sf), k=2).select("start", "rank", F.concat_ws("<", "nodes").alias("path"), F.concat_ws("<", "types").alias("kinds"))
+
+
 @query("f8_root_cause_chain", cte("""
   SELECT seed, node, min(layer) AS depth, bool_and(on_chain) AS on_chain FROM (
     SELECT u.*, true AS on_chain FROM up u JOIN orders ON u.seed = 'order:' || o_orderkey WHERE o_orderstatus = 'F')
