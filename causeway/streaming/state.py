@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+#: Parts into which the variables of one run are dealt, so that a very large run is kept by many tasks.
+PARTS = 64
+#: Batches between two compactions of the table of states.
+COMPACT_EVERY = 20
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_HELD = "values long, first_step long, last_step long, last_value string, mutations long"
+_FIELDS = ["values", "first_step", "last_step", "last_value", "mutations"]
 
 
 def read_changes(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -28,22 +40,127 @@ def variable_state(changes: DataFrame, ts: str | None = None, delay: str = "10 m
         F.max_by("value", "step").alias("last_value"), F.count_if("mutated").alias("mutations"))
 
 
-def keep_updated(state: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Write every updated state to a folder, one sub-folder per batch.
+class _RunState(StatefulProcessor):
+    """The variables of one part of one run as map state; a timer removes it once the run has been idle."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("variables", "var string", _HELD)
+        self.newest = handle.getValueState("newest", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out, newest = {}, self.newest.get()[0] if self.newest.exists() else 0
+        for frame in rows:
+            newest = max(newest, int(frame["ms"].max()))
+            for var, changes in frame.groupby("var", sort=False):
+                last = changes.sort_values(["step", "value"]).iloc[-1]
+                new = (len(changes), int(changes["step"].min()), int(last["step"]), last["value"], int(changes["mutated"].sum()))
+                if self.held.containsKey((var,)):
+                    old = self.held.getValue((var,))
+                    ahead = (new[2], new[3] or "") >= (old[2], old[3] or "")
+                    new = (old[0] + new[0], min(old[1], new[1]), new[2] if ahead else old[2], new[3] if ahead else old[3], old[4] + new[4])
+                self.held.updateValue((var,), new)
+                out[var] = new
+        self.newest.update((newest,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(newest, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        yield self._rows(key, out.items(), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = [(k[0], tuple(v)) for k, v in self.held.iterator()]
+        self.held.clear()
+        self.newest.clear()
+        yield self._rows(key, closed, True)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _rows(key, states, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], var, *state, closed) for var, state in states], columns=["run_id", "var", *_FIELDS, "closed"])
+
+
+def expiring_state(changes: DataFrame, ts: str, delay: str = "10 minutes", idle_seconds: int = 3600) -> DataFrame:
+    """As ``variable_state``, for streams without end: repeated changes count once, idle runs are closed and forgotten.
+
+    A change is told by run, variable and step; one that comes again within
+    ``delay`` is dropped, one later than that is not waited for. A run whose
+    last event lies ``idle_seconds`` behind the watermark is given out with
+    ``closed`` true and its state removed; should it go on, it begins anew.
+    Ties of a step go to the greater value.
+    """
+    changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    once = changes.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["run_id", "var", "step"])
+    dealt = once.select("run_id", "var", "step", "value", F.coalesce("mutated", F.lit(False)).alias("mutated"), ts,
+                        F.unix_millis(ts).alias("ms"), F.pmod(F.xxhash64("var"), F.lit(PARTS)).cast("int").alias("part"))
+    return dealt.groupBy("run_id", "part").transformWithStateInPandas(
+        _RunState(idle_seconds * 1000), f"run_id string, var string, {_HELD}, closed boolean", "Append", "EventTime")
+
+
+def keep_updated(state: DataFrame, path: str, checkpoint: str, available_now: bool = False, mode: str = "update",
+                 compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Write every updated state to a folder, one sub-folder per batch, and merge these now and then.
 
     A batch that runs again after a failure writes to the same sub-folder, so
-    nothing counts twice.
+    nothing counts twice. Every ``compact_every`` batches the newest states
+    are written as one table and the folders that it holds are deleted.
+    ``mode`` is the output mode: ``append`` for ``expiring_state``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % compact_every == compact_every - 1:
+            compact(spark, path, number)
 
-    w = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    w = state.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest state of each variable."""
-    rows = spark.read.parquet(path)
-    fields = [c for c in rows.columns if c not in ("run_id", "var", "batch")]
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _folders(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """Number of the newest whole compacted table (-1: none), and of the batches after it."""
+    fs, target = _files(spark, path)
+    found = {"batch": [], "compacted": []}
+    for entry in fs.listStatus(target):
+        name, _, number = entry.getPath().getName().partition("=")
+        if name in found and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={number}/_SUCCESS")):
+            found[name].append(int(number))
+    newest = max(found["compacted"], default=-1)
+    return newest, sorted(b for b in found["batch"] if b > newest)
+
+
+def _newest(spark: SparkSession, path: str) -> DataFrame:
+    compacted, batches = _folders(spark, path)
+    parts = ([f"{path}/compacted={compacted}"] if compacted >= 0 else []) + [f"{path}/batch={b}" for b in batches]
+    rows = spark.read.parquet(*parts)
+    fields = [c for c in rows.columns if c not in ("run_id", "var")]
     return rows.groupBy("run_id", "var").agg(F.max_by(F.struct(*fields), "batch").alias("s")).select("run_id", "var", "s.*")
+
+
+def compact(spark: SparkSession, path: str, number: int) -> None:
+    """Merge the states up to batch ``number`` into one table, then delete what it holds.
+
+    Folders are only deleted once the table is whole, so it may be done again
+    after a failure at any point.
+    """
+    if _folders(spark, path)[0] < number:
+        _newest(spark, path).write.mode("overwrite").parquet(f"{path}/compacted={number}")
+    fs, target = _files(spark, path)
+    for entry in fs.listStatus(target):
+        name, _, n = entry.getPath().getName().partition("=")
+        if name == "batch" and int(n) <= number or name == "compacted" and int(n) < number:
+            fs.delete(entry.getPath(), True)
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state of each variable: the compacted table and the batches after it."""
+    return _newest(spark, path).drop("batch")

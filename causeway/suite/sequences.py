@@ -308,18 +308,36 @@ def m17(spark, sf):
     return E.run_metrics(e, R.invariants(e, spans(spark, sf)))
 
 
-@query("m2_streamed_state", cte("SELECT * FROM vs", df=DF, vs=VSTATE))
-def m2(spark, sf):
-    ensure_checkpoint_dir(spark)
-    root = "/".join([spark.sparkContext.getCheckpointDir(), "stream", sf.strip("/").replace("/", "-")])
+def changes_path(spark, sf):
+    """The changes of variables with the time of their step, as four files that arrive one after another."""
     d = X.diff(spark, sf)
     first = d.filter("how = 'mutated'").groupBy("run_id", "step").agg(F.min("var").alias("var")).withColumn("mutated", F.lit(True))
-    X.stored(spark, sf, "changes", lambda: d.filter("change IN ('new', 'changed')").join(first, ["run_id", "step", "var"], "left").select(
+    X.stored(spark, sf, "timed_changes", lambda: d.filter("change IN ('new', 'changed')").join(first, ["run_id", "step", "var"], "left").join(
+        X.steps(spark, sf).select("run_id", "step", "ts"), ["run_id", "step"]).select(
         "run_id", "step", "var", F.when(F.col("change") == "changed", F.col("now.value")).otherwise("?").alias("value"),
-        F.coalesce("mutated", F.lit(False)).alias("mutated")).repartition(4, "run_id"))
-    path = X.stored_path(spark, sf, "changes")
-    changes = S.read_changes(spark, path, "run_id string, step long, var string, value string, mutated boolean", 2)
-    q = S.keep_updated(S.variable_state(changes), f"{root}/state", f"{root}/offsets", available_now=True)
+        F.coalesce("mutated", F.lit(False)).alias("mutated"), F.col("ts").cast("timestamp").alias("ts")).repartition(4, "run_id"))
+    return X.stored_path(spark, sf, "timed_changes")
+
+
+CHANGES = "run_id string, step long, var string, value string, mutated boolean, ts timestamp"
+
+
+@query("m2_streamed_state", cte("SELECT * FROM vs", df=DF, vs=VSTATE))
+def m2(spark, sf):
+    path = changes_path(spark, sf)
+    root = "/".join([spark.sparkContext.getCheckpointDir(), "stream", sf.strip("/").replace("/", "-")])
+    q = S.keep_updated(S.variable_state(S.read_changes(spark, path, CHANGES, 2)), f"{root}/state", f"{root}/offsets", available_now=True)
+    q.awaitTermination()
+    return S.latest(spark, f"{root}/state")
+
+
+@query("m2_expiring_state", cte("SELECT *, false AS closed FROM vs", df=DF, vs=VSTATE))
+def m2_expiring(spark, sf):
+    """Files of one trace come in any order of time, so nothing may be late and no run idle."""
+    path = changes_path(spark, sf)
+    root = "/".join([spark.sparkContext.getCheckpointDir(), "expiring", sf.strip("/").replace("/", "-")])
+    state = S.expiring_state(S.read_changes(spark, path, CHANGES, 2), "ts", "20000 days")
+    q = S.keep_updated(state, f"{root}/state", f"{root}/offsets", available_now=True, mode="append", compact_every=2)
     q.awaitTermination()
     return S.latest(spark, f"{root}/state")
 
