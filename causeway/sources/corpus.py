@@ -45,10 +45,12 @@ def _leaves(data, prefix: str = "") -> Iterator[tuple[str, str]]:
 
 
 def flatten_config(documents: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
-    """Leaves of JSON or YAML documents as ``(key, path, value)`` with dotted paths.
+    """Leaves of JSON or YAML documents as ``(key, path, value, error)`` with dotted paths.
 
-    A document is YAML when its key ends in ``.yml`` or ``.yaml``. Documents
-    that cannot be read give no rows.
+    A document is YAML when its key ends in ``.yml`` or ``.yaml``. A document
+    that cannot be read, or is nested too deeply to be, gives one row with
+    the reason in ``error`` and neither path nor value. Lone surrogates are
+    replaced.
     """
     kind = documents.schema[key].dataType.simpleString()
 
@@ -61,12 +63,17 @@ def flatten_config(documents: DataFrame, key: str = "file", text: str = "text")
                     raise RuntimeError("PyYAML is needed to read YAML documents")
                 try:
                     data = yaml.safe_load(t) if is_yaml else json.loads(t)
-                except (ValueError, TypeError) if not is_yaml else (ValueError, TypeError, yaml.YAMLError):
-                    continue
-                rows.extend((k, p, v) for p, v in _leaves(data))
-            yield pd.DataFrame(rows, columns=[key, "path", "value"])
+                    found = [(k, _clean(p), _clean(v), None) for p, v in _leaves(data)]
+                except (ValueError, TypeError, RecursionError, *((yaml.YAMLError,) if yaml else ())) as e:
+                    found = [(k, None, None, _clean(f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))]
+                rows.extend(found)
+            yield pd.DataFrame(rows, columns=[key, "path", "value", "error"])
 
-    return documents.select(key, text).mapInPandas(parse, f"{key} {kind}, path string, value string")
+    return documents.select(key, text).mapInPandas(parse, f"{key} {kind}, path string, value string, error string")
+
+
+def _clean(text: str) -> str:
+    return text.encode("utf-8", "replace").decode()
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:

@@ -237,9 +237,10 @@ def l14(spark, sf):
 
 
 @query("l23_agent_quality", cte("""
-  SELECT run_id, hypotheses, evidence_density, actions, succeeded, failed FROM (SELECT run_id, count(*) AS hypotheses, round(avg(support), 3) AS evidence_density FROM hy GROUP BY run_id)
-  JOIN (SELECT run_id, count(*) AS actions, count(*) FILTER (value > 20) AS succeeded, count(*) FILTER (value <= 20) AS failed FROM ev GROUP BY run_id) USING (run_id)""", df=DF, vs=VSTATE, hy=HY))
+  SELECT run_id, coalesce(hypotheses, 0) AS hypotheses, evidence_density, actions, succeeded, failed
+  FROM (SELECT run_id, count(*) AS hypotheses, round(avg(support), 3) AS evidence_density FROM hy GROUP BY run_id)
+  RIGHT JOIN (SELECT run_id, count(*) AS actions, count(*) FILTER (value > 20) AS succeeded, count(*) FILTER (value <= 20) AS failed FROM ev GROUP BY run_id) USING (run_id)""", df=DF, vs=VSTATE, hy=HY))
 def l23(spark, sf):
     h = A.hypotheses(X.diff(spark, sf), X.steps(spark, sf), **X.fit(spark, sf))
     acts = X.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"), (F.col("value") > 20).alias("success"))
-    return A.agent_quality(h, acts).filter("hypotheses > 0").withColumn("evidence_density", round3(F.col("evidence_density")))
+    return A.agent_quality(h, acts).withColumn("evidence_density", round3(F.col("evidence_density")))

@@ -57,11 +57,23 @@ def a3(spark, sf):
     return R.to_lines(X.table(spark, sf, "documents"), ("doc_id",))
 
 
-@query("a4_config_leaves", "SELECT event_id, 'k' AS path, regexp_extract(props, '([0-9]+)', 1) AS value FROM events")
+@query("a4_config_leaves", "SELECT event_id, 'k' AS path, regexp_extract(props, '([0-9]+)', 1) AS value, CAST(NULL AS VARCHAR) AS error FROM events")
 def a4(spark, sf):
     return R.flatten_config(X.table(spark, sf, "events"), "event_id", "props")
 
 
+@query("a4_nested_and_unreadable", """
+  SELECT event_id, 'event.kind' AS path, event_type AS value, false AS failed FROM events WHERE event_id % 3 <> 0
+  UNION ALL SELECT event_id, 'event.at.user', user_id::VARCHAR, false FROM events WHERE event_id % 3 <> 0
+  UNION ALL SELECT event_id, 'event.at.props.k', regexp_extract(props, '([0-9]+)', 1), false FROM events WHERE event_id % 3 <> 0
+  UNION ALL SELECT event_id, NULL, NULL, true FROM events WHERE event_id % 3 = 0""")
+def a4_nested(spark, sf):
+    """Every event as a nested document; a third of them cut off in the middle."""
+    text = F.format_string('{"event": {"kind": "%s", "at": {"user": %d, "props": %s}}}', "event_type", "user_id", "props")
+    docs = X.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.substring(text, 1, 20)).otherwise(text).alias("text"))
+    return R.flatten_config(docs, "event_id").select("event_id", "path", "value", F.col("error").isNotNull().alias("failed"))
+
+
 def python_files(spark, sf):
     """Assignments of the event trace as source files of at most 1000 steps."""
     s = X.steps(spark, sf).filter(~F.col("code").rlike("^(for|if|while|return|[a-z]+.append)"))

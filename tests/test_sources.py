@@ -17,7 +17,8 @@ def test_corpus_and_config(spark, tmp_path):
     lines = R.read_lines(spark, root)
     assert lines.count() == 5 and lines.filter("line = 3").first()["text"] == "    t = ttl"
     assert R.read_lines(spark, root, R.SCRIPT).filter("text <> ''").count() == 4
-    config = {(r["path"], r["value"]) for r in R.read_config(spark, root).collect()}
+    config = {(r["path"], r["value"]) for r in R.read_config(spark, root).filter("error IS NULL").collect()}
+    assert [r["file"].rsplit("/", 1)[1] for r in R.read_config(spark, root).filter("error IS NOT NULL").collect()] == ["bad.json"]
     assert config == {("auth.ttl", "60"), ("auth.deep.a", "[1, 2]"), ("db.host", "h"), ("on", "True")}
     links = G.config_influence(lines, R.read_config(spark, root)).collect()
     assert [(r["src"], r["dst"].rsplit("/", 1)[1]) for r in links] == [("config:auth.ttl", "auth.py:1")]
@@ -57,3 +58,12 @@ def test_statement_scores(spark):
     }
     lines = spark.createDataFrame([(k,) for k in want], "code string")
     assert {r.code: r.structural for r in L.structural_scores(lines).collect()} == want
+
+
+def test_unreadable_configurations_give_error_rows(spark):
+    from causeway.sources import corpus
+
+    docs = [("a.json", '{"a": {"b": 1, "c": [1, true]}, "d": null}'), ("b.json", "{"), ("c.json", None), ("d.json", '{"x":' * 200_000), ("e.json", '{"s": "\\ud800"}'), ("f.json", "[1]"), ("g.json", "{}")]
+    rows = corpus.flatten_config(spark.createDataFrame(docs, "file string, text string")).collect()
+    assert sorted((r.file, r.path, r.value) for r in rows if r.error is None) == [("a.json", "a.b", "1"), ("a.json", "a.c", "[1, True]"), ("a.json", "d", "None"), ("e.json", "s", "?")]
+    assert {r.file for r in rows if r.error is not None and r.path is None and r.value is None} == {"b.json", "c.json", "d.json"}
