@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from causeway.functions import ordered
 from causeway.functions.values import number
 from causeway.operators.traverse import reach
+from causeway.session import checkpointed
 
 _SPAN = ["run_id", "span_id"]
 _CELL = 64
@@ -305,52 +306,108 @@ RULES = [
 ]
 
 
-def derive(facts: DataFrame, strata=RULES) -> tuple[DataFrame, DataFrame]:
-    """Facts that follow by the rules, stratum after stratum, and what each rests on.
+def _flat(rules) -> list[tuple]:
+    return [r for part in rules for r in (part if isinstance(part, list) else [part])]
 
-    A need is met by the surest fact that fits, so a rule costs one small
-    aggregate per need and no combinations are formed. Provenance keeps that
-    fact; the confidence of a conclusion is the least of its needs.
+
+def strata(rules) -> list[tuple[list[tuple], bool]]:
+    """Rules in groups, each after the groups whose conclusions it needs; with each, whether it feeds itself.
+
+    One rule depends on another that concludes a kind it needs; rules that
+    depend on each other in a circle form one group.
+    """
+    rules = _flat(rules)
+    n = len(rules)
+    made = [{kind for kind, _, _ in produces} for _, _, produces in rules]
+    needed = [{kind for kind, _, _ in needs} for _, needs, _ in rules]
+    after = [[bool(made[j] & needed[i]) for j in range(n)] for i in range(n)]
+    for k in range(n):
+        for i in range(n):
+            if after[i][k]:
+                after[i] = [x or y for x, y in zip(after[i], after[k])]
+    groups, left = [], set(range(n))
+    while left:
+        free = [i for i in left if all(j not in left or after[j][i] for j in range(n) if after[i][j])]
+        now = {i for i in free if not after[i][i]} or {i for i in free if i == min(free) or (after[i][min(free)] and after[min(free)][i])}
+        groups.append(([rules[i] for i in sorted(now)], any(after[i][i] for i in now)))
+        left -= now
+    return groups
+
+
+def _fits(facts: DataFrame, kind: str, relation: str | None) -> DataFrame:
+    fit = facts.filter(F.col("kind") == kind)
+    if relation and relation.startswith("@"):
+        return fit.filter(F.col("subject") == relation[1:])
+    return fit.filter(F.col("relation") == relation) if relation else fit
+
+
+def _conclusions(rules: list[tuple], known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a group of rules concludes from ``known`` in one pass, and the facts behind it.
+
+    Facts are first reduced per kind, relation and subject; every need of
+    every rule reads that table.
+    """
+    kinds = sorted({kind for _, needs, _ in rules for kind, _, _ in needs})
+    reduced = checkpointed(known.filter(F.col("kind").isin(*kinds)).groupBy(*_SPAN, "kind", "relation", "subject").agg(
+        F.max("confidence").alias("c"), F.min("first_step").alias("a"), F.max("last_step").alias("b")))
+    rows, links = None, None
+    for name, needs, produces in rules:
+        bound = any(bind == "same" for _, _, bind in needs) or any("*" in p for p in produces)
+        met, by_need = None, []
+        for i, (kind, relation, bind) in enumerate(needs):
+            by = [*_SPAN, "_s"] if bound and (i == 0 or bind == "same") else _SPAN
+            by_need.append(by)
+            g = _fits(reduced, kind, relation).withColumn("_s", F.col("subject")).groupBy(*by).agg(
+                F.max("c").alias(f"_c{i}"), F.min("a").alias(f"_a{i}"), F.max("b").alias(f"_b{i}"))
+            met = g if met is None else met.join(g, by)
+        n = range(len(needs))
+
+        def many(fn, p):
+            return fn(*[F.col(f"{p}{i}") for i in n]) if len(needs) > 1 else F.col(f"{p}0")
+
+        for kind, subject, relation in produces:
+            sub = F.col("_s") if subject == "*" else F.lit(subject)
+            rel = F.col("_s") if relation == "*" else F.lit(relation)
+            row = met.select(
+                *_SPAN, *(["_s"] if bound else []), F.lit(kind).alias("kind"), sub.alias("subject"), rel.alias("relation"), F.lit(None).cast("string").alias("value"),
+                many(F.least, "_a").alias("first_step"), many(F.greatest, "_b").alias("last_step"), many(F.least, "_c").alias("confidence")).withColumn("id", fact_id())
+            rows = row.drop("_s") if rows is None else rows.unionByName(row.drop("_s"))
+            for (need, asked, _), by in zip(needs, by_need):
+                fit = _fits(known, need, asked).select(*_SPAN, F.col("subject").alias("_s"), F.col("id").alias("source_id"))
+                link = row.select(*by, "id").distinct().join(fit, by).select(*_SPAN, "id", F.lit(name).alias("rule"), "source_id")
+                links = link if links is None else links.unionByName(link)
+    merged = rows.groupBy(*_SPAN, "id", "kind", "subject", "relation", "value").agg(
+        F.min("first_step").alias("first_step"), F.max("last_step").alias("last_step"), F.max("confidence").alias("confidence"))
+    return merged, links
+
+
+def derive(facts: DataFrame, rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """Facts that follow by a table of rules, and everything each rests on.
+
+    ``rules`` holds ``(name, needs, produces)`` as in ``RULES``; the order in
+    which they apply follows from what they need and conclude, so a user's
+    rules may be added in any order. Rules that feed themselves are applied
+    until nothing new follows: conclusions name only subjects that are there
+    or that a rule states, so this ends. A conclusion keeps all facts that
+    meet its needs as sources; its confidence is the least of the surest fact
+    of each need.
     """
     known, derived, sources = facts, None, None
-    for stratum in strata:
-        fresh = None
-        for name, needs, produces in stratum:
-            met, keys = None, list(_SPAN)
-            if any(bind == "same" for _, _, bind in needs) or any("*" in p for p in produces):
-                keys = [*_SPAN, "_s"]
-            for i, (kind, relation, bind) in enumerate(needs):
-                fit = known.filter(F.col("kind") == kind)
-                if relation and relation.startswith("@"):
-                    fit = fit.filter(F.col("subject") == relation[1:])
-                elif relation:
-                    fit = fit.filter(F.col("relation") == relation)
-                by = keys if i == 0 or bind == "same" else _SPAN
-                top = F.max_by(F.col("id"), F.struct("confidence", "id"))
-                g = fit.withColumn("_s", F.col("subject")).groupBy(*by).agg(
-                    F.max("confidence").alias(f"_c{i}"), F.min("first_step").alias(f"_a{i}"), F.max("last_step").alias(f"_b{i}"), top.alias(f"_f{i}"))
-                met = g if met is None else met.join(g, by)
-            n = range(len(needs))
-
-            def many(fn, p):
-                return fn(*[F.col(f"{p}{i}") for i in n]) if len(needs) > 1 else F.col(f"{p}0")
-
-            for kind, subject, relation in produces:
-                sub = F.col("_s") if subject == "*" else F.lit(subject)
-                rel = F.col("_s") if relation == "*" else F.lit(relation)
-                row = met.select(
-                    *_SPAN, F.lit(kind).alias("kind"), sub.alias("subject"), rel.alias("relation"), F.lit(None).cast("string").alias("value"),
-                    many(F.least, "_a").alias("first_step"), many(F.greatest, "_b").alias("last_step"), many(F.least, "_c").alias("confidence"),
-                    F.lit(name).alias("rule"), F.array(*[F.col(f"_f{i}") for i in n]).alias("source_ids"))
-                fresh = row if fresh is None else fresh.unionByName(row)
-        fresh = fresh.withColumn("id", fact_id())
-        links = fresh.select(*_SPAN, "id", "rule", F.explode("source_ids").alias("source_id")).distinct()
-        merged = fresh.groupBy(*_SPAN, "id", "kind", "subject", "relation", "value").agg(
-            F.min("first_step").alias("first_step"), F.max("last_step").alias("last_step"), F.max("confidence").alias("confidence"))
-        derived = merged if derived is None else derived.unionByName(merged)
+    for group, circular in strata(rules):
+        seen = None
+        while True:
+            merged, links = _conclusions(group, known)
+            if circular:
+                merged = checkpointed(merged if seen is None else merged.join(seen.select(*_SPAN, "id"), [*_SPAN, "id"], "left_anti"))
+                if seen is not None and merged.isEmpty():
+                    break
+                seen = merged if seen is None else seen.unionByName(merged)
+            derived = merged if derived is None else derived.unionByName(merged)
+            known = ordered.read_twice(known.unionByName(merged))
+            if not circular:
+                break
         sources = links if sources is None else sources.unionByName(links)
-        known = ordered.read_twice(known.unionByName(merged))
-    return derived, sources
+    return derived, sources.distinct()
 
 
 def contradictions(facts: DataFrame) -> DataFrame:

@@ -270,12 +270,36 @@ def m13(spark, sf):
     return R.contradictions(observed(spark, sf).withColumn("span_id", F.lit(0))).select("run_id", "subject", "type")
 
 
-@query("m14_proofs", cte("""
-  SELECT run_id, CAST(span_id AS VARCHAR) AS span_id, count(*) AS lines FROM (
-    SELECT run_id, span_id, subject, 1 AS x FROM dv WHERE kind = 'shrinks' UNION ALL SELECT run_id, span_id, subject, 2 FROM dv WHERE kind = 'shrinks' UNION ALL SELECT run_id, span_id, subject, 3 FROM dv WHERE kind = 'shrinks')
-  GROUP BY run_id, span_id""", **MG, ob=OB, sh=DE, dv=DV))
+def _rests(conclusion, given, *sources):
+    """Links from one conclusion (as SQL over ``x``) to each of its sources, where all are there."""
+    there = " AND ".join(f"EXISTS (SELECT 1 FROM fi y WHERE y.run_id = x.run_id AND y.span_id = x.span_id AND {w.replace('s.', 'y.')})" for w in (given, *sources))
+    return " UNION ".join(f"""SELECT x.run_id, x.span_id, {conclusion} AS id, s.id AS source_id FROM fi x JOIN fi s ON s.run_id = x.run_id AND s.span_id = x.span_id AND {w}
+      WHERE {given.replace('s.', 'x.')} AND {there}""" for w in (*sources,))
+
+
+FI = """SELECT run_id, span_id, kind, subject, relation, kind || ':' || subject || ':' || relation || ':None' AS id FROM ob
+  UNION SELECT run_id, span_id, kind, subject, relation, kind || ':' || subject || ':' || relation || ':None' FROM dv"""
+UP, DOWN = "s.kind = 'monotonic' AND s.relation = 'increasing'", "s.kind = 'monotonic' AND s.relation = 'decreasing'"
+LOOPS, SHRINKS, MEETS = "s.kind = 'looping'", "s.kind = 'shrinks'", "s.kind = 'converges'"
+RESTS = " UNION ".join([
+    _rests("'shrinks:' || x.subject || '::None'", "s.kind = 'paired' AND s.relation = 'interval'", UP, DOWN),
+    "SELECT run_id, span_id, 'shrinks:' || subject || '::None', 'paired:' || subject || ':interval:None' FROM dv WHERE kind = 'shrinks'",
+    _rests("'invariant:loop_invariant:guard_holds:None'", LOOPS, LOOPS),
+    _rests("'invariant:termination:base_case_reached:None'", "s.kind = 'recursive'", "s.kind = 'recursive'", "s.kind = 'base_case'"),
+    _rests("'invariant:progress:interval_shrinks:None'", SHRINKS, SHRINKS, LOOPS),
+    _rests("'objective:minimize:search_space:None'", SHRINKS, SHRINKS, LOOPS),
+    _rests("'invariant:termination:convergence:None'", MEETS, MEETS, SHRINKS),
+    _rests("'objective:converge:' || x.subject || ':None'", MEETS, SHRINKS),
+    f"SELECT s.run_id, s.span_id, 'objective:converge:' || subject || ':None', id FROM fi s WHERE {MEETS} AND EXISTS (SELECT 1 FROM dv d WHERE d.run_id = s.run_id AND d.span_id = s.span_id AND d.kind = 'shrinks')",
+    _rests("'counterfactual:progress_violated:infinite_loop:None'", "s.kind = 'invariant' AND s.subject = 'progress'", "s.kind = 'invariant' AND s.subject = 'progress'", LOOPS)])
+PROOF = """SELECT run_id, span_id, id, source_id, 1 AS depth FROM rests
+  UNION SELECT p.run_id, p.span_id, p.id, r.source_id, p.depth + 1 FROM proof p JOIN rests r ON r.run_id = p.run_id AND r.span_id = p.span_id AND r.id = p.source_id"""
+
+
+@query("m14_proofs", cte("SELECT run_id, CAST(span_id AS VARCHAR) AS span_id, id, source_id, min(depth) AS depth FROM proof GROUP BY ALL",
+                         recursive=True, **MG, ob=OB, sh=DE, dv=DV, fi=FI, rests=RESTS, proof=PROOF))
 def m14(spark, sf):
-    return R.proofs(derived(spark, sf)[1]).filter(F.col("id").startswith("shrinks:")).groupBy("run_id", "span_id").agg(F.count("*").alias("lines"))
+    return R.proofs(derived(spark, sf)[1])
 
 
 @query("m15_merged_goals", cte("""
