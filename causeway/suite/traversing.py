@@ -304,3 +304,35 @@ def f15b(spark, sf):
   GROUP BY e.dst"""))
 def f15c(spark, sf):
     return H.sibling_counts(X.key_graph(spark, sf)[1]).select(F.col("dst").alias("node_id"), "siblings")
+
+
+@query("f15_siblings", cte("""
+  SELECT a.dst AS node_id, b.dst AS sibling FROM ke a JOIN ke b ON a.src = b.src AND a.dst <> b.dst WHERE starts_with(a.dst, 'nation:') OR starts_with(a.dst, 'supplier:')"""))
+def f15_siblings(spark, sf):
+    """Nations of a region; suppliers of a nation, with its customers."""
+    n, e = X.key_graph(spark, sf)
+    return H.siblings_of(e, n.filter("file_path IN ('nation', 'supplier')")).select("node_id", "sibling")
+
+
+def customer_taxonomy(spark, sf):
+    """Nations and customers as concepts: a customer's family is its segment, its behaviours are the priorities of its orders, its invariants their states."""
+    c, o = X.table(spark, sf, "customer"), X.table(spark, sf, "orders")
+    done = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set("o_orderpriority").alias("b"), F.collect_set("o_orderstatus").alias("i"))
+    none = F.array().cast("array<string>")
+    return c.join(done, "c_custkey", "left").select(
+        F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("concept_id"), F.lit("customer").alias("category"), F.col("c_mktsegment").alias("family"),
+        F.array(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string"))).alias("parents"),
+        F.transform(F.coalesce("b", none), lambda p: F.struct(F.lit("orders").alias("relation"), p.alias("target"))).alias("related"),
+        F.coalesce("b", none).alias("behaviors"), F.coalesce("i", none).alias("invariants"))
+
+
+@query("f15_concepts_asked", """
+  SELECT 'customer:' || c_custkey AS concept_id, 'member' AS asked FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION ALL SELECT DISTINCT 'customer:' || o_custkey, 'behaviour' FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT'
+  UNION ALL SELECT DISTINCT 'customer:' || o_custkey, 'invariant' FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'
+  UNION ALL SELECT DISTINCT 'customer:' || o_custkey, 'orders ' || o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey""")
+def f15_concepts(spark, sf):
+    t = customer_taxonomy(spark, sf)
+    asked = lambda df, what: df.select("concept_id", what.alias("asked"))
+    return (asked(H.members(t, "customer", "BUILDING"), F.lit("member")).unionByName(asked(H.with_behavior(t, "1-URGENT"), F.lit("behaviour")))
+            .unionByName(asked(H.with_invariant(t, "F"), F.lit("invariant"))).unionByName(asked(H.related_by(t, "orders"), F.concat_ws(" ", "relation", "target"))))
