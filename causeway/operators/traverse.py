@@ -119,10 +119,12 @@ def _large(edges, seeds, key, max_depth, carry, parents) -> DataFrame:
         form = form.when(F.sum("up") == 0, "falling").when(F.sum("down") == 0, "rising")
     forms = checkpointed(per_node.groupBy(key).agg(form.otherwise("frontier").alias("form")))
     kinds = [r[0] for r in forms.select("form").distinct().collect()]
-    held, out = seeds.join(forms, key, "left").na.fill("lifted", ["form"]), None
-    for kind in kinds or ["lifted"]:
+    kinds = kinds or ["lifted"]
+    # a key that has no edges but loops goes with any of the others
+    held, out = seeds.join(forms, key, "left").na.fill(kinds[0], ["form"]), None
+    for kind in kinds:
         some = links if len(kinds) <= 1 else links.join(forms.filter(F.col("form") == kind), key, "left_semi")
-        start = held.filter((F.col("form") == kind) | F.lit(not kinds)).drop("form")
+        start = held.filter(F.col("form") == kind).drop("form")
         found = None
         if kind == "lifted":
             found = deep.lifted(some, start, key, max_depth)

@@ -174,3 +174,10 @@ def test_squared_equals_search(spark):
     got = {(x["from_node"], x["to_node"]): x["depth"] for x in deep.squared(links, "run_id").collect()}
     want = {(a, b): d for a in {e[1] for e in edges} for b, d in search(edges, "g", a).items() if a != b}
     assert got == want
+
+
+def test_key_with_loops_only_keeps_its_start(spark):
+    links = spark.createDataFrame([("a", 5, 3), ("a", 5, 2), ("loop", 1, 1)], "run_id string, from_node long, to_node long")
+    seeds = spark.createDataFrame([("a", 5, 5), ("loop", 1, 1)], "run_id string, seed long, node long")
+    got = sorted((r["run_id"], r["node"], r["depth"]) for r in T.reach(links, seeds, local_work=0).collect())
+    assert got == [("a", 2, 1), ("a", 3, 1), ("a", 5, 0), ("loop", 1, 0)]
