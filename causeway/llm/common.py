@@ -14,7 +14,7 @@ from causeway.session import ensure_checkpoint_dir
 _WORK = "work"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     The rows are computed once and found by every executor, so a lost one
@@ -23,7 +23,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{_WORK}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

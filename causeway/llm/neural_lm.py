@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import as_bytes, cut
+from causeway.llm.common import as_bytes, cut, release
 
 TOP = 512
 TAILS = 256
@@ -28,7 +28,9 @@ DIMS = 16
 NOISE = 64
 BATCH = 2048
 RATE = 0.4
-ROUNDS = 1
+#: Rounds of training and averaging, and tokens of a bucket of texts that is trained in one go.
+ROUNDS = 2
+BUCKET = 1 << 20
 SEED = 7
 #: Parameters that are added up together.
 PART = 512
@@ -230,39 +232,71 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("part").slice(0, 1).combine_chunks(), pa.array([total.tobytes()], pa.binary())], ["part", "x"])
 
 
+def _dealt(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``bucket, key, w``: the outputs of each training text, dealt by a hash of its id and outputs, wherever it was read."""
+    buckets = max(1, -(-vocabulary.tokens // BUCKET))
+    sent = chunks.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, known, held, lengths, tokens, hashes, tails = _cells(row, "docs", "known", "held", "lengths", "tokens", "hashes", "tails")
+                w = v.outputs(hashes, tails)[tokens].astype(np.int16)
+                ends = np.cumsum(lengths).tolist()
+                texts = {}
+                for i in np.flatnonzero(held == 0).tolist():
+                    data = w[ends[i] - lengths[i]:ends[i]].tobytes()
+                    texts[xxhash.xxh64_intdigest(data, int(docs[i]) * 2 + int(known[i]) & (1 << 64) - 1)] = data
+                key = np.fromiter(texts, np.uint64, count=len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array((key % np.uint64(buckets)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(list(texts.values()), pa.binary())],
+                                                 ["bucket", "key", "w"])
+
+    kept = chunks.select("docs", "known", "held", "lengths", "tokens", "hashes", "tails")
+    return cut(kept.mapInArrow(run, "bucket int, key long, w binary").repartition("bucket"), "zstd")
+
+
 def _fit(chunks: DataFrame, vocabulary: Vocabulary) -> Model:
-    """Every task trains on all training texts of its chunks from the same start; the mean, weighted by tokens, is the model."""
+    """In each round every bucket trains from the same start; the mean, weighted by tokens, starts the next.
+
+    Buckets depend on the texts alone and are trained in the order of their
+    hashes, so the model doesn't depend on how the input is partitioned.
+    Step sizes (sums of squared gradients) are averaged and carried on too.
+    """
     model = Model(vocabulary.unigram)
+    squares = [np.full_like(p, 1e-3) for p in model.parameters()]
+    dealt = _dealt(chunks, vocabulary)
     for turn in range(ROUNDS):
-        sent = chunks.sparkSession.sparkContext.broadcast((vocabulary, model.vector()))  # fixed size
+        sent = chunks.sparkSession.sparkContext.broadcast((vocabulary.unigram, model.vector(), squares))  # fixed size
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v, start = sent.value
-            mine, weight = Model(v.unigram), 0
+        def run(table: pa.Table) -> pa.Table:
+            unigram, start, steps = sent.value
+            mine, own = Model(unigram), [s.copy() for s in steps]
             mine.load(start)
-            squares = [np.full_like(p, 1e-3) for p in mine.parameters()]
-            for batch in batches:
-                for row in batch.to_pylist():
-                    held, lengths, tokens, hashes, tails = _cells(row, "held", "lengths", "tokens", "hashes", "tails")
-                    w = v.outputs(hashes, tails)[tokens].astype(np.int16)
-                    a, b = _contexts(w, lengths)
-                    use = np.repeat(held == 0, lengths)
-                    rng = np.random.default_rng((SEED, turn, row["chunk"]))
-                    pick = rng.permutation(np.flatnonzero(use))
-                    mine.train(a[pick], b[pick], w[pick], squares, rng)
-                    weight += len(pick)
-            if weight:
-                x = np.append(mine.vector() * np.float64(weight), weight)
-                parts = [x[at:at + PART] for at in range(0, len(x), PART)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "x"])
-
-        trained = chunks.select("chunk", "held", "lengths", "tokens", "hashes", "tails").mapInArrow(run, "part int, x binary")
+            texts = dict(zip(table.column("key").to_pylist(), table.column("w").to_pylist(), strict=True))
+            texts = [np.frombuffer(texts[k], np.int16) for k in sorted(texts)]
+            w = np.concatenate(texts)
+            a, b = _contexts(w, np.fromiter(map(len, texts), np.int64, count=len(texts)))
+            rng = np.random.default_rng((SEED, turn, table.column("bucket")[0].as_py()))
+            pick = rng.permutation(len(w))
+            mine.train(a[pick], b[pick], w[pick], own, rng)
+            x = np.append(np.concatenate([mine.vector(), *(s.ravel() for s in own)]) * np.float64(len(w)), len(w))
+            parts = [x[at:at + PART] for at in range(0, len(x), PART)]
+            return pa.Table.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "x"])
+
+        trained = dealt.groupBy("bucket").applyInArrow(run, "part int, x binary")
         got = trained.groupBy("part").applyInArrow(_added, "part int, x binary").collect()
         if not got:
             break
         total = np.concatenate([np.frombuffer(r.x) for r in sorted(got, key=lambda r: r.part)])
-        model.load((total[:-1] / total[-1]).astype(np.float32))
+        mean = (total[:-1] / total[-1]).astype(np.float32)
+        half = len(mean) // 2
+        model.load(mean[:half])
+        for s in squares:
+            s[...] = mean[half:half + s.size].reshape(s.shape)
+            half += s.size
         sent.unpersist()
+    release(dealt)
     return model
 
 
@@ -276,13 +310,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     both as log10. A word is known by a 64-bit hash. A word without output of
     its own has the share ``(c + 0.1) / (n + 0.1 (v + 1))`` of its class, so
     unseen words of a class count as one. Other columns are ignored; equal
-    rows get equal scores.
+    rows get equal scores. The neural part takes texts that are equal in id and
+    outputs once; counts count all of them. Scores don't depend on how the
+    rows are partitioned, but for rounding.
 
     Words of a chunk of texts are looked up together: their counts come back
     in one joined table per chunk, never as a table of all words.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = cut(base.mapInArrow(_tokenised(folds, held), _TOKENS))
+    chunks = cut(base.mapInArrow(_tokenised(folds, held), _TOKENS), "zstd")
     uses = chunks.select("chunk", "hashes", "tails", "counts").mapInArrow(_uses, "chunk long, h long, tail short, n int")
     counts = cut(uses.groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("c")))
     vocabulary = _vocabulary(counts)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import corpus_pipeline
 import public_tokenizers
 import pytest
@@ -102,6 +103,13 @@ def test_language_model(docs, rows):
     assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
 
 
+def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(neural_lm, "BUCKET", 1500)
+    one, many = ([(r.doc_id, r.n_tokens, r.score) for r in neural_lm.scores(docs.repartition(n)).collect()] for n in (1, 7))
+    keyed = [sorted((-1 if i is None else i, n, round(s, 3)) for i, n, s in got) for got in (one, many)]
+    assert keyed[0] == keyed[1] and len(one) == docs.count()
+
+
 def test_language_model_of_nothing(none):
     assert neural_lm.scores(none).collect() == []
 
@@ -279,6 +287,24 @@ def test_token_files_of_nothing(none):
     assert token_coder.read_blocks(token_coder.write_blocks(none, WORD)).collect() == []
 
 
+def test_runs_are_encoded_like_whole_texts(rows, monkeypatch):
+    """Also where runs are forgotten and texts are taken a few at a time."""
+    monkeypatch.setattr(token_coder, "MEMORY", 40)
+    monkeypatch.setattr(token_coder, "SLICE", 300)
+    rng, t, w = random.Random(5), Tokenizer.from_file(WORD), token_coder.Words(WORD)
+    odd = ["h", "H", "\u0331", "é", "E\u0301", "'s", "12", "x", " ", "\x0b", "\x1c", "\u00a0", "\u2003", "\x85", "<|endoftext|>", "日本", "!", "\x00"]
+    texts = [r[1] for r in rows] + ["".join(rng.choices(odd, k=rng.randrange(12))) for _ in range(400)] + [None]
+    got = []
+    for part in token_coder._slices(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])):
+        ids, sizes = w.encode(part.column(1))
+        got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    ids, sizes = w.encode(pa.array([], pa.string()))
+    assert not len(ids) and not len(sizes)
+    with pytest.raises(ValueError):
+        token_coder.Words(BYTE)
+
+
 def test_range_coder():
     rng = np.random.default_rng(4)
     for n, top in ((0, 2), (1, 5), (2048, 1 << 16), (2049, 300), (70_000, 1 << 20), (5000, 1), (40_960, 40)):
