@@ -36,6 +36,8 @@ END = 1
 MAGIC = b"TIDX\x02"
 _HEAD = struct.Struct("<5sxHIIQII")
 MEMORY = 500_000
+#: White space that parts the runs of a text.
+SPACES = "\t\n\x0b\x0c\r "
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 32)
 _W16, _W48, _LOW32 = _U(16), _U(48), _U((1 << 32) - 1)
@@ -228,6 +230,9 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        x, y = (self.tokenizer.encode(c, add_special_tokens=False).ids for c in "xy")
+        if any(self.tokenizer.encode(f"{c}x{c}y{c}", add_special_tokens=False).ids != x + y for c in SPACES):
+            raise ValueError("the tokenizer file does not drop white space")
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
