@@ -233,7 +233,7 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def _dealt(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``bucket, key, w``: the outputs of each training text, dealt by a hash of its id and outputs, wherever it was read."""
+    """``bucket, lengths, w``: outputs of training texts, dealt by a hash of their id and outputs and in its order, wherever they were read."""
     buckets = max(1, -(-vocabulary.tokens // BUCKET))
     sent = chunks.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size
 
@@ -252,8 +252,15 @@ def _dealt(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((key % np.uint64(buckets)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(list(texts.values()), pa.binary())],
                                                  ["bucket", "key", "w"])
 
-    kept = chunks.select("docs", "known", "held", "lengths", "tokens", "hashes", "tails")
-    return cut(kept.mapInArrow(run, "bucket int, key long, w binary").repartition("bucket"), "zstd")
+    def packed(table: pa.Table) -> pa.Table:
+        texts = dict(zip(table.column("key").to_pylist(), table.column("w").to_pylist(), strict=True))
+        texts = [texts[k] for k in sorted(texts)]
+        lengths = np.fromiter(map(len, texts), np.int64, count=len(texts)) // 2
+        return pa.Table.from_arrays([table.column("bucket").slice(0, 1).combine_chunks(), pa.array([lengths.tobytes()], pa.binary()), pa.array([b"".join(texts)], pa.binary())],
+                                    ["bucket", "lengths", "w"])
+
+    kept = chunks.select("docs", "known", "held", "lengths", "tokens", "hashes", "tails").mapInArrow(run, "bucket int, key long, w binary")
+    return cut(kept.groupBy("bucket").applyInArrow(packed, "bucket int, lengths binary, w binary"), "zstd")
 
 
 def _fit(chunks: DataFrame, vocabulary: Vocabulary) -> Model:
@@ -269,22 +276,22 @@ def _fit(chunks: DataFrame, vocabulary: Vocabulary) -> Model:
     for turn in range(ROUNDS):
         sent = chunks.sparkSession.sparkContext.broadcast((vocabulary.unigram, model.vector(), squares))  # fixed size
 
-        def run(table: pa.Table) -> pa.Table:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unigram, start, steps = sent.value
-            mine, own = Model(unigram), [s.copy() for s in steps]
-            mine.load(start)
-            texts = dict(zip(table.column("key").to_pylist(), table.column("w").to_pylist(), strict=True))
-            texts = [np.frombuffer(texts[k], np.int16) for k in sorted(texts)]
-            w = np.concatenate(texts)
-            a, b = _contexts(w, np.fromiter(map(len, texts), np.int64, count=len(texts)))
-            rng = np.random.default_rng((SEED, turn, table.column("bucket")[0].as_py()))
-            pick = rng.permutation(len(w))
-            mine.train(a[pick], b[pick], w[pick], own, rng)
-            x = np.append(np.concatenate([mine.vector(), *(s.ravel() for s in own)]) * np.float64(len(w)), len(w))
-            parts = [x[at:at + PART] for at in range(0, len(x), PART)]
-            return pa.Table.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "x"])
-
-        trained = dealt.groupBy("bucket").applyInArrow(run, "part int, x binary")
+            for batch in batches:
+                for bucket, lengths, w in zip(*batch.columns, strict=True):
+                    mine, own = Model(unigram), [s.copy() for s in steps]
+                    mine.load(start)
+                    w = np.frombuffer(w.as_buffer(), np.int16)
+                    a, b = _contexts(w, np.frombuffer(lengths.as_buffer(), np.int64))
+                    rng = np.random.default_rng((SEED, turn, bucket.as_py()))
+                    pick = rng.permutation(len(w))
+                    mine.train(a[pick], b[pick], w[pick], own, rng)
+                    x = np.append(np.concatenate([mine.vector(), *(s.ravel() for s in own)]) * np.float64(len(w)), len(w))
+                    parts = [x[at:at + PART] for at in range(0, len(x), PART)]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "x"])
+
+        trained = dealt.select("bucket", "lengths", "w").mapInArrow(run, "part int, x binary")
         got = trained.groupBy("part").applyInArrow(_added, "part int, x binary").collect()
         if not got:
             break
