@@ -141,27 +141,50 @@ def relevant_concepts(concepts: DataFrame, contexts: DataFrame, now: Column, k:
         "context_id", "concept_id", "score", "rank")
 
 
-def _starts(text: Column, size: int = 3) -> Column:
-    """Every substring of up to ``size`` characters, the empty one included."""
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.array(*[text.substr(i, F.lit(n)) for n in range(1, size + 1)]))
-    return F.array_distinct(F.concat(F.flatten(at), F.array(F.lit(""))))
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Every substring of ``size`` characters; none in a shorter or null text."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: text.substr(i, F.lit(size)))
+
+
+def titles_with(titles: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``action_title, concept_id`` of distinct titles that hold a concept's template.
+
+    Each template is looked up by whichever of its substrings of three
+    characters the fewest titles hold (its whole text if it is shorter), so
+    common openings of titles and templates bring no candidates.
+    """
+    size = F.least(F.length("action_template"), F.lit(GRAM))
+    sought = concepts.select("concept_id", "action_template", F.explode(F.array_distinct(
+        F.coalesce(*[F.when(size == n, _grams(F.col("action_template"), n)) for n in range(1, GRAM + 1)]))).alias("gram"))
+    held = titles.select("action_title", F.explode(F.array_distinct(
+        F.concat(*[_grams(F.col("action_title"), n) for n in range(1, GRAM + 1)]))).alias("gram")).join(
+        sought.select("gram").distinct(), "gram", "left_semi")
+    rarest = sought.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("concept_id", "action_template").agg(
+        F.count("*").alias("met"), F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    wanted = sought.groupBy("concept_id", "action_template").agg(F.count("*").alias("met"))
+    whole = rarest.join(wanted, ["concept_id", "action_template", "met"])  # a template with a substring that no title holds is in none
+    return held.join(whole, "gram").filter(F.expr("contains(action_title, action_template)")).select("action_title", "concept_id")
 
 
 def matches(items: DataFrame, concepts: DataFrame, item: str) -> DataFrame:
     """Items (``item, action_type, action_title, tags``) and the concepts they fall under.
 
-    By type, by tag, or by a template inside the title. A title holds a
-    template only if it holds the template's first characters, so all three
-    routes are equi-joins.
+    By type, by tag, or by a template inside the title; an empty template is
+    inside every title. All routes but the last are equi-joins; that one
+    reads a single row of concepts.
     """
     c = concepts.select("concept_id", F.col("action_type").alias("c_type"), "action_template", F.col("tags").alias("c_tags"))
     by_type = items.join(c, items["action_type"] == c["c_type"]).select(item, "concept_id")
     by_tag = items.select(item, F.explode("tags").alias("tag")).join(c.select("concept_id", F.explode("c_tags").alias("tag")), "tag").select(item, "concept_id")
-    titles = items.select("action_title").distinct().withColumn("start", F.explode(_starts(F.col("action_title"))))
-    inside = titles.join(c.select("concept_id", "action_template", F.substring("action_template", 1, 3).alias("start")), "start").filter(
-        F.expr("contains(action_title, action_template)")).select("action_title", "concept_id")
+    inside = titles_with(items.select("action_title").distinct(), c.select("concept_id", "action_template"))
     by_title = items.join(inside, "action_title").select(item, "concept_id")
-    return by_type.unionByName(by_tag).unionByName(by_title).distinct()
+    blank = c.filter("action_template = ''").agg(F.collect_set("concept_id").alias("ids"))  # one row
+    everywhere = items.filter("action_title IS NOT NULL").select(item, F.explode(blank.scalar()).alias("concept_id"))
+    return by_type.unionByName(by_tag).unionByName(by_title).unionByName(everywhere).distinct()
 
 
 def biased_priorities(actions: DataFrame, concepts: DataFrame) -> DataFrame:
