@@ -145,7 +145,21 @@ def l9(spark, sf):
     return N.health(s, found).select("run_id", "total_steps", "max_depth", "severity")
 
 
-@query("l9_findings")
+@query("l9_findings", cte("""
+  SELECT run_id, 'infinite_loop' AS type, 'error' AS severity, CASE WHEN state IS NULL THEN '' ELSE substr(sha256(state), 1, 8) END AS subject, count(*) AS count, min(step) AS first_step FROM (
+    SELECT st.run_id, st.step, CASE WHEN count(sn.var) > 0 THEN CAST(to_json(list({'var': sn.var, 'value': sn.value} ORDER BY sn.var)) AS VARCHAR) END AS state
+    FROM st LEFT JOIN sn USING (run_id, step) GROUP BY st.run_id, st.step)
+  GROUP BY run_id, state HAVING count(*) >= 3
+  UNION ALL SELECT run_id, CASE WHEN top > 5 AND down = 0 THEN 'recursion_no_base' ELSE 'deep_recursion' END, CASE WHEN top > 5 AND down = 0 THEN 'critical' ELSE 'warning' END, 'depth', top, s
+  FROM (SELECT run_id, max(depth) AS top, count(*) FILTER (depth > p) AS up, count(*) FILTER (depth < p) AS down, min(CASE WHEN depth > 3 THEN step END) AS s
+        FROM (SELECT *, lag(depth) OVER (PARTITION BY run_id ORDER BY step) AS p FROM st) GROUP BY run_id)
+  WHERE (top > 5 AND down = 0) OR (top > 3 AND down < up * 0.3)
+  UNION ALL SELECT run_id, 'stale_mutation', 'warning', var, count(*), min(step) FROM df WHERE change IN ('new', 'changed') AND NOT EXISTS (
+    SELECT 1 FROM vr WHERE vr.run_id = df.run_id AND vr.var = df.var) GROUP BY run_id, var HAVING count(*) >= 2
+  UNION ALL SELECT run_id, 'type_instability', 'warning', var || ':' || ty, n, s FROM (
+    SELECT run_id, var, string_agg(DISTINCT type, ',' ORDER BY type) AS ty, count(DISTINCT type) AS n, min(step) AS s FROM sn GROUP BY run_id, var)
+  WHERE n = 2 AND ty NOT IN ('float,int', 'NoneType,int', 'NoneType,str')
+  UNION ALL SELECT run_id, 'performance', 'warning', 'steps', count(*), NULL FROM st GROUP BY run_id HAVING count(*) > 80""", df=DF, vr=VG["vr"]))
 def l9b(spark, sf):
     return N.all_findings(X.steps(spark, sf), X.snapshots(spark, sf), X.diff(spark, sf), 80, **X.fit(spark, sf))
 
