@@ -49,17 +49,23 @@ def m1(spark, sf):
     return derive_events(spark, sf).select("run_id", "step", "event_type", F.array_join(F.array_sort("tags"), ",").alias("tags"), "depth", "call_id", "depth_delta", "target_var")
 
 
-@query("d9_event_edges", cte("""
+EVENT_EDGES = """
   SELECT run_id, src, step AS dst, 'data_dependency' AS kind, target_var AS var FROM (SELECT *, lag(step) OVER (PARTITION BY run_id, target_var ORDER BY step) AS src FROM evt WHERE target_var IS NOT NULL) WHERE src IS NOT NULL
   UNION ALL SELECT run_id, src, step, 'state_change', target_var FROM (SELECT *, lag(step) OVER (PARTITION BY run_id, target_var ORDER BY step) AS src FROM evt WHERE event_type IN ('assignment', 'pointer_move')) WHERE src IS NOT NULL
   UNION ALL SELECT run_id, step, nx, 'control_dependency', target_var FROM (SELECT *, lead(step) OVER (PARTITION BY run_id ORDER BY step) AS nx FROM evt) WHERE event_type = 'condition' AND nx IS NOT NULL
   UNION ALL SELECT c.run_id, c.step, min(r.step), 'recursive_invocation', NULL FROM evt c JOIN evt r ON r.run_id = c.run_id AND r.step > c.step AND r.event_type = 'return'
-    WHERE c.event_type = 'recursive_call' GROUP BY c.run_id, c.step""", evt=EVT))
+    WHERE c.event_type = 'recursive_call' GROUP BY c.run_id, c.step"""
+
+
+@query("d9_event_edges", cte(EVENT_EDGES, evt=EVT))
 def d9(spark, sf):
     return E.event_edges(events(spark, sf), **X.fit(spark, sf)).select("run_id", "src", "dst", "kind", "var")
 
 
-@query("d9_event_roles")
+@query("d9_event_roles", cte("""
+  SELECT run_id, step, CASE WHEN event_type = 'return' THEN 'result' WHEN causes AND NOT caused THEN 'trigger' WHEN causes AND caused THEN 'propagation' WHEN caused THEN 'convergence' ELSE 'isolated' END AS role
+  FROM evt LEFT JOIN (SELECT run_id, step, bool_or(cause) AS causes, bool_or(NOT cause) AS caused
+    FROM (SELECT run_id, src AS step, TRUE AS cause FROM ed UNION ALL SELECT run_id, dst, FALSE FROM ed) GROUP BY run_id, step) USING (run_id, step)""", evt=EVT, ed=EVENT_EDGES))
 def d9b(spark, sf):
     e = events(spark, sf)
     return E.event_roles(e, E.event_edges(e, **X.fit(spark, sf)))
