@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import ordered
 from causeway.functions.values import number, repr_size, round3
 from causeway.operators.facts import _evidence
+from causeway.session import checkpointed
 
 # Archetype | category | canonical id | invariants | behaviours
 ARCHETYPES = """
@@ -216,14 +219,20 @@ def algorithm_archetypes(steps: DataFrame, facts: DataFrame, variables: DataFram
         round3(F.col("confidence")).alias("confidence"), F.array().cast("array<bigint>").alias("evidence"), F.lit(0).cast("long").alias("part"))
 
 
+def identity_parts(steps, snapshots, facts, **kw) -> list[DataFrame]:
+    """All archetypes of all runs, best per archetype and subject, a table per category.
+
+    Categories share no archetype, so each is reduced to its best rows alone.
+    """
+    variables = checkpointed(variable_archetypes(steps, snapshots, **kw))
+    parts = [variables, control_archetypes(steps, facts), structure_archetypes(steps),
+             algorithm_archetypes(steps, facts, variables)]
+    return [deduplicate(p) for p in parts]
+
+
 def identify(steps, snapshots, facts, **kw) -> DataFrame:
     """All archetypes of all runs, best per archetype and subject, ranked by confidence."""
-    variables = variable_archetypes(steps, snapshots, **kw)
-    found = (
-        variables.unionByName(control_archetypes(steps, facts)).unionByName(structure_archetypes(steps))
-        .unionByName(algorithm_archetypes(steps, facts, variables))
-    )
-    return deduplicate(found)
+    return reduce(DataFrame.unionByName, identity_parts(steps, snapshots, facts, **kw))
 
 
 def deduplicate(identities: DataFrame) -> DataFrame:
