@@ -7,6 +7,8 @@ one source of spans. Evidence is kept as counts with first and last step.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,28 +87,34 @@ def temporal_predicates(events: DataFrame, spans: DataFrame) -> DataFrame:
 
 def invariants(events: DataFrame, spans: DataFrame) -> DataFrame:
     """Invariants of each span: ``predicate`` is the category, ``count`` where they hold, ``violated`` where not."""
-    s = _summary(events, spans)
-    depth = inside(events, spans).join(s.select(*_SPAN, "d0", "d1"), _SPAN)
-    deep = F.col("depth") > F.col("d0") + 3
-    d = depth.groupBy(*_SPAN).agg(
-        F.count("*").alias("n"), F.count_if(deep).alias("bad"), F.first("d0").alias("d0"), F.first("d1").alias("d1"), F.min("step").alias("lo"), F.max("step").alias("hi"))
-    wide = F.col("d1") - F.col("d0") > 5
-    bounded = _rows(d, "termination", F.lit("bounded_depth"), F.when(wide, 0.6).otherwise(0.9), F.when(wide, F.col("n") - F.col("bad")).otherwise(F.col("n")),
-                    F.col("lo"), F.col("hi"))
-    bad = d.select(*_SPAN, F.when(wide, F.col("bad")).otherwise(0).alias("violated"), F.lit("bounded_depth").alias("subject"))
-    last_return = _rows(s.filter("returns > 0"), "postcondition", F.lit("result_reachability"), 0.95, F.lit(1), F.col("returns_hi"), F.col("returns_hi"))
-    ordering = _rows(s.filter("op = 'search'"), "loop_invariant", F.lit("bounds_ordering"), 0.8, F.col("tests"), F.col("tests_lo"), F.col("tests_hi"))
-    out = (
-        _of(s, "op IN ('search', 'traverse') AND tests > 0", "loop_invariant", "loop_guard", 0.85, "tests")
-        .unionByName(_of(s, "op = 'search' AND sets >= 2", "progress", "monotonic_progress", 0.75, "sets"))
-        .unionByName(_of(s, "op = 'traverse' AND moves >= 2", "progress", "pointer_advance", 0.8, "moves"))
-        .unionByName(_of(s, "op = 'accumulate' AND grows > 0", "progress", "accumulator_growth", 0.7, "grows"))
-        .unionByName(_of(s, "op = 'traverse' AND moves > 0", "loop_invariant", "pointer_validity", 0.7, "moves"))
-        .unionByName(ordering).unionByName(bounded).unionByName(last_return)
-        .unionByName(_of(s, "bases > 0", "termination", "base_case_reachability", 0.85, "bases"))
-    )
-    depends = F.when(F.col("subject") == "monotonic_progress", F.array(F.lit("loop_guard"))).otherwise(F.array().cast("array<string>"))
-    return out.join(bad, [*_SPAN, "subject"], "left").na.fill(0, ["violated"]).withColumn("depends_on", depends)
+    s = checkpointed(_summary(events, spans))
+    deep = inside(events, spans).join(s.filter("d1 - d0 > 5").select(*_SPAN, "d0"), _SPAN).filter("depth > d0 + 3")
+    s = s.join(deep.groupBy(*_SPAN).agg(F.count("*").alias("bad")), _SPAN, "left").na.fill(0, ["bad"])
+    c, none = F.col, F.array().cast("array<string>")
+
+    def holds(cond, name, subject, confidence, count, first, last, violated=F.lit(0), depends=none):
+        conf = confidence if isinstance(confidence, Column) else F.lit(confidence)
+        return F.when(F.expr(cond), F.struct(
+            F.lit(subject).alias("subject"), F.lit(name).alias("predicate"), conf.cast("double").alias("confidence"),
+            count.cast("long").alias("count"), first.cast("long").alias("first_step"), last.cast("long").alias("last_step"),
+            violated.cast("long").alias("violated"), depends.alias("depends_on")))
+
+    def of(cond, name, subject, confidence, which, **kw):
+        return holds(cond, name, subject, confidence, c(which), c(f"{which}_lo"), c(f"{which}_hi"), **kw)
+
+    found = [
+        of("op IN ('search', 'traverse') AND tests > 0", "loop_invariant", "loop_guard", 0.85, "tests"),
+        of("op = 'search' AND sets >= 2", "progress", "monotonic_progress", 0.75, "sets", depends=F.array(F.lit("loop_guard"))),
+        of("op = 'traverse' AND moves >= 2", "progress", "pointer_advance", 0.8, "moves"),
+        of("op = 'accumulate' AND grows > 0", "progress", "accumulator_growth", 0.7, "grows"),
+        of("op = 'traverse' AND moves > 0", "loop_invariant", "pointer_validity", 0.7, "moves"),
+        of("op = 'search'", "loop_invariant", "bounds_ordering", 0.8, "tests"),
+        holds("true", "termination", "bounded_depth", F.when(F.expr("d1 - d0 > 5"), 0.6).otherwise(0.9), c("events") - c("bad"),
+              c("lo"), c("hi"), violated=c("bad")),
+        holds("returns > 0", "postcondition", "result_reachability", 0.95, F.lit(1), c("returns_hi"), c("returns_hi")),
+        of("bases > 0", "termination", "base_case_reachability", 0.85, "bases"),
+    ]
+    return s.select(*_SPAN, F.inline(F.array_compact(F.array(*found))))
 
 
 # Ends of intervals, pairs that meet, counters left out, names of accumulators, tags that speak for a goal.
@@ -123,16 +131,13 @@ MEMO_NAMES = ["dynamic", "memo", "dp", "cache"]
 def trajectories(snapshots: DataFrame, spans: DataFrame, **kw) -> DataFrame:
     """Course of every numeric variable over each span."""
     v = inside(snapshots.select("run_id", "step", "var", number(F.col("value")).alias("n")).filter("n IS NOT NULL"), spans.select(*_SPAN, "start_step", "end_step"))
-    seen = ordered.running(v, [*_SPAN, "var"], "step", {"_b": ("last", F.col("n"))}, **kw)
-    g = seen.groupBy(*_SPAN, "var").agg(
+    seen = ordered.running(v, [*_SPAN, "var"], "step", {"_b": ("last", F.col("n")), "_i": ("sum", F.lit(1).cast("long"))}, **kw)
+    return seen.groupBy(*_SPAN, "var").agg(
         F.count("*").alias("n"), F.min("step").alias("first_step"), F.max("step").alias("last_step"),
         F.min_by("n", "step").alias("first"), F.max_by("n", "step").alias("last"),
         F.coalesce(F.bool_and(F.col("n") >= F.col("_b")), F.lit(True)).alias("up"), F.coalesce(F.bool_and(F.col("n") <= F.col("_b")), F.lit(True)).alias("down"),
-        # of the steps at which the value moved, the last: nothing after it differs
-        F.max(F.when(F.col("n") != F.col("_b"), F.col("step"))).alias("_moved"))
-    still = seen.join(g.select(*_SPAN, "var", "_moved"), [*_SPAN, "var"]).groupBy(*_SPAN, "var").agg(
-        F.count_if(F.col("_moved").isNull() | (F.col("step") >= F.col("_moved"))).alias("still"))
-    return g.drop("_moved").join(still, [*_SPAN, "var"])
+        # rows from the last at which the value moved: nothing after it differs
+        (F.count("*") - F.coalesce(F.max(F.when(F.col("n") != F.col("_b"), F.col("_i"))), F.lit(0))).alias("still"))
 
 
 def _paired(t: DataFrame, pairs) -> DataFrame:
@@ -143,22 +148,34 @@ def _paired(t: DataFrame, pairs) -> DataFrame:
     return x.join(t.select(*_SPAN, F.col("var").alias("b"), side.alias("y")), [*_SPAN, "b"])
 
 
-def _goal(df: DataFrame, kind: str, target: Column, confidence: Column | float) -> DataFrame:
+def _goal(cond: Column, kind: str, target: Column, confidence: Column | float) -> Column:
     conf = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    return df.select(*_SPAN, F.lit(kind).alias("goal"), target.alias("target"), conf.alias("confidence"))
+    return F.when(cond, F.struct(F.lit(kind).alias("goal"), target.alias("target"), conf.alias("confidence")))
+
+
+def _said(df: DataFrame, *goals_: Column) -> DataFrame:
+    return df.select(*_SPAN, F.inline(F.array_compact(F.array(*goals_))))
 
 
 def goals(events: DataFrame, courses: DataFrame, spans: DataFrame, intervals=INTERVALS, meeting=MEETING) -> DataFrame:
     """What each span seems to aim at, from the courses of its variables and its tags."""
-    p = _paired(courses, intervals).filter("(x.n >= 2 AND x.up) OR (y.n >= 2 AND y.down)")
-    both = (F.col("x.n") >= 2) & F.col("x.up") & (F.col("y.n") >= 2) & F.col("y.down")
-    narrow = _goal(p, "minimize", F.concat(F.lit("["), "a", F.lit(", "), "b", F.lit("]")), F.when(both, 0.85).otherwise(0.65))
-    falls = _goal(courses.filter((F.col("n") >= 3) & F.col("down") & ~F.col("var").isin(COUNTERS)), "minimize", F.col("var"), 0.6)
-    rises = _goal(courses.filter("n >= 3 AND up"), "maximize", F.col("var"), F.when(F.lower("var").isin(ACCUMULATORS), 0.8).otherwise(0.55))
-    d0, d1 = F.abs(F.col("x.first") - F.col("y.first")), F.abs(F.col("x.last") - F.col("y.last"))
-    meet = _paired(courses, meeting).filter("x.n >= 2 AND y.n >= 2").filter((d0 > 0) & (d1 < d0 * 0.3))
-    meets = _goal(meet, "converge", F.concat_ws("=", "a", "b"), 0.85)
-    fixed = _goal(courses.filter("n >= 4 AND still >= 3 AND first <> last"), "converge", F.concat("var", F.lit("_fixed_point")), 0.7)
+    return reduce(DataFrame.unionByName, goal_parts(events, courses, spans, intervals, meeting))
+
+
+def goal_parts(events: DataFrame, courses: DataFrame, spans: DataFrame, intervals=INTERVALS, meeting=MEETING) -> list[DataFrame]:
+    """The goals of all spans by what speaks for them: intervals, single variables, meetings, tags."""
+    c, var = F.col, F.col("var")
+    both = (c("x.n") >= 2) & c("x.up") & (c("y.n") >= 2) & c("y.down")
+    narrow = _said(_paired(courses, intervals), _goal(
+        F.expr("(x.n >= 2 AND x.up) OR (y.n >= 2 AND y.down)"), "minimize", F.concat(F.lit("["), "a", F.lit(", "), "b", F.lit("]")),
+        F.when(both, 0.85).otherwise(0.65)))
+    alone = _said(
+        courses, _goal(F.expr("n >= 3 AND down") & ~var.isin(COUNTERS), "minimize", var, 0.6),
+        _goal(F.expr("n >= 3 AND up"), "maximize", var, F.when(F.lower("var").isin(ACCUMULATORS), 0.8).otherwise(0.55)),
+        _goal(F.expr("n >= 4 AND still >= 3 AND first <> last"), "converge", F.concat("var", F.lit("_fixed_point")), 0.7))
+    d0, d1 = F.abs(c("x.first") - c("y.first")), F.abs(c("x.last") - c("y.last"))
+    meets = _said(_paired(courses, meeting), _goal(
+        F.expr("x.n >= 2 AND y.n >= 2") & (d0 > 0) & (d1 < d0 * 0.3), "converge", F.concat_ws("=", "a", "b"), 0.85))
 
     def some(names):
         return F.bool_or(F.arrays_overlap("tags", F.array(*[F.lit(n) for n in names])))
@@ -168,12 +185,10 @@ def goals(events: DataFrame, courses: DataFrame, spans: DataFrame, intervals=INT
     named = F.lit(False)
     for n in MEMO_NAMES:
         named = named | F.lower(F.coalesce("pattern", F.lit(""))).contains(n)
-    memo = _goal(t.filter(F.col("memo") | named), "compress", F.lit("state_space"), F.when(F.col("memo") & named, 0.8).otherwise(0.6))
-    return (
-        narrow.unionByName(falls).unionByName(rises).unionByName(meets).unionByName(fixed)
-        .unionByName(_goal(t.filter("sorts"), "preserve", F.lit("ordering"), 0.75))
-        .unionByName(_goal(t.filter("shapes"), "preserve", F.lit("structural_invariant"), 0.7)).unionByName(memo)
-    )
+    tagged = _said(
+        t, _goal(c("sorts"), "preserve", F.lit("ordering"), 0.75), _goal(c("shapes"), "preserve", F.lit("structural_invariant"), 0.7),
+        _goal(c("memo") | named, "compress", F.lit("state_space"), F.when(c("memo") & named, 0.8).otherwise(0.6)))
+    return [narrow, alone, meets, tagged]
 
 
 # What is lost without an invariant of each category; without a goal: severity, factor and loss.

@@ -126,6 +126,10 @@ IE = "SELECT e.*, p.span_id, p.op, p.terminates, p.pattern FROM evt e JOIN sp p
 
 
 def spans(spark, sf):
+    return X.stored(spark, sf, "spans", lambda: derive_spans(spark, sf))
+
+
+def derive_spans(spark, sf):
     s = F.floor(F.col("step") / 20).cast("long")
     g = X.steps(spark, sf).groupBy("run_id", s.alias("span_id")).agg(F.min("step").alias("start_step"), F.max("step").alias("end_step"))
     n = F.col("span_id")
@@ -167,7 +171,7 @@ IV = """
 
 @query("m7_invariants", cte("SELECT * FROM iv", evt=EVT, sp=SP, ie=IE, iv=IV))
 def m7(spark, sf):
-    return R.invariants(events(spark, sf), spans(spark, sf)).select("run_id", "span_id", "predicate", "subject", "confidence", "count", "violated")
+    return invariants(spark, sf).select("run_id", "span_id", "predicate", "subject", "confidence", "count", "violated")
 
 
 PAIRS = [("view", "click"), ("signup", "error")]
@@ -189,11 +193,15 @@ MG = {"evt": EVT, "sp": SP, "ie": IE, "iv": IV, "co": CO, "pq": PQ, "go": GO}
 
 
 def courses(spark, sf):
-    return R.trajectories(X.snapshots(spark, sf), spans(spark, sf), **X.fit(spark, sf))
+    return X.stored(spark, sf, "courses", lambda: R.trajectories(X.snapshots(spark, sf), spans(spark, sf), **X.fit(spark, sf)))
 
 
 def aims(spark, sf):
-    return R.goals(events(spark, sf), courses(spark, sf), spans(spark, sf), PAIRS, PAIRS)
+    return X.stored(spark, sf, "goals", lambda: R.goal_parts(events(spark, sf), courses(spark, sf), spans(spark, sf), PAIRS, PAIRS))
+
+
+def invariants(spark, sf):
+    return X.stored(spark, sf, "invariants", lambda: R.invariants(events(spark, sf), spans(spark, sf)))
 
 
 @query("m8_goals", cte("SELECT * FROM go", **MG))
@@ -210,7 +218,7 @@ CFS = """
 
 @query("m9_counterfactuals", cte("SELECT run_id, span_id, condition, affected, severity, round(max(confidence), 3) AS confidence FROM cf GROUP BY ALL", **MG, cf=CFS))
 def m9(spark, sf):
-    return R.counterfactuals(R.invariants(events(spark, sf), spans(spark, sf)), aims(spark, sf)).select(
+    return R.counterfactuals(invariants(spark, sf), aims(spark, sf)).select(
         "run_id", "span_id", "condition", "affected", "severity", round3(F.col("confidence")).alias("confidence"))
 
 
@@ -325,7 +333,7 @@ def m15(spark, sf):
 def m16(spark, sf):
     e, sp = events(spark, sf), spans(spark, sf)
     g = aims(spark, sf)
-    iv = R.invariants(e, sp)
+    iv = invariants(spark, sf)
     acts = R.suggest_actions(g, iv, R.counterfactuals(iv, g), R.motifs(e, g, sp))
     return acts.withColumn("priority", round3(F.col("priority")))
 
@@ -335,7 +343,7 @@ def m16(spark, sf):
     (SELECT coalesce(sum(violated), 0) FROM iv WHERE iv.run_id = evt.run_id) AS violations FROM evt GROUP BY run_id""", evt=EVT, sp=SP, ie=IE, iv=IV))
 def m17(spark, sf):
     e = events(spark, sf)
-    return E.run_metrics(e, R.invariants(e, spans(spark, sf)))
+    return E.run_metrics(e, invariants(spark, sf))
 
 
 def changes_path(spark, sf):

@@ -34,3 +34,13 @@ def test_tables_written_in_parts_are_whole(spark):
     # categories reduced apart give what the reduction of all of them gives
     assert sorted(map(str, deduplicate(ids).collect())) == sorted(map(str, ids.collect()))
     assert ids.count() == identify(t.steps, t.snapshots, facts, **kw).count()
+
+
+def test_actions_read_goals_and_invariants_that_are_written(spark):
+    from causeway.suite import QUERIES, load
+
+    load()
+    # goals, courses and invariants used to be planned anew inside each of their readers
+    assert joins(QUERIES["m10_motifs"](spark, SF)) <= 4
+    assert joins(QUERIES["m9_counterfactuals"](spark, SF)) == 0
+    assert joins(QUERIES["m16_suggested_actions"](spark, SF)) <= 6
