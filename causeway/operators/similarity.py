@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.values import jaccard, round3
 from causeway.operators import hierarchy as H
+from causeway.session import checkpointed
 
 _SETS = ["structures", "control", "roles", "invariant_set"]
 PROFILE = ["algorithm", "complexity", *_SETS]
@@ -144,10 +145,12 @@ def compare(fp: DataFrame, pairs: DataFrame, taxonomy: DataFrame | None = None)
         "pair_id", F.concat_ws("|", "run_a", "run_b"))
     sets = {"structure": "structures", "control": "control", "semantic_role": "roles", "invariant": "invariant_set", "behavior": "behaviors"}
     if taxonomy is not None:
-        scores = concept_scores(taxonomy)
+        # written once: every vector reads both, and joins p to what it found
+        scores, base = checkpointed(concept_scores(taxonomy)), checkpointed(p)
+        p = base
         for name, col in sets.items():
             a, b = F.col(f"a.{col}"), F.col(f"b.{col}")
-            only = p.select("pair_id", F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"))
+            only = base.select("pair_id", F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"))
             p = p.join(bridged(only, scores).withColumnRenamed("bridge", f"_{name}"), "pair_id", "left")
     same = F.col("a.algorithm") == F.col("b.algorithm")
     unknown = (F.col("a.algorithm") == "unknown") | (F.col("b.algorithm") == "unknown")
