@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import ordered
+from causeway.functions.ordered import read_twice
 from causeway.functions.values import round3
+from causeway.operators.deep import met
+from causeway.session import checkpointed
 
 
 def _hours(now: Column, then: Column) -> Column:
@@ -125,20 +128,29 @@ def relevant_concepts(concepts: DataFrame, contexts: DataFrame, now: Column, k:
     """
     age = _hours(now, F.col("last_used"))
     base = F.col("confidence") * F.when(age < 24, 1.2).when(age > 168, 0.8).otherwise(1.0) * F.when(F.col("evidence_count") > 10, 1.3).otherwise(1.0)
-    c = concepts.select("concept_id", F.col("action_type").alias("c_type"), F.col("tags").alias("c_tags"), base.alias("base"))
+    c = read_twice(concepts.select("concept_id", F.col("action_type").alias("c_type"), F.col("tags").alias("c_tags"), base.alias("base")))
     top = c.orderBy(F.col("base").desc(), "concept_id").limit(k).collect()  # k rows
-    by_type = contexts.join(c.withColumn("action_type", F.col("c_type")), "action_type")
-    by_tag = contexts.withColumn("tag", F.explode("tags")).join(c.withColumn("tag", F.explode("c_tags")), "tag")
+    # contexts alike in type and tags have the same concepts, so each kind of context is scored once
+    asked = contexts.select("context_id", "action_type", "tags", F.to_json(F.struct("action_type", "tags")).alias("profile"))
+    kinds = read_twice(asked.groupBy("profile").agg(F.first("action_type").alias("action_type"), F.first("tags").alias("tags")))
+    by_type = kinds.join(c.withColumn("action_type", F.col("c_type")), "action_type")
+    by_tag = kinds.withColumn("tag", F.explode("tags")).join(c.withColumn("tag", F.explode("c_tags")), "tag")
     fixed = F.array(*[F.struct(F.lit(r.concept_id).alias("concept_id"), F.lit(r.c_type).alias("c_type"), F.array(*map(F.lit, r.c_tags)).cast("array<string>").alias("c_tags"),
                                F.lit(r.base).cast("double").alias("base")) for r in top])
-    always = contexts.withColumn("t", F.explode(fixed)).select("*", "t.*") if top else by_type.limit(0)
-    cols = ["context_id", "action_type", "tags", "concept_id", "c_type", "c_tags", "base"]
-    met = by_type.select(*cols).unionByName(by_tag.select(*cols)).unionByName(always.select(*cols)).dropDuplicates(["context_id", "concept_id"])
+    always = kinds.withColumn("t", F.explode(fixed)).select("*", "t.*") if top else by_type.limit(0)
+    cols = ["profile", "action_type", "tags", "concept_id", "c_type", "c_tags", "base"]
+    found = by_type.select(*cols).unionByName(by_tag.select(*cols)).unionByName(always.select(*cols)).dropDuplicates(["profile", "concept_id"])
     shared = F.size(F.array_intersect("tags", "c_tags"))
     score = F.col("base") * F.when(F.col("c_type") == F.col("action_type"), 1.5).otherwise(1.0) * (1 + 0.2 * F.greatest(shared, F.lit(0)))
-    w = Window.partitionBy("context_id").orderBy(F.col("score").desc(), "concept_id")
-    return met.withColumn("score", round3(score)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
-        "context_id", "concept_id", "score", "rank")
+    best = checkpointed(_best(found.withColumn("score", round3(score)), "profile", k).select("profile", "concept_id", "score"))
+    told = met(read_twice(asked.select("context_id", "profile")), best, "profile")
+    # an identifier with several kinds of context has the best of all
+    return _best(told.groupBy("context_id", "concept_id").agg(F.max("score").alias("score")), "context_id", k).select("context_id", "concept_id", "score", "rank")
+
+
+def _best(scored: DataFrame, by: str, k: int) -> DataFrame:
+    w = Window.partitionBy(by).orderBy(F.col("score").desc(), "concept_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 GRAM = 3
