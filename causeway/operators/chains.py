@@ -15,11 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.operators.deep import met
 from causeway.operators.traverse import LOCAL_WORK, priority
 from causeway.session import checkpointed
 
 #: Counts beyond this stay at it; ranks below it are exact.
 MOST = 10**18
+#: Settled nodes sent to the edges; more of them meet the edges in a shuffle.
+FEW = 10_000
 _COUNT = "decimal(38,0)"
 
 
@@ -34,24 +37,28 @@ def _followed(cedges: DataFrame, edge_types: list[str] | None) -> DataFrame:
 def _settled(edges: DataFrame) -> DataFrame:
     """``(graph_id, node, chains)`` from the sources up; a node is settled once all nodes behind it are."""
     edges = checkpointed(edges)
+    led = edges.select("graph_id", F.col("src").alias("node")).distinct().withColumn("leads", F.lit(True))
     need = edges.groupBy("graph_id", "node").agg(F.count("*").alias("need"))
+    asked = checkpointed(need.join(led, ["graph_id", "node"], "left"))
     one = F.lit(1).cast(_COUNT)
     # a source counts one chain for each edge that leads to it; any other node without followed edges counts none
     dead = edges.filter("NOT ends").select("graph_id", F.col("src").alias("node")).distinct().join(need, ["graph_id", "node"], "left_anti")
     fresh = checkpointed(edges.filter("ends").select("graph_id", F.col("src").alias("node"), one.alias("chains")).distinct()
                          .unionByName(dead.withColumn("chains", F.lit(0).cast(_COUNT))))
-    waiting, done = None, []
-    while not fresh.isEmpty():
-        came = fresh.withColumnRenamed("node", "src").join(edges, ["graph_id", "src"]).groupBy("graph_id", "node").agg(
+    waiting, done = None, [fresh]
+    while (n := fresh.count()) > 0:
+        settled = fresh.withColumnRenamed("node", "src")
+        came = (F.broadcast(settled) if n <= FEW else settled).join(edges, ["graph_id", "src"]).groupBy("graph_id", "node").agg(
             F.sum("chains").cast(_COUNT).alias("chains"), F.count("*").alias("met"))
         if waiting is not None:
             came = came.unionByName(waiting).groupBy("graph_id", "node").agg(F.sum("chains").cast(_COUNT).alias("chains"), F.sum("met").alias("met"))
         came = came.withColumn("chains", F.least("chains", F.lit(MOST).cast(_COUNT)))
-        step = checkpointed(came.join(need, ["graph_id", "node"]))
-        done.append(fresh)
-        fresh = step.filter("met = need").select("graph_id", "node", "chains")
+        step = checkpointed(came.join(asked, ["graph_id", "node"]))
+        done.append(step.filter("met = need").select("graph_id", "node", "chains"))
+        # a node that no edge leads to another from settles nothing further
+        fresh = step.filter("met = need AND leads").select("graph_id", "node", "chains")
         waiting = step.filter("met < need").select("graph_id", "node", "chains", "met")
-    out = done[0] if done else fresh
+    out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
@@ -143,7 +150,7 @@ def best_chains(cedges: DataFrame, starts: DataFrame, k: int = 1, edge_types: li
     walk = walk.select("*", F.col("start").alias("at"), (F.col("rank") - 1).cast(_COUNT).alias("left"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("types"))
     done = None
     while True:
-        on = walk.join(ways, ["graph_id", "at"]).filter("left >= ahead AND left < ahead + n")
+        on = met(walk, ways, "graph_id", "at").filter("left >= ahead AND left < ahead + n")
         step = checkpointed(on.select("graph_id", "start", "rank", F.col("src").alias("at"), (F.col("left") - F.col("ahead")).cast(_COUNT).alias("left"),
                                       F.concat("nodes", F.array("src")).alias("nodes"), F.concat("types", F.array("edge_type")).alias("types"), "ends"))
         ended = step.filter("ends").select("graph_id", "start", "rank", "nodes", "types")
