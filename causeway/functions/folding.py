@@ -8,9 +8,11 @@ text state between chunks, so no task ever holds more than one chunk of a run.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,46 @@ def fold_runs(
     return out
 
 
+def settle_keys(df: DataFrame, keys: list[str], reads: list[str], settle: Callable[..., list[tuple[int, Any]]], gives: str) -> DataFrame:
+    """Rows of each key that ``settle(*reads)`` names, with its value in column ``gives``.
+
+    For keys that fit in memory one by one, such as runs of one chunk. Rows are
+    shuffled and sorted by key and read in batches that hold many keys, so that
+    small keys cost no table of their own.
+    """
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            starts = _starts(rows, keys)
+            yield settled(rows, starts)
+            held = rows.slice(starts[-1]) if starts else None
+        if held is not None:
+            yield settled(held, [0, held.num_rows])
+
+    def settled(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+        columns = [rows.column(c).to_pylist() for c in reads]
+        picked, values = [], []
+        for a, b in zip(starts, starts[1:]):
+            for i, value in settle(*[c[a:b] for c in columns]):
+                picked.append(a + i)
+                values.append(value)
+        out = rows.take(pa.array(picked, pa.int64()))
+        at = out.schema.get_field_index(gives)
+        return out.set_column(at, out.schema.field(at), pa.array(values, out.schema.field(at).type))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(along, df.schema)
+
+
+def _starts(rows: pa.RecordBatch, keys: list[str]) -> list[int]:
+    """Where each key begins in sorted rows."""
+    if not rows.num_rows:
+        return []
+    now = [rows.column(k).to_pylist() for k in keys]
+    at = list(zip(*now))
+    return [0, *[i for i in range(1, len(at)) if at[i] != at[i - 1]]]
+
+
 def _split(schema: str) -> list[str]:
     parts, depth, cur = [], 0, ""
     for ch in schema:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import ordered
-from causeway.functions.folding import fold_runs
+from causeway.functions.folding import fold_runs, settle_keys
 from causeway.functions.values import round3
 
 # Attributes that lead along a structure, methods of lists, names of node classes, first values.
@@ -88,7 +88,7 @@ def typed_events(steps: DataFrame, snapshots: DataFrame, functions: DataFrame |
     variable then holds a first value.
     """
     rows = steps.select("run_id", "step", "code", "depth", "call_id").join(line_events(steps), "code")
-    held = snapshots.select("run_id", "step", F.col("var").alias("target_var"), F.col("value").alias("_value"))
+    held = snapshots.filter(F.col("value").isin(INITIAL)).select("run_id", "step", F.col("var").alias("target_var"), F.lit(True).alias("_first"))
     rows = rows.join(held, ["run_id", "step", "target_var"], "left")
     if functions is not None:
         own = functions.select("run_id", "callee").distinct().withColumn("_own", F.lit(True))
@@ -106,7 +106,7 @@ def typed_events(steps: DataFrame, snapshots: DataFrame, functions: DataFrame |
     t = (
         F.when(created, tags("node_creation", "heap_alloc")).when(recursive & (kind == "assignment"), tags("recursion", "function_call"))
         .when(recursive & (kind == "function_call"), tags("recursion")).when(recursive & (kind == "return"), tags("return", "recursion"))
-        .when(plain & F.col("_value").isin(INITIAL), tags("initialization")).otherwise(F.col("tags"))
+        .when(plain & F.col("_first"), tags("initialization")).otherwise(F.col("tags"))
     )
     k = F.when(recursive & kind.isin("assignment", "function_call") & ~created, "recursive_call").otherwise(kind)
     out = rows.select("run_id", "step", k.alias("event_type"), t.alias("tags"), "depth", "call_id", "target_var", "via")
@@ -236,65 +236,78 @@ def fits(node: Node) -> Column:
 def candidates(events: DataFrame, patterns=BUILTIN, window: int = 30, chunk: int | None = ordered.CHUNK) -> DataFrame:
     """Partial and whole matches of every pattern from every event.
 
-    Each event becomes a word of bits, one per kind of node it fits; the next
-    ``window - 1`` words form a text in which a path of nodes is a regular
-    expression. A missing node uses up the window, so matches are prefixes of a
-    path, and only the shortest text for a prefix counts.
+    Each event has a text of bits per kind of node, one bit for each of the next
+    ``window - 1`` events. The next event that fits a node is the next ``1`` of
+    its text, so a path is a chain of look-ups, made once for paths that begin
+    alike. A missing node uses up the window, so matches are prefixes of a path.
     """
     kinds = list(dict.fromkeys(n.specs for p in patterns for n in p.nodes))
-    where = {s: i for i, s in enumerate(kinds)}
-    width = len(kinds)
+    bits = {s: f"_b{i}" for i, s in enumerate(kinds)}
     probe = {s: next(n for p in patterns for n in p.nodes if n.specs == s) for s in kinds}
-    word = F.concat(*[F.when(fits(probe[s]), "1").otherwise("0") for s in kinds])
-    rows = ordered.with_halo(events.select("run_id", "step", word.alias("w")), "step", after=window - 2, chunk=chunk)
+    fit = [F.when(fits(probe[s]), "1").otherwise("0").alias(bits[s]) for s in kinds]
+    rows = ordered.with_halo(events.select("run_id", "step", *fit), "step", after=window - 2, chunk=chunk)
     w = Window.partitionBy("run_id", "_chunk").orderBy("step").rowsBetween(0, window - 2)
-    text = rows.withColumn("text", F.array_join(F.collect_list("w").over(w), "")).filter("NOT _halo").select("run_id", "step", "text")
-
-    def token(specs, bit):
-        i = where[specs]
-        return f"[01]{{{i}}}{bit}[01]{{{width - i - 1}}}"
+    text = rows.select("run_id", "step", "_halo", *[F.array_join(F.collect_list(b).over(w), "").alias(b) for b in bits.values()])
+    text = text.filter("NOT _halo").drop("_halo")
+
+    # the place where each distinct beginning of a path ends, one more node per round
+    paths = [tuple(next(n for n in p.nodes if n.name == name).specs for name in path) for p in patterns for path in p.paths]
+    places: dict[tuple, str] = {}
+    for n in range(1, max(map(len, paths), default=0) + 1):
+        fresh = [b for b in dict.fromkeys(path[:n] for path in paths if len(path) >= n)]
+        added = []
+        for begun in fresh:
+            places[begun] = f"_p{len(places)}"
+            look = f"locate('1', {bits[begun[-1]]}, {places[begun[:-1]]} + 1)" if n > 1 else f"locate('1', {bits[begun[-1]]})"
+            added.append(F.expr(f"CASE WHEN {places[begun[:-1]]} > 0 THEN {look} ELSE 0 END" if n > 1 else look).alias(places[begun]))
+        text = text.select("*", *added)
 
     found = []
     for p in patterns:
         nodes = {n.name: n for n in p.nodes}
-        rates = []
         for path in p.paths:
-            total, got, regex, positions, roles = sum(nodes[n].weight for n in path), 0.0, "^", [], set()
+            total, got, begun, ends, roles = sum(nodes[n].weight for n in path), 0.0, (), [], set()
             for name in path:
                 node = nodes[name]
-                regex += f"(?:{token(node.specs, 0)})*{token(node.specs, 1)}"
+                begun += (node.specs,)
                 got += node.weight
                 roles = roles | {node.role}
-                end = (F.length(F.regexp_extract("text", regex, 0)) / width).cast("int")
-                positions = [*positions, end]
-                rates.append((got / total, len(roles) / len(p.nodes), list(positions)))
-        for share, full, ends in rates:
-            score = F.lit(share)
-            for a, b in p.parallel:
-                # both ends of the edge must occur inside the text matched so far
-                part = F.substring(F.col("text"), F.lit(1), ends[-1] * width)
-                both = part.rlike(f"^(?:[01]{{{width}}})*{token(nodes[a].specs, 1)}") & part.rlike(f"^(?:[01]{{{width}}})*{token(nodes[b].specs, 1)}")
-                score = F.when(both, F.least(score + 0.1, F.lit(1.0))).otherwise(score)
-            conf = F.least(score + full * 0.15, F.lit(1.0))
-            ok = (ends[-1] > 0) & (score >= p.min_confidence)
-            found.append(F.when(ok, F.struct(
-                F.lit(p.name).alias("pattern"), F.col("step").alias("start_step"), (F.col("step") + ends[-1] - 1).alias("end_step"),
-                F.round(score, 6).alias("raw"), F.round(conf, 6).alias("confidence"),
-                F.transform(F.array(*ends), lambda e: F.col("step") + e - 1).alias("key_steps"))))
+                end = F.col(places[begun])
+                ends = [*ends, end]
+                score = F.lit(got / total)
+                for a, b in p.parallel:
+                    # both ends of the edge must occur inside the text matched so far
+                    first = [F.expr(f"locate('1', {bits[nodes[x].specs]})") for x in (a, b)]
+                    both = (first[0] > 0) & (first[0] <= end) & (first[1] > 0) & (first[1] <= end)
+                    score = F.when(both, F.least(score + 0.1, F.lit(1.0))).otherwise(score)
+                conf = F.least(score + len(roles) / len(p.nodes) * 0.15, F.lit(1.0))
+                found.append(F.when((end > 0) & (score >= p.min_confidence), F.struct(
+                    F.lit(p.name).alias("pattern"), F.col("step").alias("start_step"), (F.col("step") + end - 1).alias("end_step"),
+                    F.round(score, 6).alias("raw"), F.round(conf, 6).alias("confidence"),
+                    F.array(*[F.col("step") + e - 1 for e in ends]).alias("key_steps"))))
     return text.select("run_id", F.inline(F.array_compact(F.array(*found))))
 
 
-def _not_overlapping(pdf: pd.DataFrame, kept: list) -> list:
-    """Indexes of rows taken in order, each only when it overlaps nothing taken before."""
-    taken = []
-    busy: set = set()
-    for a, b in kept:
-        busy.update(range(a, b + 1))
-    for i, (a, b) in enumerate(zip(pdf["start_step"], pdf["end_step"])):
-        span = range(int(a), int(b) + 1)
-        if busy.isdisjoint(span):
-            taken.append(i)
-            busy.update(span)
+def _settled(starts: list, ends: list, confidences: list, raws: list) -> list[tuple[int, float]]:
+    """Matches of one run and pattern that overlap nothing surer or earlier, with their confidence.
+
+    Of the ways to reach one end from one start the best by score stands for
+    all, with the highest confidence of any.
+    """
+    best: dict[tuple, tuple] = {}
+    for i, (a, b, c, r) in enumerate(zip(starts, ends, confidences, raws)):
+        if (a, b) in best:
+            top, kept, j = best[a, b]
+            best[a, b] = (max(top, c), *max((kept, j), ((r, c), i), key=lambda x: x[0]))
+        else:
+            best[a, b] = (c, (r, c), i)
+    busy, taken = 0, []
+    for (a, b), (c, _, i) in sorted(best.items(), key=lambda m: (-m[1][0], m[0])):
+        # the steps taken are the bits of a number
+        span = ((1 << (b - a + 1)) - 1) << a
+        if not busy & span:
+            busy |= span
+            taken.append((i, c))
     return taken
 
 
@@ -305,22 +318,19 @@ _COLS = [c.split()[0] for c in _MATCH.split(", ")]
 def best_matches(found: DataFrame, chunk: int | None = ordered.CHUNK) -> DataFrame:
     """Non-overlapping matches of each pattern: most confident first, then earliest.
 
-    Runs of one chunk are settled in one task. In longer runs each level of
+    Runs of one chunk are settled whole, many in one task. In longer runs each level of
     confidence is settled in turn, left to right, against the levels above it,
     chunk by chunk, so no task holds a whole run.
     """
+    if chunk is None:
+        return settle_keys(found.select(*_COLS, "raw"), ["run_id", "pattern"], ["start_step", "end_step", "confidence", "raw"],
+                           _settled, "confidence").select(*_COLS)
+
     # of the ways to reach one end from one start only the best counts
     best = found.groupBy("run_id", "pattern", "start_step", "end_step").agg(
         F.max("confidence").alias("confidence"), F.max_by("key_steps", F.struct("raw", "confidence")).alias("key_steps"))
     best = best.select(*_COLS)
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_c=-pdf["confidence"]).sort_values(["_c", "start_step", "end_step"], ignore_index=True)
-        return pdf.iloc[_not_overlapping(pdf, [])][_COLS]
-
-    if chunk is None:
-        return best.groupBy("run_id", "pattern").applyInPandas(settle, _MATCH)
-
     # the few scores a pattern can have, ranked per pattern: as many rounds as the richest has
     scores = best.select("pattern", "confidence").distinct()
     ranked = scores.withColumn("_level", F.dense_rank().over(Window.partitionBy("pattern").orderBy(F.col("confidence").desc())))
@@ -403,21 +413,36 @@ def rescore(matches: DataFrame, keys: DataFrame, events: DataFrame) -> DataFrame
         0.6 * F.col("confidence") + 0.4 * F.col("_s"), F.col("confidence")), 6)).drop("_s")
 
 
+def _undominated(active: list, rows: list[tuple]) -> list[int]:
+    """Places of rows, by start and confidence, that overlap no earlier kept one of at least their confidence."""
+    kept = []
+    for i, (a, b, c) in enumerate(rows):
+        active[:] = [(e, k) for e, k in active if e >= a]
+        if not any(k >= c for _, k in active):
+            kept.append(i)
+            # what ends no later and is no surer cannot matter any more
+            active[:] = [(e, k) for e, k in active if e > b or k > c] + [(b, c)]
+    return kept
+
+
+def _undominated_run(starts: list, ends: list, confidences: list, patterns: list) -> list[tuple[int, float]]:
+    order = sorted(range(len(starts)), key=lambda i: (starts[i], -confidences[i], patterns[i], ends[i]))
+    kept = _undominated([], [(starts[i], ends[i], confidences[i]) for i in order])
+    return [(order[i], confidences[order[i]]) for i in kept]
+
+
 def drop_dominated(matches: DataFrame, chunk: int | None = ordered.CHUNK) -> DataFrame:
     """Without matches that overlap an earlier kept one of at least their confidence."""
     schema = "run_id string, pattern string, start_step bigint, end_step bigint, confidence double"
     cols = [c.split()[0] for c in schema.split(", ")]
 
+    if chunk is None:
+        return settle_keys(matches.select(*cols), ["run_id"], ["start_step", "end_step", "confidence", "pattern"], _undominated_run, "confidence")
+
     def along(pdf: pd.DataFrame, state: str):
-        active = json.loads(state) if state else []
+        active = [tuple(x) for x in json.loads(state)] if state else []
         pdf = pdf.assign(_c=-pdf["confidence"]).sort_values(["start_step", "_c", "pattern", "end_step"], ignore_index=True)
-        rows = []
-        for i, (a, b, c) in enumerate(zip(pdf["start_step"], pdf["end_step"], pdf["confidence"])):
-            active = [(e, k) for e, k in active if e >= a]
-            if not any(k >= c for _, k in active):
-                rows.append(i)
-                # what ends no later and is no surer cannot matter any more
-                active = [(e, k) for e, k in active if e > b or k > c] + [(int(b), float(c))]
+        rows = _undominated(active, [(int(a), int(b), float(c)) for a, b, c in zip(pdf["start_step"], pdf["end_step"], pdf["confidence"])])
         return pdf.iloc[rows][cols], json.dumps(active)
 
     return fold_runs(matches.select(*cols), ["run_id"], "start_step", along, schema, chunk, keep_state=True)

@@ -90,3 +90,29 @@ def test_line_events(spark):
     }
     df = spark.createDataFrame([(c,) for c in lines], "code string")
     assert {r["code"]: (r["event_type"], r["target_var"]) for r in E.line_events(df).collect()} == lines
+
+
+@pytest.mark.parametrize("query", ["best_matches", "drop_dominated"])
+def test_small_runs_share_a_task(events, query):
+    """Matches of short runs are settled many in one task, not by one call per run and pattern."""
+    _, df = events
+    found = E.candidates(df, chunk=None)
+    out = E.best_matches(found, None) if query == "best_matches" else E.drop_dominated(found, None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "regexp" not in plan.lower()
+
+
+def test_equal_ends_count_once_with_the_highest_confidence():
+    # the row of the best score stands for both, the confidence is the highest of any
+    assert E._settled([0, 0, 2], [3, 3, 5], [0.9, 0.8, 0.7], [0.5, 0.6, 0.4]) == [(1, 0.9)]
+
+
+def test_keys_may_reach_over_batches(spark):
+    from causeway.functions.folding import settle_keys
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = spark.range(100).selectExpr("id div 10 AS k", "id AS v", "0L AS n")
+        got = settle_keys(df, ["k"], ["v"], lambda v: [(v.index(max(v)), len(v))], "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [(k, 10 * k + 9, 10) for k in range(10)]
