@@ -267,16 +267,26 @@ def fact_id() -> Column:
     return F.concat_ws(":", "kind", "subject", F.coalesce("relation", F.lit("")), F.coalesce("value", F.lit("None")))
 
 
-def canonical(facts: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, parts: int | None) -> DataFrame:
+    """Rows with whole spans in as many parts as asked, before they are aggregated.
+
+    Most facts stand for one step, so that merging them ahead of the shuffle
+    would only hold them all; a number of parts that grows with the trace
+    bounds what one task holds.
+    """
+    return rows if parts is None else rows.repartition(parts, *_SPAN)
+
+
+def canonical(facts: DataFrame, parts: int | None = None) -> DataFrame:
     """Facts under their usual names, equal ones merged: highest confidence, widest steps."""
     table = F.broadcast(facts.sparkSession.createDataFrame(ALIASES, "kind string, relation string, _k string, _r string"))
     named = facts.join(table, ["kind", "relation"], "left").withColumn("kind", F.coalesce("_k", "kind")).withColumn("relation", F.coalesce("_r", "relation"))
-    return named.withColumn("id", fact_id()).groupBy(*_SPAN, "id", "kind", "subject", "relation", "value").agg(
+    return dealt(named.withColumn("id", fact_id()), parts).groupBy(*_SPAN, "id", "kind", "subject", "relation", "value").agg(
         F.min("first_step").alias("first_step"), F.max("last_step").alias("last_step"), F.max("confidence").alias("confidence"))
 
 
-def observed_facts(events: DataFrame, courses: DataFrame, spans: DataFrame, intervals=INTERVALS, meeting=MEETING) -> DataFrame:
-    """Facts that follow directly from events and courses of variables."""
+def observed_facts(events: DataFrame, courses: DataFrame, spans: DataFrame, intervals=INTERVALS, meeting=MEETING, parts: int | None = None) -> DataFrame:
+    """Facts that follow directly from events and courses of variables; ``parts`` as in ``dealt``."""
     none = F.lit(None).cast("string")
 
     def rows(df, kind, subject, relation, a, b, value=none):
@@ -302,7 +312,7 @@ def observed_facts(events: DataFrame, courses: DataFrame, spans: DataFrame, inte
     out = mono
     for part in (changes, grown, paired, converges, looping, recursive, base, memo):
         out = out.unionByName(part)
-    return canonical(out)
+    return canonical(out, parts)
 
 
 # Rules as name, needed (kind, relation, bind) and produced (kind, subject, relation, confidence factor).
@@ -356,14 +366,14 @@ def _fits(facts: DataFrame, kind: str, relation: str | None) -> DataFrame:
     return fit.filter(F.col("relation") == relation) if relation else fit
 
 
-def _conclusions(rules: list[tuple], known: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _conclusions(rules: list[tuple], known: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """What a group of rules concludes from ``known`` in one pass, and the facts behind it.
 
     Facts are first reduced per kind, relation and subject; every need of
     every rule reads that table.
     """
     kinds = sorted({kind for _, needs, _ in rules for kind, _, _ in needs})
-    reduced = checkpointed(known.filter(F.col("kind").isin(*kinds)).groupBy(*_SPAN, "kind", "relation", "subject").agg(
+    reduced = checkpointed(dealt(known.filter(F.col("kind").isin(*kinds)), parts).groupBy(*_SPAN, "kind", "relation", "subject").agg(
         F.max("confidence").alias("c"), F.min("first_step").alias("a"), F.max("last_step").alias("b")))
     rows, links = None, None
     for name, needs, produces in rules:
@@ -396,7 +406,7 @@ def _conclusions(rules: list[tuple], known: DataFrame) -> tuple[DataFrame, DataF
     return merged, links
 
 
-def derive(facts: DataFrame, rules=RULES) -> tuple[DataFrame, DataFrame]:
+def derive(facts: DataFrame, rules=RULES, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Facts that follow by a table of rules, and everything each rests on.
 
     ``rules`` holds ``(name, needs, produces)`` as in ``RULES``; the order in
@@ -405,20 +415,22 @@ def derive(facts: DataFrame, rules=RULES) -> tuple[DataFrame, DataFrame]:
     until nothing new follows: conclusions name only subjects that are there
     or that a rule states, so this ends. A conclusion keeps all facts that
     meet its needs as sources; its confidence is the least of the surest fact
-    of each need.
+    of each need. ``facts`` are kept as they are; only conclusions are written.
     """
-    known, derived, sources = facts, None, None
+    known, derived, sources = ordered.read_twice(facts), None, None
     for group, circular in strata(rules):
         seen = None
         while True:
-            merged, links = _conclusions(group, known)
+            merged, links = _conclusions(group, known, parts)
             if circular:
                 merged = checkpointed(merged if seen is None else merged.join(seen.select(*_SPAN, "id"), [*_SPAN, "id"], "left_anti"))
                 if seen is not None and merged.isEmpty():
                     break
                 seen = merged if seen is None else seen.unionByName(merged)
+            else:
+                merged = checkpointed(merged)
             derived = merged if derived is None else derived.unionByName(merged)
-            known = ordered.read_twice(known.unionByName(merged))
+            known = known.unionByName(merged)
             if not circular:
                 break
         sources = links if sources is None else sources.unionByName(links)

@@ -245,7 +245,7 @@ OB = """
 
 
 def observed(spark, sf):
-    return X.stored(spark, sf, "observed", lambda: R.observed_facts(events(spark, sf), courses(spark, sf), spans(spark, sf), PAIRS, PAIRS))
+    return X.stored(spark, sf, "observed", lambda: R.observed_facts(events(spark, sf), courses(spark, sf), spans(spark, sf), PAIRS, PAIRS, X.parts(spark, sf)))
 
 
 @query("m11_observed_facts", cte("SELECT * FROM ob", **MG, ob=OB))
@@ -268,7 +268,7 @@ DV = """
 
 
 def derived(spark, sf):
-    return R.derive(observed(spark, sf))
+    return R.derive(observed(spark, sf), parts=X.parts(spark, sf))
 
 
 @query("m12_derived_facts", cte("SELECT * FROM dv", **MG, ob=OB, sh=DE, dv=DV))

@@ -37,3 +37,19 @@ def test_rules_that_feed_themselves_end(spark):
     derived, sources = R.derive(facts(spark, [(0, "state", "s", "a", 1.0), (0, "looping", "1", "", 1.0)]), user)
     assert {r.id for r in derived.collect()} >= {"state:s:b:None", "seen:s::None"}
     assert {(r.id, r.source_id) for r in sources.collect()} >= {("state:s:b:None", "state:s:a:None"), ("state:s:a:None", "state:s:b:None"), ("seen:s::None", "looping:1::None")}
+
+
+def test_conclusions_are_written_alone(spark, monkeypatch):
+    """Known facts are not written again with the conclusions of every stratum."""
+    written, write = [], R.checkpointed
+    monkeypatch.setattr(R, "checkpointed", lambda df: written.append(write(df)) or written[-1])
+    monkeypatch.setattr(R.ordered, "checkpointed", lambda df: written.append(write(df)) or written[-1])
+    known = facts(spark, [(0, "looping", str(i), "", 1.0) for i in range(50)] + [(0, "changes", str(i), "", 1.0) for i in range(50)])
+    R.derive(known)
+    assert not any("changes" in {r["kind"] for r in df.select("kind").distinct().collect()} for df in written)
+
+
+def test_facts_are_merged_in_the_parts_asked(spark):
+    known = facts(spark, [(i, "looping", "1", "", 1.0) for i in range(20)] * 2)
+    merged = R.canonical(known.drop("id"), 7)
+    assert merged.rdd.getNumPartitions() == 7 and merged.count() == 20
