@@ -2,8 +2,8 @@
 
 One contract, several physical forms, chosen per key by counted properties:
 
-* keys whose edges times seeds stay under ``LOCAL_WORK`` are searched inside
-  one task each, after a single shuffle (many small runs);
+* keys whose edges times seeds stay under ``LOCAL_WORK`` are searched one by
+  one inside tasks that read many of them, after a single shuffle (many small runs);
 * larger keys whose nodes have one way on, or whose edges all lead to earlier
   (or all to later) steps, are searched in logarithmically many rounds (``deep``);
 * what is left is searched by a distributed frontier loop, one join per layer,
@@ -13,8 +13,9 @@ One contract, several physical forms, chosen per key by counted properties:
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,12 @@ from causeway.session import checkpointed
 
 LOCAL_WORK = 2_000_000
 _COMPACT_EVERY = 12
+#: Rows found after which a task gives them out, between two keys.
+_GIVEN = 20_000
 
 
-def _search(key, seeds: pd.DataFrame, adjacency, max_depth, carry):
-    """Layered search from every seed of one key.
+def _search(key, seeds: dict, adjacency, max_depth, carry):
+    """Layered search from every seed of one key, given with its first ``(node, var)`` pairs.
 
     With ``carry`` a node is reached together with a variable, and only edges
     of that variable (or any, when it is empty) are followed on data edges. Of
@@ -35,13 +38,13 @@ def _search(key, seeds: pd.DataFrame, adjacency, max_depth, carry):
     before others.
     """
     rows = []
-    for seed, group in seeds.groupby("seed", sort=False):
+    for seed, first in seeds.items():
         layer = {}
-        for node, var in zip(group["node"], group["var"]):
+        for node, var in first:
             layer[node] = (None, min(layer[node][1], var) if node in layer else var)
         seen, depth = set(layer), 0
         while layer:
-            rows.extend((*key, seed, node, depth, parent, var) for node, (parent, var) in layer.items())
+            rows.extend((key, seed, node, depth, parent, var) for node, (parent, var) in layer.items())
             if max_depth is not None and depth >= max_depth:
                 break
             depth += 1
@@ -150,20 +153,45 @@ def _node_type(df: DataFrame, col: str) -> str:
 
 
 def _local(edges, seeds, key, max_depth, carry) -> DataFrame:
+    """Keys that fit in a task one by one.
+
+    Edges and seeds are shuffled and sorted by key and read in batches that
+    hold many keys, so that small keys cost no table of their own.
+    """
     node, seed = _node_type(edges, "from_node"), _node_type(seeds, "seed")
     kt = _node_type(edges, key)
     schema = f"{key} {kt}, seed {seed}, node {node}, depth int, parent {node}, var string"
-    cols = [key, "seed", "node", "depth", "parent", "var"]
-    whole = node in ("bigint", "int")
-
-    def run(k, start: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        adjacency = defaultdict(list)
-        for f, t, v, d in zip(links["from_node"], links["to_node"], links["var"], links["is_data"]):
-            adjacency[f].append((t, v, d))
-        out = pd.DataFrame(_search(k, start, adjacency, max_depth, carry), columns=cols)
-        return out.astype({"parent": "Int64"}) if whole else out
-
-    out = seeds.groupBy(key).cogroup(edges.groupBy(key)).applyInPandas(run, schema)
+    rows = edges.select(
+        key, F.lit(None).cast(seed).alias("seed"), F.col("from_node").alias("at"), F.col("to_node").alias("to"), "var", "is_data", F.lit(False).alias("start")
+    ).unionByName(seeds.select(
+        key, "seed", F.col("node").cast(node).alias("at"), F.lit(None).cast(node).alias("to"), "var", F.lit(False).alias("is_data"), F.lit(True).alias("start")))
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, starts, adjacency, types = [], None, defaultdict(list), defaultdict(list), None
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), types)], [key, "seed", "node", "depth", "parent", "var"])
+
+        for batch in batches:
+            at = batch.schema.field("at").type
+            types = [batch.schema.field(key).type, batch.schema.field("seed").type, at, pa.int32(), at, pa.string()]
+            for k, s, a, b, var, is_data, start in zip(*[c.to_pylist() for c in batch.columns]):
+                if k != now:
+                    out.extend(_search(now, starts, adjacency, max_depth, carry))
+                    now, starts, adjacency = k, defaultdict(list), defaultdict(list)
+                    if len(out) >= _GIVEN:
+                        yield given()
+                        out = []
+                if start:
+                    starts[s].append((a, var))
+                else:
+                    adjacency[a].append((b, var, is_data))
+        out.extend(_search(now, starts, adjacency, max_depth, carry))
+        if out:
+            yield given()
+
+    out = rows.repartition(key).sortWithinPartitions(key).mapInArrow(along, schema)
     return out if carry else out.drop("var")
 
 

@@ -181,3 +181,24 @@ def test_key_with_loops_only_keeps_its_start(spark):
     seeds = spark.createDataFrame([("a", 5, 5), ("loop", 1, 1)], "run_id string, seed long, node long")
     got = sorted((r["run_id"], r["node"], r["depth"]) for r in T.reach(links, seeds, local_work=0).collect())
     assert got == [("a", 2, 1), ("a", 3, 1), ("a", 5, 0), ("loop", 1, 0)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_keys_share_a_task(spark):
+    """Many keys are searched per call, also where a key lies in several batches or is null."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    chains = {f"k{g}": list(range(g % 7 + 1)) for g in range(40)} | {None: [0, 1, 2]}
+    edges = spark.createDataFrame([(g, a, a + 1) for g, c in chains.items() for a in c], "run_id string, from_node long, to_node long")
+    seeds = spark.createDataFrame([(g, "s", 0) for g in chains if g] + [("none", "s", 5)], "run_id string, seed string, node long")
+    spark.conf.set(size, 3)
+    try:
+        found = T.reach(edges, seeds)
+        assert "CoGroup" not in _plan(found)
+        got = sorted((r.run_id, r.node, r.depth, r.parent) for r in found.collect())
+    finally:
+        spark.conf.unset(size)
+    want = [(g, n, n, n - 1 if n else None) for g, c in chains.items() if g for n in range(len(c) + 1)]
+    assert sorted(got, key=str) == sorted([*want, ("none", 5, 0, None)], key=str)
