@@ -280,6 +280,7 @@ def forward_impact(edges: DataFrame, seeds: DataFrame, carry_var: bool = False,
     links = edges.filter("kind IN ('data', 'control', 'call')").select("run_id", "src", "dst")
     if not carry_var:
         return _flag(found, links.select("run_id", F.col("src").alias("node")), "is_leaf")
+    found = read_twice(found)
     inside = found.select("run_id", "seed", F.col("node").alias("src")).join(links, ["run_id", "src"]).join(
         found.select("run_id", "seed", F.col("node").alias("dst")), ["run_id", "seed", "dst"], "left_semi"
     ).select("run_id", "seed", F.col("src").alias("node")).distinct().withColumn("_linked", F.lit(True))

@@ -202,3 +202,11 @@ def test_small_keys_share_a_task(spark):
         spark.conf.unset(size)
     want = [(g, n, n, n - 1 if n else None) for g, c in chains.items() if g for n in range(len(c) + 1)]
     assert sorted(got, key=str) == sorted([*want, ("none", 5, 0, None)], key=str)
+
+
+def test_carried_search_runs_once(spark):
+    edges = spark.createDataFrame([("r", 0, 1, "data", "x"), ("r", 1, 2, "data", "x"), ("r", 1, 3, "data", "y")], "run_id string, src long, dst long, kind string, var string")
+    seeds = spark.createDataFrame([("r", 0, "x")], "run_id string, step long, var string")
+    found = T.forward_impact(edges, seeds, carry_var=True)
+    assert "MapInArrow" not in _plan(found) and "CoGroup" not in _plan(found)
+    assert sorted(map(tuple, found.collect())) == [("r", 0, 0, 0, False), ("r", 0, 1, 1, False), ("r", 0, 2, 2, True)]
