@@ -210,3 +210,26 @@ def test_carried_search_runs_once(spark):
     found = T.forward_impact(edges, seeds, carry_var=True)
     assert "MapInArrow" not in _plan(found) and "CoGroup" not in _plan(found)
     assert sorted(map(tuple, found.collect())) == [("r", 0, 0, 0, False), ("r", 0, 1, 1, False), ("r", 0, 2, 2, True)]
+
+
+@pytest.mark.parametrize("depth", [None, 2])
+def test_leaves_take_over_what_lies_above(spark, monkeypatch, depth):
+    """Only the nodes above the leaves climb; two trees, one of them a bare chain, and a hot parent."""
+    up = {("t", f"i{n}"): f"o{n // 4}" for n in range(120)} | {("t", f"o{n}"): f"c{n % 5}" for n in range(30)} | {("t", f"c{n}"): "n" for n in range(5)}
+    up |= {("t", "n"): "r"} | {("t", f"s{n}"): "n" for n in range(40)} | {("u", f"k{n}"): f"k{n + 1}" for n in range(6)}
+    edges = spark.createDataFrame([(g, a, b) for (g, a), b in up.items()], "graph_id string, from_node string, to_node string")
+    climbed, plain = [], deep.lifted
+    monkeypatch.setattr(deep, "lifted", lambda e, *a: climbed.append(e.count()) or plain(e, *a))
+    got = sorted(map(tuple, deep.peeled(edges, "graph_id", depth, least=20).select("graph_id", "seed", "node", "depth").collect()))
+    want = []
+    for g, a in up:
+        node, d = a, 0
+        while (g, node) in up and (depth is None or d < depth):
+            node, d = up[g, node], d + 1
+            want.append((g, a, node, d))
+    assert got == sorted(want) and climbed and max(climbed) < len(edges.collect()) // 4
+
+
+def test_peeled_leaves_circles_to_others(spark):
+    circle = [("g", f"a{n}", "x") for n in range(30)] + [("g", "x", "y"), ("g", "y", "x")]
+    assert deep.peeled(spark.createDataFrame(circle, "graph_id string, from_node string, to_node string"), "graph_id", least=5) is None
