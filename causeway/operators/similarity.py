@@ -1,8 +1,8 @@
 """Comparing, searching and clustering fingerprints.
 
 Runs with equal fingerprints compare alike, so pairs are formed between the
-distinct profiles, found by an inverted index over their elements; runs are
-joined to their profile afterwards.
+distinct profiles, block against block (``profile_blocks``); runs are joined
+to their profile afterwards.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.values import jaccard, round3
 from causeway.operators import hierarchy as H
+from causeway.operators import profile_blocks as B
 from causeway.session import checkpointed
 
 _SETS = ["structures", "control", "roles", "invariant_set"]
@@ -57,30 +58,30 @@ def profiles(fp: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def profile_pairs(distinct: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Scores of all pairs of profiles that share anything; other pairs score 0."""
-    queries = distinct if queries is None else queries
+    corpus = B.packed(distinct)
+    asked = corpus if queries is None else B.packed(queries)
+    return _scored(B.meet(asked, corpus, B.listed, "profile_a long, profile_b long, score long"))
 
-    def marked(c):
-        return F.transform(c, lambda x: F.concat(F.lit(f"{c}="), x))
 
-    def tokens(df, name):
-        parts = [F.array(F.concat(F.lit(f"{c}="), F.col(c))) for c in ("algorithm", "complexity")]
-        parts += [marked(c) for c in _SETS]
-        return df.select(F.col("profile").alias(name), F.explode(F.concat(*parts)).alias("token"))
+def score_counts(distinct: DataFrame) -> DataFrame:
+    """How many ordered pairs of profiles that share anything have each score, without listing the pairs."""
+    blocks = B.packed(distinct)
+    return _scored(B.meet(blocks, blocks, B.counted, "score long, pairs long", upper=True).groupBy("score").agg(F.sum("pairs").alias("pairs")))
 
-    met = tokens(queries, "profile_a").join(tokens(distinct, "profile_b"), "token").select("profile_a", "profile_b").distinct()
-    side = F.struct(*PROFILE)
-    return met.join(queries.select(F.col("profile").alias("profile_a"), side.alias("a")), "profile_a").join(
-        distinct.select(F.col("profile").alias("profile_b"), side.alias("b")), "profile_b").select(
-        "profile_a", "profile_b", match_score("a", "b").alias("score"))
+
+def _scored(found: DataFrame) -> DataFrame:
+    return found.withColumn("score", F.col("score") / 1000)
 
 
 def search(fp: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best profiles of the corpus for each query run, with their number of runs."""
     corpus, _ = profiles(fp)
-    asked, of_run = profiles(queries)
-    scored = profile_pairs(corpus, asked)
+    corpus = checkpointed(corpus)
+    blocks = B.packed(corpus)
+    asked, of_run = (corpus, profiles(queries)[1]) if queries is fp else profiles(queries)
+    found = B.meet(blocks if queries is fp else B.packed(asked), blocks, B.best(k), "profile_a long, profile_b long, score long")
     w = Window.partitionBy("profile_a").orderBy(F.col("score").desc(), "profile_b")
-    best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = _scored(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
     named = best.join(corpus.select(F.col("profile").alias("profile_b"), "runs"), "profile_b")
     return of_run.withColumnRenamed("profile", "profile_a").join(named, "profile_a").select(
         "run_id", F.col("profile_b").alias("profile"), "score", "rank", "runs")

@@ -59,7 +59,7 @@ def j1(spark, sf):
     FROM sets a CROSS JOIN prof b) WHERE rank <= 5 AND score > 0""", sets=SETS, prof=PROF))
 def j2(spark, sf):
     fp = user_sets(spark, sf)
-    return S.search(fp, fp).select("run_id", "score", F.col("rank").cast("long").alias("rank"))
+    return S.search(fp, fp).filter("score > 0").select("run_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _set_score(col):
@@ -119,7 +119,7 @@ def j3b(spark, sf):
   SELECT score, count(*) AS pairs FROM (SELECT {MATCH} AS score FROM prof a CROSS JOIN prof b) WHERE score > 0 GROUP BY score""", sets=SETS, prof=PROF))
 def j5(spark, sf):
     distinct, _ = S.profiles(user_sets(spark, sf))
-    return S.profile_pairs(distinct).filter("score > 0").groupBy("score").agg(F.count("*").alias("pairs"))
+    return S.score_counts(distinct).filter("score > 0")
 
 
 @query("j5_weekly_matrix", """
