@@ -130,7 +130,7 @@ def _large(edges, seeds, key, max_depth, carry, parents) -> DataFrame:
         start = held.filter(F.col("form") == kind).drop("form")
         found = None
         if kind == "lifted":
-            found = deep.lifted(some, start, key, max_depth)
+            found = deep.climbed(some, start, key, max_depth)
         elif kind != "frontier":
             found = deep.swept(some, start, key, kind == "falling", max_depth=max_depth)
             if found is not None:
@@ -348,9 +348,15 @@ def _starts(starts: DataFrame) -> DataFrame:
     return starts.select("graph_id", F.col("node_id").alias("seed"), F.col("node_id").alias("node"))
 
 
+def _behind(cedges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Edges that a search back from the starts may follow: those into a start, or into a node that leads to another."""
+    may = starts.select("graph_id", F.col("node_id").alias("dst")).unionByName(cedges.select("graph_id", F.col("src").alias("dst"))).distinct()
+    return cedges.join(may, ["graph_id", "dst"], "left_semi")
+
+
 def ancestors(cedges: DataFrame, starts: DataFrame, max_depth: int | None = None, **kw) -> DataFrame:
     """Layers of ancestors of every start node."""
-    return reach(_reversed(cedges), _starts(starts), "graph_id", max_depth=max_depth, **kw).withColumnRenamed("depth", "layer")
+    return reach(_reversed(_behind(cedges, starts)), _starts(starts), "graph_id", max_depth=max_depth, **kw).withColumnRenamed("depth", "layer")
 
 
 def priority(edge_type: Column) -> Column:
@@ -369,6 +375,7 @@ def root_cause_chain(cedges: DataFrame, errors: DataFrame, max_depth: int | None
 
     ``on_chain`` marks the nodes met by always taking the primary parent.
     """
+    cedges = read_twice(_behind(cedges.select("graph_id", "src", "dst", "edge_type"), errors))
     everything = reach(_reversed(cedges), _starts(errors), "graph_id", max_depth=max_depth, parents=False, **kw)
     several = cedges.select("graph_id", "dst", "src").distinct().groupBy("graph_id", "dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if several.isEmpty():  # the only parent is the primary one
